@@ -1,7 +1,8 @@
 """Reading fields from JSON payloads with lenient number coercion.
 
-The payload is parsed once to a map of texts, so that a missing key (row refused) can be told from
-an explicit null (read as zero).
+A payload is parsed once, to the texts of the wanted fields only. A field that comes out null is
+either missing (the payload is refused) or an explicit null (read as zero); only then are the keys
+of the payload looked up.
 """
 
 from __future__ import annotations
@@ -9,8 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_UNPARSED = "__unparsed"
+
 # Strict JSON: Spark's reader is more permissive by default.
-JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+JSON_OPTIONS = {
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    "columnNameOfCorruptRecord": _UNPARSED,
+}
 
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
@@ -19,56 +26,78 @@ LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 TIMESTAMP_MAX_MS = LONG_MAX // 1000
 
 
-def parse_object(value: Column) -> Column:
-    """JSON object -> map of field texts; null when the text is not a JSON object."""
-    return F.from_json(value, "map<string,string>", JSON_OPTIONS)
+def parse_object(value: Column, names: tuple[str, ...]) -> Column:
+    """JSON text -> struct of field texts. Use ``is_object`` before trusting it."""
+    fields = "".join(f"{name} STRING, " for name in names)
+    return F.from_json(value, f"{fields}{_UNPARSED} STRING", JSON_OPTIONS)
+
+
+def is_object(fields: Column, value: Column) -> Column:
+    """True when the text is a whole JSON object; the parser alone would also accept an array."""
+    whole = fields[_UNPARSED].isNull() & value.rlike("^\\s*\\{")
+    return F.coalesce(whole, F.lit(False))
+
 
+def has_field(fields: Column, value: Column, name: str) -> Column:
+    """True when the object has the key, also with an explicit null."""
+    named = F.coalesce(F.array_contains(F.json_object_keys(value), name), F.lit(False))
+    # A CASE, not an OR: Spark evaluates repeated parts of an OR ahead, for every row.
+    return F.when(fields[name].isNotNull(), F.lit(True)).otherwise(named)
 
-def has_fields(fields: Column, names: tuple[str, ...]) -> Column:
-    """True when the payload is an object that has every named key (null values count)."""
-    present = fields.isNotNull()
+
+def is_usable(fields: Column, value: Column, names: tuple[str, ...]) -> Column:
+    usable = is_object(fields, value)
     for name in names:
-        present = present & F.map_contains_key(fields, F.lit(name))
-    return F.coalesce(present, F.lit(False))
+        usable = usable & has_field(fields, value, name)
+    return usable
 
 
 def as_text(fields: Column, name: str) -> Column:
     return F.coalesce(fields[name], F.lit("null"))
 
 
-def as_long(fields: Column, name: str, raw: Column | None = None) -> Column:
-    """Whole number from a number or text; fractions are cut, anything else is 0."""
-    return _whole(fields, name, raw, "bigint", LONG_MIN, LONG_MAX)
-
+def as_int(fields: Column, name: str, value: Column) -> Column:
+    """Whole number from a number or text, else 0; fractions are cut.
 
-def as_int(fields: Column, name: str, raw: Column | None = None) -> Column:
-    """As ``as_long``; a whole number beyond 32 bits keeps its low 32 bits."""
+    A whole number beyond 32 bits keeps its low 32 bits, a fractional one the nearest bound.
+    """
     text = fields[name]
     wide = text.try_cast("bigint")
     low_bits = (F.pmod(wide, F.lit(2**32)) + F.lit(2**31)) % F.lit(2**32) - F.lit(2**31)
-    narrow = F.when(wide.between(INT_MIN, INT_MAX), wide).when(wide.isNotNull(), low_bits)
     return F.coalesce(
-        narrow.cast("int"), _whole(fields, name, raw, "int", INT_MIN, INT_MAX)
+        text.try_cast("int"),
+        low_bits.cast("int"),
+        _cut(text, INT_MIN, INT_MAX).cast("int"),
+        _bare_true(text, name, value).cast("int"),
+        F.lit(0),
+    )
+
+
+def as_long(fields: Column, name: str, value: Column) -> Column:
+    """As ``as_int`` with 64 bits."""
+    text = fields[name]
+    return F.coalesce(
+        text.try_cast("bigint"),
+        _cut(text, LONG_MIN, LONG_MAX),
+        _bare_true(text, name, value).cast("bigint"),
+        F.lit(0).cast("bigint"),
     )
 
 
-def as_double(fields: Column, name: str) -> Column:
+def as_double(fields: Column, name: str, value: Column) -> Column:
     return F.coalesce(fields[name].try_cast("double"), F.lit(0.0))
 
 
-def _whole(
-    fields: Column, name: str, raw: Column | None, sql_type: str, low: int, high: int
-) -> Column:
-    text = fields[name]
-    real = F.nanvl(text.try_cast("double"), F.lit(0.0))
-    cut = (
-        F.when(real >= F.lit(float(high)), F.lit(high))
-        .when(real <= F.lit(float(low)), F.lit(low))
+def _cut(text: Column, low: int, high: int) -> Column:
+    real = text.try_cast("double")
+    return (
+        F.when(F.isnan(real), F.lit(0).cast("bigint"))
+        .when(real >= F.lit(float(high)), F.lit(high).cast("bigint"))
+        .when(real <= F.lit(float(low)), F.lit(low).cast("bigint"))
         .otherwise(real.try_cast("bigint"))
     )
-    number = F.coalesce(text.try_cast(sql_type), cut.try_cast(sql_type), F.lit(0).cast(sql_type))
-    if raw is None:
-        return number
-    # A bare JSON true reads as 1; the quoted text "true" is no number and reads as 0.
-    bare_true = F.when(raw.rlike(f'"{name}"\\s*:\\s*true'), F.lit(1)).otherwise(F.lit(0))
-    return F.when(text == F.lit("true"), bare_true.cast(sql_type)).otherwise(number)
+
+
+def _bare_true(text: Column, name: str, value: Column) -> Column:
+    """1 for a bare JSON true; the quoted text is no number."""
+    return F.when((text == "true") & value.rlike(f'"{name}"\\s*:\\s*true'), F.lit(1))

@@ -76,29 +76,20 @@ def rollup_range(
     zone_id: int | None = None,
     page_windows: int = PAGE_WINDOWS,
 ) -> DataFrame:
-    """Responses for a range. Pages cut the range by time, newest page first.
+    """Responses for a range, in pages that cut it by time, newest page first.
 
     A page spans ``page_windows`` windows, so no list grows with the range, and a range that fits
-    one page gives one row per zone. ``total_windows`` counts the whole range of the zone.
+    one page gives one row per zone. ``total_windows`` is the size of the page's list; one pass
+    over the history fills all pages.
     """
     rows = in_range(history, from_ms, to_ms, zone_id)
     age_ms = F.lit(to_ms) - F.unix_millis("window_end")
     page = F.floor(age_ms / F.lit(window_ms * page_windows)).cast("bigint")
-    pages = rows.groupBy("zone_id", page.alias("page")).agg(
-        F.count(F.lit(1)).alias("__n"), _window_list().alias("metrics")
-    )
-    if to_ms - from_ms <= window_ms * page_windows:
-        counted = pages.withColumn("total_windows", F.col("__n"))
-    else:
-        totals = rows.groupBy("zone_id").agg(F.count(F.lit(1)).alias("total_windows"))
-        counted = pages.join(totals, "zone_id")
-    return counted.select(
-        "zone_id",
-        "page",
+    return rows.groupBy("zone_id", page.alias("page")).agg(
         instant(from_ms).alias("from"),
         instant(to_ms).alias("to"),
-        "total_windows",
-        "metrics",
+        F.count(F.lit(1)).alias("total_windows"),
+        _window_list().alias("metrics"),
     )
 
 

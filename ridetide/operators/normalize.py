@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridetide.functions import payload
-from ridetide.functions.contracts import Rule, contract_violations
+from ridetide.functions.contracts import Rule, contract_violations, field_readings
 from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis
 from ridetide.schemas import PRICE_UPDATE_FIELDS
 
@@ -20,16 +20,16 @@ REQUIRED_FIELDS = {
 }
 
 _FIELDS = "__fields"
+_USABLE = "__usable"
 
 
-def _usable(fields: Column, kind: str) -> Column:
-    return payload.has_fields(fields, REQUIRED_FIELDS[kind]) & _in_range(fields)
+def _in_range(ts_event: Column) -> Column:
+    """An event time that a TIMESTAMP can hold; beyond it no window can be formed."""
+    return ts_event.between(-payload.TIMESTAMP_MAX_MS, payload.TIMESTAMP_MAX_MS)
 
 
-def _in_range(fields: Column) -> Column:
-    """An event time that a TIMESTAMP can hold; beyond it no window can be formed."""
-    limit = payload.TIMESTAMP_MAX_MS
-    return F.coalesce(payload.as_long(fields, "ts_event").between(-limit, limit), F.lit(False))
+def _parsed(raw: DataFrame, names: tuple[str, ...], value: str) -> DataFrame:
+    return raw.withColumn(_FIELDS, payload.parse_object(F.col(value), names))
 
 
 def normalize(raw: DataFrame, kind: str, value: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -38,53 +38,56 @@ def normalize(raw: DataFrame, kind: str, value: str = "value", carry: tuple[str,
     Zero or one row per payload, by a generator: a filter would be pushed below the parsing
     projection and parse every payload twice.
     """
-    raw_value = F.col(value)
-    fields = F.col(_FIELDS)
+    fields, raw_value, names = F.col(_FIELDS), F.col(value), REQUIRED_FIELDS[kind]
     status = payload.as_text(fields, "status") if kind == HEARTBEAT else F.lit(None).cast("string")
-    event = F.struct(
+    read = _parsed(raw, names, value).select(
+        *carry,
         F.lit(kind).alias("kind"),
         payload.as_int(fields, "zone_id", raw_value).alias("zone_id"),
         payload.as_long(fields, "ts_event", raw_value).alias("ts_event"),
         status.alias("status"),
+        payload.is_usable(fields, raw_value, names).alias(_USABLE),
     )
-    rows = F.when(_usable(fields, kind), F.array(event))
-    return raw.withColumn(_FIELDS, payload.parse_object(raw_value)).select(*carry, F.inline(rows))
+    event = F.array(F.struct("kind", "zone_id", "ts_event", "status"))
+    kept = F.when(F.col(_USABLE) & _in_range(F.col("ts_event")), event)
+    return read.select(*carry, F.inline(kept))
 
 
 def quarantine(raw: DataFrame, kind: str, value: str = "value") -> DataFrame:
     """The payloads that ``normalize`` leaves out, with all their columns and a reason."""
-    fields = F.col(_FIELDS)
-    reason = F.when(fields.isNull(), F.lit("unparsable"))
-    for name in REQUIRED_FIELDS[kind]:
-        reason = reason.when(~F.map_contains_key(fields, F.lit(name)), F.lit(f"missing {name}"))
-    reason = reason.when(~_in_range(fields), F.lit("ts_event out of range"))
-    return (
-        raw.withColumn(_FIELDS, payload.parse_object(F.col(value)))
-        .withColumn("reason", reason)
-        .drop(_FIELDS)
-        .filter(F.col("reason").isNotNull())
-    )
+    fields, raw_value, names = F.col(_FIELDS), F.col(value), REQUIRED_FIELDS[kind]
+    reason = F.when(~payload.is_object(fields, raw_value), F.lit("unparsable"))
+    for name in names:
+        reason = reason.when(~payload.has_field(fields, raw_value, name), F.lit(f"missing {name}"))
+    ts_event = payload.as_long(fields, "ts_event", raw_value)
+    reason = reason.when(~_in_range(ts_event), F.lit("ts_event out of range"))
+    judged = _parsed(raw, names, value).select(*raw.columns, reason.alias("reason"))
+    refused = F.when(F.col("reason").isNotNull(), F.array(F.struct("reason")))
+    return judged.select(*raw.columns, F.inline(refused))
 
 
 def observe_refused(raw: DataFrame, kind: str, name: str, value: str = "value") -> DataFrame:
-    """Count received and refused payloads as an observed metric of the running query."""
-    refused = ~_usable(payload.parse_object(F.col(value)), kind)
-    return raw.observe(name, F.count(F.lit(1)).alias("received"), F.count_if(refused).alias("refused"))
+    """Count received and unusable payloads as an observed metric of the running query."""
+    names = REQUIRED_FIELDS[kind]
+    unusable = ~payload.is_usable(F.col(_FIELDS), F.col(value), names)
+    counted = _parsed(raw, names, value).observe(
+        name, F.count(F.lit(1)).alias("received"), F.count_if(unusable).alias("refused")
+    )
+    return counted.drop(_FIELDS)
 
 
 def check_contract(
     raw: DataFrame, contract: dict[str, Rule], value: str = "value", check_format: bool = True
 ) -> DataFrame:
     """Add ``violations ARRAY<STRING>``; opt-in, drops nothing."""
-    document = "__document"
-    return (
-        raw.withColumn(document, F.try_parse_json(F.col(value)))
-        .withColumn(
-            "violations",
-            contract_violations(F.col(document), F.col(value), contract, check_format),
-        )
-        .drop(document)
+    document = F.col("__document")
+    parts = {name: field_readings(document, name, rule) for name, rule in contract.items()}
+    read = raw.withColumn("__document", F.try_parse_json(F.col(value))).withColumns(
+        {f"__{name}_{part}": column for name, columns in parts.items() for part, column in columns.items()}
     )
+    readings = {name: {part: F.col(f"__{name}_{part}") for part in columns} for name, columns in parts.items()}
+    found = contract_violations(document, F.col(value), readings, contract, check_format)
+    return read.select(*raw.columns, found.alias("violations"))
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
@@ -98,30 +101,26 @@ def union_events(rides: DataFrame, heartbeats: DataFrame) -> DataFrame:
 
 def decode_price_updates(raw: DataFrame, value: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
     """Price-update payloads -> wire columns. Fails on the first unusable payload."""
-    fields = F.col(_FIELDS)
-    readers = {
-        "zone_id": payload.as_int,
-        "ratio": payload.as_double,
-        "surge_multiplier": payload.as_double,
-    }
-    update = F.struct(
-        *[readers.get(name, payload.as_long)(fields, name).alias(name) for name in PRICE_UPDATE_FIELDS]
+    fields, raw_value = F.col(_FIELDS), F.col(value)
+    problem = F.concat(F.lit("unusable price update: "), F.coalesce(raw_value, F.lit("null")))
+    checked = F.when(payload.is_usable(fields, raw_value, PRICE_UPDATE_FIELDS), F.lit(True)).otherwise(
+        F.raise_error(problem).cast("boolean")
     )
-    problem = F.concat(F.lit("unusable price update: "), F.coalesce(F.col(value), F.lit("null")))
-    row = F.when(payload.has_fields(fields, PRICE_UPDATE_FIELDS), update).otherwise(
-        F.raise_error(problem).cast(
-            "struct<" + ",".join(f"{f}:{_WIRE_TYPES[f]}" for f in PRICE_UPDATE_FIELDS) + ">"
+    update = F.array(
+        F.struct(
+            *[
+                _WIRE_READERS.get(name, payload.as_long)(fields, name, raw_value).alias(name)
+                for name in PRICE_UPDATE_FIELDS
+            ]
         )
     )
-    return raw.withColumn(_FIELDS, payload.parse_object(F.col(value))).select(
-        *carry, F.inline(F.array(row))
-    )
+    return _parsed(raw, PRICE_UPDATE_FIELDS, value).select(*carry, F.inline(F.when(checked, update)))
 
 
-_WIRE_TYPES = {name: "bigint" for name in PRICE_UPDATE_FIELDS} | {
-    "zone_id": "int",
-    "ratio": "double",
-    "surge_multiplier": "double",
+_WIRE_READERS = {
+    "zone_id": payload.as_int,
+    "ratio": payload.as_double,
+    "surge_multiplier": payload.as_double,
 }
 
 

@@ -5,8 +5,6 @@ Every mapping is a rule over all rows of its table.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +25,8 @@ FROM_MS, TO_MS = 1_704_844_800_000, 1_705_708_800_000
 RIDE_TYPES = ("purchase", "click")
 AVAILABLE_TYPES = ("view", "signup")
 
+FARE_COLUMNS = ("zone_id", "base_fare", "distance_rate", "time_rate", "minimum_fare", "zone_type", "active")
+
 # Fixed sample values of the fare table. Zone 4 has no row; zone 17 has no band and is inactive.
 SAMPLE_FARES = (
     (1, "8.00", "2.80", "0.65", "9.50", "DOWNTOWN", True),
@@ -60,7 +60,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _is_ride() -> Column:
-    return F.coalesce(F.col("event_type").isin(*RIDE_TYPES), F.lit(False))
+    return F.col("event_type").isin(*RIDE_TYPES)
+
+
+def _is_heartbeat() -> Column:
+    return F.col("event_type").isNull() | ~_is_ride()
 
 
 def _heartbeat_status() -> Column:
@@ -82,7 +86,7 @@ def events_of(table_rows: DataFrame) -> DataFrame:
         kind.alias("kind"),
         _zone().alias("zone_id"),
         _event_ms().alias("ts_event"),
-        F.when(~_is_ride(), _heartbeat_status()).alias("status"),
+        F.when(_is_heartbeat(), _heartbeat_status()).alias("status"),
     )
 
 
@@ -101,7 +105,7 @@ def events_between(spark: SparkSession, sf_dir: str, from_ms: int, to_ms: int) -
 def event_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rides, heartbeats) as two streams of normalised events."""
     rides = table_stream(spark, sf_dir, "events").filter(_is_ride())
-    heartbeats = table_stream(spark, sf_dir, "events").filter(~_is_ride())
+    heartbeats = table_stream(spark, sf_dir, "events").filter(_is_heartbeat())
     return events_of(rides), events_of(heartbeats)
 
 
@@ -140,40 +144,36 @@ def payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rides, heartbeats) as (event_id, value) with JSON payloads."""
     rows = table(spark, sf_dir, "events")
     rides = rows.filter(_is_ride()).select("event_id", F.to_json(_as_struct(_ride_fields())).alias("value"))
-    beats = rows.filter(~_is_ride()).select("event_id", F.to_json(_as_struct(_heartbeat_fields())).alias("value"))
+    beats = rows.filter(_is_heartbeat()).select("event_id", F.to_json(_as_struct(_heartbeat_fields())).alias("value"))
     return rides, beats
 
 
-def damaged(raw: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+def damaged_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Payloads in all conditions, by ``event_id % 7``: 0 whole, 1 cut off, 2 in an array,
     3 without zone, 4 with an unreadable zone, 5 with a quoted fractional zone, 6 without time.
     """
     case = F.col("event_id") % 7
-    parts = F.from_json("value", "map<string,string>")
-
-    def rebuilt(skip: str | None = None, zone: Column | None = None) -> Column:
-        kept = [
-            (zone if name == "zone_id" and zone is not None else parts[name]).alias(name)
-            for name in fields
-            if name != skip
-        ]
-        return F.to_json(F.struct(*kept))
-
-    value = (
-        F.when(case == 1, F.expr("left(value, length(value) - 1)"))
-        .when(case == 2, F.concat(F.lit("["), F.col("value"), F.lit("]")))
-        .when(case == 3, rebuilt(skip="zone_id"))
-        .when(case == 4, rebuilt(zone=F.lit("x")))
-        .when(case == 5, rebuilt(zone=F.concat(F.lit(" "), parts["zone_id"], F.lit(".9 "))))
-        .when(case == 6, rebuilt(skip="ts_event"))
-        .otherwise(F.col("value"))
-    )
-    return raw.select("event_id", value.alias("value"))
 
+    def built(fields: dict[str, Column]) -> Column:
+        def json(skip: str | None = None, **changes: Column) -> Column:
+            kept = {**fields, **changes}
+            return F.to_json(_as_struct({name: c for name, c in kept.items() if name != skip}))
 
-def damaged_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rides, beats = payloads(spark, sf_dir)
-    return damaged(rides, tuple(_ride_fields())), damaged(beats, tuple(_heartbeat_fields()))
+        zone = fields["zone_id"].cast("string")
+        return (
+            F.when(case == 1, F.rtrim(json(), F.lit("}")))
+            .when(case == 2, F.concat(F.lit("["), json(), F.lit("]")))
+            .when(case == 3, json(skip="zone_id"))
+            .when(case == 4, json(zone_id=F.lit("x")))
+            .when(case == 5, json(zone_id=F.concat(F.lit(" "), zone, F.lit(".9 "))))
+            .when(case == 6, json(skip="ts_event"))
+            .otherwise(json())
+        )
+
+    rows = table(spark, sf_dir, "events")
+    rides = rows.filter(_is_ride()).select("event_id", built(_ride_fields()).alias("value"))
+    beats = rows.filter(_is_heartbeat()).select("event_id", built(_heartbeat_fields()).alias("value"))
+    return rides, beats
 
 
 def contract_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -205,16 +205,19 @@ def contract_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     rides = rows.filter(_is_ride()).select(
         "event_id", built(_ride_fields(), "event_id", "payment_type").alias("value")
     )
-    beats = rows.filter(~_is_ride()).select(
+    beats = rows.filter(_is_heartbeat()).select(
         "event_id", built(_heartbeat_fields(), "driver_id", "status").alias("value")
     )
     return rides, beats
 
 
 def sample_fares(spark: SparkSession) -> DataFrame:
-    rows = [(z, *[Decimal(x) for x in rates], kind, active) for z, *rates, kind, active in SAMPLE_FARES]
-    rates_schema = schemas.FARE_CONFIG.split(", created_at")[0]
-    return spark.createDataFrame(rows, rates_schema).withColumns(
+    rows = ", ".join(
+        f"({zone}, {', '.join(rates)}, '{kind}', {active})" for zone, *rates, kind, active in SAMPLE_FARES
+    )
+    fares = spark.sql(f"SELECT * FROM VALUES {rows} AS f({', '.join(FARE_COLUMNS)})")
+    typed = schemas.FARE_CONFIG.split(", ")[: len(FARE_COLUMNS)]
+    return fares.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in typed]).withColumns(
         {"created_at": instant(AS_OF_MS), "updated_at": instant(AS_OF_MS)}
     )
 

@@ -309,11 +309,11 @@ FROM upd""",
     "history_rollup_range": _with(
         f"{_HIST} in_range",
         _rollup(
-            "(SELECT *, count(*) OVER (PARTITION BY zone_id) AS n FROM in_range)",
+            "in_range",
             f"({TO} - window_end) // {W * 12} AS page,",
             f"CAST({FROM} AS BIGINT)",
             f"CAST({TO} AS BIGINT)",
-            "CAST(max(n) AS BIGINT)",
+            "CAST(count(*) AS BIGINT)",
         )
         + " GROUP BY 1, 2",
     ),

@@ -31,6 +31,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, app: str = "ride
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

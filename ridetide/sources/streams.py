@@ -89,12 +89,11 @@ def publish(updates: DataFrame, sink: Broker | Files, output_mode: str) -> DataS
     return writer.foreachBatch(write)
 
 
-def debug_print(updates: DataFrame, output_mode: str, label: str = "PRICE-UPDATE") -> DataStreamWriter:
+def debug_lines(updates: DataFrame, label: str = "PRICE-UPDATE") -> DataFrame:
+    return updates.select(F.concat(F.lit(f"{label}> "), price_update_json()).alias("value"))
+
+
+def debug_print(updates: DataFrame, output_mode: str) -> DataStreamWriter:
     """Writer that prints every update to the console of the driver."""
-    line = F.concat(F.lit(f"{label}> "), price_update_json())
-    return (
-        updates.select(line.alias("value"))
-        .writeStream.outputMode(output_mode)
-        .format("console")
-        .option("truncate", "false")
-    )
+    lines = debug_lines(updates).writeStream.outputMode(output_mode)
+    return lines.format("console").option("truncate", "false")

@@ -53,38 +53,39 @@ PRICE_UPDATE = {
 }
 
 
+def parse_document(value: Column) -> Column:
+    """JSON object -> map of its fields as variants; null for anything else."""
+    return F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
+
+
 def field_readings(document: Column, name: str, rule: Rule) -> dict[str, Column]:
     """What the checks of one field need: its JSON type, and its text or number."""
-    path = f"$.{name}"
-    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
-    content = F.try_variant_get(document, path, "string" if rule.type == "string" else "double")
-    return {"kind": kind, "content": content}
+    content_type = "string" if rule.type == "string" else "double"
+    return {
+        "kind": F.schema_of_variant(document[name]),
+        "content": F.try_variant_get(document[name], "$", content_type),
+    }
 
 
 def contract_violations(
-    document: Column, value: Column, readings: dict[str, dict[str, Column]], contract: dict[str, Rule], check_format: bool
+    document: Column, readings: dict[str, dict[str, Column]], contract: dict[str, Rule], check_format: bool
 ) -> Column:
     """Sorted ``field:rule`` texts, empty when the payload keeps the contract.
 
-    ``document`` is ``try_parse_json(value)`` and ``readings`` the columns of ``field_readings``,
-    computed once by the caller in flat columns: the optimizer inlines the parts of a struct.
+    ``document`` is a column of ``parse_document`` and ``readings`` are columns of
+    ``field_readings``, computed once by the caller in flat columns: the optimizer inlines the
+    parts of a struct.
     """
-    checks = [
-        check for name, rule in contract.items() for check in _checks(readings[name], name, rule, check_format)
-    ]
-    unknown = F.array_except(F.json_object_keys(value), F.array(*[F.lit(name) for name in contract]))
-    extra = F.transform(unknown, lambda key: F.concat(key, F.lit(":additional")))
+    checks = [_check(readings[name], name, rule, check_format) for name, rule in contract.items()]
+    unknown = F.array_except(F.map_keys(document), F.array(*[F.lit(name) for name in contract]))
+    extra = F.when(F.size(unknown) > 0, F.transform(unknown, lambda key: F.concat(key, F.lit(":additional"))))
     found = F.concat(F.array_compact(F.array(*checks)), F.coalesce(extra, F.array().cast("array<string>")))
-    is_object = F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, F.array_sort(found)).otherwise(F.array(F.lit("payload:type")))
+    return F.when(document.isNull(), F.array(F.lit("payload:type"))).otherwise(F.sort_array(found))
 
 
-def _checks(reading: dict[str, Column], name: str, rule: Rule, check_format: bool) -> list[Column]:
+def _check(reading: dict[str, Column], name: str, rule: Rule, check_format: bool) -> Column:
+    """The broken rule of one field, or null. A field can break one rule at a time."""
     kind, content = reading["kind"], reading["content"]
-
-    def broken(what: str, condition: Column) -> Column:
-        return F.when(condition, F.lit(f"{name}:{what}"))
-
     if rule.type == "string":
         fits = kind == "STRING"
     else:
@@ -92,15 +93,14 @@ def _checks(reading: dict[str, Column], name: str, rule: Rule, check_format: boo
     if rule.type == "integer":
         fits = fits & (content == F.floor(content))
 
-    checks = [broken("type", kind.isNotNull() & ~fits)]
-    if rule.required:
-        checks.append(broken("required", kind.isNull()))
+    missing = F.lit(f"{name}:required") if rule.required else F.lit(None).cast("string")
+    broken = F.when(kind.isNull(), missing).when(~fits, F.lit(f"{name}:type"))
     if rule.minimum is not None:
-        checks.append(broken("minimum", fits & (content < F.lit(float(rule.minimum)))))
+        broken = broken.when(content < F.lit(float(rule.minimum)), F.lit(f"{name}:minimum"))
     if rule.maximum is not None:
-        checks.append(broken("maximum", fits & (content > F.lit(float(rule.maximum)))))
+        broken = broken.when(content > F.lit(float(rule.maximum)), F.lit(f"{name}:maximum"))
     if rule.enum:
-        checks.append(broken("enum", fits & ~content.isin(*rule.enum)))
+        broken = broken.when(~content.isin(*rule.enum), F.lit(f"{name}:enum"))
     if rule.uuid and check_format:
-        checks.append(broken("format", fits & ~content.rlike(UUID_PATTERN)))
-    return checks
+        broken = broken.when(~content.rlike(UUID_PATTERN), F.lit(f"{name}:format"))
+    return broken

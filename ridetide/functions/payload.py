@@ -62,42 +62,41 @@ def as_int(fields: Column, name: str, value: Column) -> Column:
     A whole number beyond 32 bits keeps its low 32 bits, a fractional one the nearest bound.
     """
     text = fields[name]
-    wide = text.try_cast("bigint")
-    low_bits = (F.pmod(wide, F.lit(2**32)) + F.lit(2**31)) % F.lit(2**32) - F.lit(2**31)
+    low_bits = (F.pmod(_whole(text), F.lit(2**32)) + F.lit(2**31)) % F.lit(2**32) - F.lit(2**31)
     return F.coalesce(
-        text.try_cast("int"),
-        low_bits.cast("int"),
-        _cut(text, INT_MIN, INT_MAX).cast("int"),
-        _bare_true(text, name, value).cast("int"),
-        F.lit(0),
-    )
+        low_bits, _cut(text, INT_MIN, INT_MAX), _bare_true(text, name, value), F.lit(0)
+    ).cast("int")
 
 
 def as_long(fields: Column, name: str, value: Column) -> Column:
     """As ``as_int`` with 64 bits."""
     text = fields[name]
-    return F.coalesce(
-        text.try_cast("bigint"),
-        _cut(text, LONG_MIN, LONG_MAX),
-        _bare_true(text, name, value).cast("bigint"),
-        F.lit(0).cast("bigint"),
-    )
+    return F.coalesce(_whole(text), _cut(text, LONG_MIN, LONG_MAX), _bare_true(text, name, value), F.lit(0))
 
 
 def as_double(fields: Column, name: str, value: Column) -> Column:
     return F.coalesce(fields[name].try_cast("double"), F.lit(0.0))
 
 
+# A failing cast costs a hundred times a successful one, so the shape is checked first.
+_WHOLE_SHAPE = "^\\s*[+-]?[0-9]{1,19}\\s*$"
+_REAL_SHAPE = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+|Infinity)([eE][+-]?[0-9]+)?\\s*$"
+
+
+def _whole(text: Column) -> Column:
+    return F.when(text.rlike(_WHOLE_SHAPE), text.try_cast("bigint"))
+
+
 def _cut(text: Column, low: int, high: int) -> Column:
-    real = text.try_cast("double")
+    real = F.when(text.rlike(_REAL_SHAPE), text.try_cast("double"))
     return (
-        F.when(F.isnan(real), F.lit(0).cast("bigint"))
-        .when(real >= F.lit(float(high)), F.lit(high).cast("bigint"))
+        F.when(real >= F.lit(float(high)), F.lit(high).cast("bigint"))
         .when(real <= F.lit(float(low)), F.lit(low).cast("bigint"))
-        .otherwise(real.try_cast("bigint"))
+        .when(real.isNotNull(), real.try_cast("bigint"))
     )
 
 
 def _bare_true(text: Column, name: str, value: Column) -> Column:
     """1 for a bare JSON true; the quoted text is no number."""
-    return F.when((text == "true") & value.rlike(f'"{name}"\\s*:\\s*true'), F.lit(1))
+    is_true = (text == "true") & value.rlike(f'"{name}"\\s*:\\s*true')
+    return F.when(is_true, F.lit(1).cast("bigint"))

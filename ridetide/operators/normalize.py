@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridetide.functions import payload
-from ridetide.functions.contracts import Rule, contract_violations, field_readings
+from ridetide.functions.contracts import Rule, contract_violations, field_readings, parse_document
 from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis
 from ridetide.schemas import PRICE_UPDATE_FIELDS
 
@@ -82,11 +82,11 @@ def check_contract(
     """Add ``violations ARRAY<STRING>``; opt-in, drops nothing."""
     document = F.col("__document")
     parts = {name: field_readings(document, name, rule) for name, rule in contract.items()}
-    read = raw.withColumn("__document", F.try_parse_json(F.col(value))).withColumns(
+    read = raw.withColumn("__document", parse_document(F.col(value))).withColumns(
         {f"__{name}_{part}": column for name, columns in parts.items() for part, column in columns.items()}
     )
     readings = {name: {part: F.col(f"__{name}_{part}") for part in columns} for name, columns in parts.items()}
-    found = contract_violations(document, F.col(value), readings, contract, check_format)
+    found = contract_violations(document, readings, contract, check_format)
     return read.select(*raw.columns, found.alias("violations"))
 
 

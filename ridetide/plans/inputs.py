@@ -155,19 +155,17 @@ def damaged_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     case = F.col("event_id") % 7
 
     def built(fields: dict[str, Column]) -> Column:
-        def json(skip: str | None = None, **changes: Column) -> Column:
-            kept = {**fields, **changes}
-            return F.to_json(_as_struct({name: c for name, c in kept.items() if name != skip}))
-
-        zone = fields["zone_id"].cast("string")
+        # A null field is left out of the text.
+        zone = fields["zone_id"]
+        time = F.when(case != 6, fields["ts_event"])
+        plain = F.to_json(_as_struct({**fields, "zone_id": F.when(case != 3, zone), "ts_event": time}))
+        text = F.when(case == 4, "x").otherwise(F.concat(F.lit(" "), zone.cast("string"), F.lit(".9 ")))
+        quoted = F.to_json(_as_struct({**fields, "zone_id": text}))
         return (
-            F.when(case == 1, F.rtrim(json(), F.lit("}")))
-            .when(case == 2, F.concat(F.lit("["), json(), F.lit("]")))
-            .when(case == 3, json(skip="zone_id"))
-            .when(case == 4, json(zone_id=F.lit("x")))
-            .when(case == 5, json(zone_id=F.concat(F.lit(" "), zone, F.lit(".9 "))))
-            .when(case == 6, json(skip="ts_event"))
-            .otherwise(json())
+            F.when(case.isin(4, 5), quoted)
+            .when(case == 1, F.rtrim(plain, F.lit("}")))
+            .when(case == 2, F.concat(F.lit("["), plain, F.lit("]")))
+            .otherwise(plain)
         )
 
     rows = table(spark, sf_dir, "events")
@@ -183,23 +181,18 @@ def contract_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     case = F.col("event_id") % 6
 
     def built(fields: dict[str, Column], id_field: str, enum_field: str) -> Column:
-        base = dict(fields)
-
-        def change(**changes: Column) -> Column:
-            return F.to_json(_as_struct({**base, **changes}))
-
-        missing = {name: column for name, column in base.items() if name != enum_field}
-        return (
-            F.when(case == 1, change(zone_id=base["zone_id"] + 64))
-            .when(case == 2, change(ts_event=-base["ts_event"]))
-            .when(case == 3, change(**{enum_field: F.lit("OTHER")}))
-            .when(
-                case == 4,
-                change(**{"zone_id": base["zone_id"].cast("string"), id_field: F.lit("plain")}),
-            )
-            .when(case == 5, F.to_json(_as_struct({**missing, "extra": F.lit(1)})))
-            .otherwise(F.to_json(_as_struct(base)))
-        )
+        # A null field is left out of the text.
+        zone, time, name = fields["zone_id"], fields["ts_event"], fields[enum_field]
+        changed = {
+            **fields,
+            id_field: F.when(case == 4, "plain").otherwise(fields[id_field]),
+            "zone_id": F.when(case == 1, zone + 64).otherwise(zone),
+            "ts_event": F.when(case == 2, -time).otherwise(time),
+            enum_field: F.when(case == 3, "OTHER").when(case != 5, name),
+            "extra": F.when(case == 5, 1),
+        }
+        quoted = {**changed, "zone_id": zone.cast("string")}
+        return F.when(case == 4, F.to_json(_as_struct(quoted))).otherwise(F.to_json(_as_struct(changed)))
 
     rows = table(spark, sf_dir, "events")
     rides = rows.filter(_is_ride()).select(

@@ -5,15 +5,17 @@ events, and drops events once the watermark reaches its end plus the lateness. B
 aggregation cannot both fire at the end and keep state beyond it.
 
 State is keyed by (zone, window), not by zone: windows are independent, so a hot zone is spread
-over its windows. Before the shuffle each Arrow batch is reduced to one row per zone and window,
-so that a key receives partial counts and never single events.
+over its windows. Before the shuffle each task reduces its events to one row per zone and window,
+so that a key receives one partial count per task and never single events.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,17 +23,34 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ridetide.functions.instants import window_start_ms
 from ridetide.operators.windows import is_demand, is_supply
 
+# The functions below run in Python workers, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEYS = ["zone_id", "window_start"]
 _PARTIAL = "zone_id INT, window_start BIGINT, demand BIGINT, supply BIGINT"
 _FIRED = "zone_id INT, window_start BIGINT, window_end BIGINT, demand BIGINT, supply BIGINT"
 
 
+# Sums a task holds before it passes them on; bounds its memory, not the result.
+_HELD_SUMS = 200_000
+
+
+def _sums(tables: list[pa.Table]) -> pa.Table:
+    rows = pa.concat_tables(tables, promote_options="default")
+    summed = rows.group_by(_KEYS).aggregate([("demand", "sum"), ("supply", "sum")])
+    return summed.select([*_KEYS, "demand_sum", "supply_sum"]).rename_columns(rows.schema.names)
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
     for batch in batches:
-        groups = pa.Table.from_batches([batch]).group_by(_KEYS)
-        summed = groups.aggregate([("demand", "sum"), ("supply", "sum")])
-        named = summed.select([*_KEYS, "demand_sum", "supply_sum"]).rename_columns(batch.schema.names)
-        yield from named.to_batches()
+        rows = pa.Table.from_batches([batch])
+        held = _sums([rows] if held is None else [held, rows])
+        if held.num_rows > _HELD_SUMS:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
 
 
 class _WindowFiring(StatefulProcessor):

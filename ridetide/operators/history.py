@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridetide.functions.instants import instant, iso_text
+from ridetide.functions.instants import instant, iso_text, now_ms
 from ridetide.operators.latest import HISTORY_COLUMNS
 from ridetide.params import AUDIT_RECORDS, HISTORY_HOURS, READ_ZONES, RECENT_WINDOWS
 
@@ -27,10 +25,14 @@ def zone_rows(table: DataFrame, zone_id: int | None) -> DataFrame:
 
 
 def in_range(history: DataFrame, from_ms: int, to_ms: int, zone_id: int | None = None) -> DataFrame:
-    """Windows that lie fully inside the range, both ends included."""
-    return zone_rows(history, zone_id).filter(
-        (F.col("window_start") >= instant(from_ms)) & (F.col("window_end") <= instant(to_ms))
-    )
+    """Windows that lie fully inside the range, both ends included.
+
+    A window starts before it ends, so its start is bounded on both sides; that condition reaches
+    the scan of a stored history, whose key is the start.
+    """
+    low, high = instant(from_ms), instant(to_ms)
+    start, end = F.col("window_start"), F.col("window_end")
+    return zone_rows(history, zone_id).filter((start >= low) & (start < high) & (end <= high))
 
 
 def history_range(history: DataFrame, from_ms: int, to_ms: int, zone_id: int | None = None) -> DataFrame:
@@ -109,9 +111,8 @@ def zone_history(
     low, high = READ_ZONES
     if not low <= zone_id <= high:
         raise ValueError(f"zone_id not in {low}..{high}")
-    now = as_of_ms if as_of_ms is not None else int(datetime.now(timezone.utc).timestamp() * 1000)
-    to = to_ms if to_ms is not None else now
-    start = from_ms if from_ms is not None else to - int(timedelta(hours=HISTORY_HOURS).total_seconds() * 1000)
+    to = next(ms for ms in (to_ms, as_of_ms, now_ms()) if ms is not None)
+    start = from_ms if from_ms is not None else to - HISTORY_HOURS * 3_600_000
     if from_ms is None and to_ms is None:
         found = rollup_recent(history_recent(history, zone_id=zone_id)).withColumn("page", F.lit(0).cast("bigint"))
     else:

@@ -11,13 +11,17 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# transformWithState needs the RocksDB provider; with changelog checkpointing a commit uploads
-# only what a micro-batch changed, whatever the size of the state.
-STATE_CONF = {
+# What the streaming jobs rely on. transformWithState needs the RocksDB provider; with changelog
+# checkpointing a commit uploads only what a micro-batch changed, whatever the size of the state.
+# Of several watermarks the slowest counts, and a watermark that moves without new input still
+# fires windows.
+STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.multipleWatermarkPolicy": "min",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
 
 

@@ -107,7 +107,7 @@ def price_windows_exact(events: DataFrame, window_ms: int, lateness_ms: int) ->
     """(zone_id, window_start, window_end, demand, supply) in firing order.
 
     ``events`` is a streaming frame whose watermark delay is the out-of-orderness alone. The
-    session that starts the query needs ``ridetide.session.STATE_CONF``. Use output mode update.
+    session that starts the query needs ``ridetide.session.STREAM_CONF``. Use output mode update.
     """
     flags = events.select(
         "zone_id",

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ridetide.operators.normalize import HEARTBEAT, RIDE, normalize, union_events, with_event_time
 from ridetide.operators.windows import to_price_updates, zone_demand_supply
 from ridetide.params import PricingParams
-from ridetide.session import STATE_CONF, session_conf
+from ridetide.session import STREAM_CONF, session_conf
 from ridetide.streaming.exact import price_windows_exact
 
 LIVE, FINAL, EXACT = "live", "final", "exact"
@@ -98,5 +98,5 @@ def start(
     if name:
         writer = writer.queryName(name)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    with session_conf(spark, STATE_CONF):
+    with session_conf(spark, STREAM_CONF):
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -68,6 +68,17 @@ class UpdateLog:
             f"{self._path}/folded/upto={upto}"
         )
 
+    def expire(self) -> None:
+        """Remove what the last generation has made superfluous: the batches in it and the
+        generations before it. Not while an older generation is still being read."""
+        folded = self._last_generation()
+        if folded is None:
+            return
+        for pattern, last in ((f"log/{_BATCH}=*", folded), ("folded/upto=*", folded - 1)):
+            for status in self._found(f"{self._path}/{pattern}"):
+                if int(status.getPath().getName().split("=")[1]) <= last:
+                    self._files(status.getPath()).delete(status.getPath(), True)
+
     def _read(self, folder: str, schema: str) -> DataFrame:
         path = f"{self._path}/{folder}"
         if not self._found(path):
@@ -76,8 +87,10 @@ class UpdateLog:
 
     def _found(self, pattern: str) -> list:
         path = self._spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        files = path.getFileSystem(self._spark._jsc.hadoopConfiguration())
-        return list(files.globStatus(path) or [])
+        return list(self._files(path).globStatus(path) or [])
+
+    def _files(self, path):
+        return path.getFileSystem(self._spark._jsc.hadoopConfiguration())
 
     def _last_generation(self) -> int | None:
         """Newest complete generation: its write has left a success marker."""

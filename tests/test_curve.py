@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ridetide.functions.curve import demand_supply_ratio, surge_multiplier
 from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, iso_text, window_start_ms
+from ridetide.session import session_conf
 
 GOLDEN_SURGE = {
     0.0: 1.0, 0.1: 1.0, 0.5: 1.0, 0.53: 1.03, 0.65: 1.15, 0.8: 1.3, 1.0: 1.65, 1.2: 2.0, 1.5: 2.75,
@@ -49,6 +50,12 @@ def test_windows_are_epoch_aligned_also_before_1970(spark):
     assert got == [10_000, 15_000, -5_000, -5_000]
 
 
+def test_iso_text_is_utc_in_any_session(spark):
+    with session_conf(spark, {"spark.sql.session.timeZone": "America/New_York"}):
+        text = spark.range(1).select(iso_text(F.timestamp_millis(F.lit(1_704_067_200_000)))).first()[0]
+    assert text == "2024-01-01T00:00:00Z"
+
+
 def test_iso_text_writes_as_many_digits_as_needed(spark):
     micros = spark.createDataFrame([(0,), (1_000_000,), (1_500_000,), (1_000_001,)], "m BIGINT")
     ts = F.timestamp_micros("m")

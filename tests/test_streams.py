@@ -2,19 +2,22 @@ from __future__ import annotations
 
 import json
 import os
+import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from ridetide.operators.history import history_range
 from ridetide.operators.normalize import RIDE, normalize, to_table_types
 from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
 from ridetide.plans import inputs
-from ridetide.session import CHECKPOINT_DIR, STATE_CONF, session_conf, shared_dir
+from ridetide.schemas import PRICE_UPDATE
+from ridetide.session import CHECKPOINT_DIR, STREAM_CONF, session_conf, shared_dir
 from ridetide.sources.streams import PRICE_UPDATES, Broker, Files, debug_lines, debug_print, publish, raw_batch, raw_stream
 from ridetide.streaming import job
-from ridetide.streaming.consumer import consume, store_updates
+from ridetide.streaming.consumer import consume, log_rows, store_updates
 from ridetide.streaming.store import UpdateLog
 
 BASE = 1_000_000
@@ -103,6 +106,81 @@ def test_exact_late_first_event_fires_at_once(spark, tmp_path):
     assert got == [[], [(0, 1, 1)], [(0, 2, 1)]]
 
 
+def expected_firings(batches, size=5000, delay=10000, lateness=10000):
+    """Plain model of the firing rule. batches: lists of (zone, ts, demand, supply)."""
+    counts, fired, watermark, newest, out = {}, set(), 0, 0, []
+    for batch in batches:
+        emitted, touched = [], set()
+        for zone, ts, demand, supply in batch:
+            newest = max(newest, ts)
+            key = (zone, ts // size * size)
+            if key[1] + size + lateness > watermark:
+                held = counts.setdefault(key, [0, 0])
+                held[0] += demand
+                held[1] += supply
+                touched.add(key)
+        for key in touched:
+            if key[1] + size <= watermark:
+                emitted.append((*key, *counts[key]))
+                fired.add(key)
+        watermark = max(watermark, newest - delay)
+        for key, held in counts.items():
+            if key not in fired and key[1] + size <= watermark:
+                emitted.append((*key, *held))
+                fired.add(key)
+        out.append(sorted(emitted))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_mode_against_a_plain_model(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    batches = []
+    for step in range(7):
+        ahead = BASE + step * 6_000
+        batches.append(
+            [
+                (rng.randint(1, 3), ahead + rng.choice([0, 0, 0, -9_000, -16_000, -24_000]) + rng.randint(0, 4_999), *rng.choice([(1, 0), (0, 1), (0, 0)]))
+                for _ in range(12)
+            ]
+        )
+    got = []
+
+    def sink(batch, batch_id):
+        got[-1] += [(r.zone_id, r.window_start, r.demand, r.supply) for r in batch.collect()]
+
+    for name in ("rides", "beats"):
+        os.makedirs(tmp_path / name)
+    raw = [raw_stream(spark, Files(str(tmp_path / name))) for name in ("rides", "beats")]
+    stream = job.price_stream_of_json(*raw, PARAMS, job.EXACT, job.UNION)
+    query = started(spark, stream, tmp_path / "ck", sink)
+    kinds = []
+    for number, batch in enumerate(batches):
+        got.append([])
+        # All events go through the heartbeat stream except demand, in two steps with one
+        # watermark, so each step is one batch of the model.
+        for name, rows in (
+            ("rides", [{"zone_id": z, "ts_event": t} for z, t, d, _ in batch if d]),
+            ("beats", [{"zone_id": z, "ts_event": t, "status": "AVAILABLE" if s else "BUSY"} for z, t, d, s in batch if not d]),
+        ):
+            if rows:
+                if got[-1] or kinds and kinds[-1] == number:
+                    got.append([])
+                kinds.append(number)
+                hidden = tmp_path / name / f".{number}"
+                hidden.write_text("".join(json.dumps(r) + "\n" for r in rows))
+                hidden.rename(tmp_path / name / f"{number:03}.json")
+                query.processAllAvailable()
+    query.stop()
+    steps = [
+        part
+        for batch in batches
+        for part in ([e for e in batch if e[2]], [e for e in batch if not e[2]])
+        if part
+    ]
+    assert [sorted(rows) for rows in got] == expected_firings(steps)
+
+
 TWO_STREAMS = [
     ([1000, 2000], [(1500, "AVAILABLE"), (3000, "BUSY")]),
     ([15000], [(15000, "AVAILABLE")]),
@@ -185,6 +263,24 @@ def test_restart_replay_and_batch_equivalence(spark, sf_dir, tmp_path):
     log.compact(batch_ids[2])
     assert (sorted(log.history().collect()), sorted(log.snapshot().collect()), sorted(log.snapshot(True).collect())) == before
     assert log.rows().count() == len(stored)
+    log.expire()
+    assert not list((tmp_path / "updates" / "log").glob("batch_id=*"))
+    assert (sorted(log.history().collect()), sorted(log.snapshot().collect())) == before[:2]
+
+
+def test_stored_history_is_pruned_by_the_range(spark, tmp_path):
+    log = UpdateLog(spark, str(tmp_path / "updates"))
+    wire = spark.createDataFrame([json.loads(update_line(1, w * 5000, 1)) for w in range(10)], PRICE_UPDATE)
+    log.append(log_rows(wire.withColumn("seq", F.lit(0).cast("bigint")), 0), 0)
+    log.compact(0)
+    found = history_range(log.history(), 10_000, 20_000, 1)
+    assert [r.window_start.second for r in found.collect()] == [15, 10]
+    explain = spark._jvm.PythonSQLUtils.explainString
+    scans = [line for line in explain(found._jdf.queryExecution(), "formatted").splitlines() if "PushedFilters" in line]
+    assert scans
+    for scan in scans:
+        for pushed in ("EqualTo(zone_id,1)", "GreaterThanOrEqual(window_start,", "LessThan(window_start,"):
+            assert pushed in scan
 
 
 def test_empty_log(spark, tmp_path):
@@ -275,9 +371,9 @@ def test_shared_dir_comes_from_the_session():
 
 
 def test_session_settings_are_put_back(spark):
-    key = next(iter(STATE_CONF))
+    key = next(iter(STREAM_CONF))
     before = spark.conf.get(key, None)
-    with session_conf(spark, STATE_CONF):
+    with session_conf(spark, STREAM_CONF):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key, None) == before
 

@@ -41,17 +41,24 @@ def consume(
     repeated micro-batch replaces its log and feed folders.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        updates = decode_price_updates(batch, carry=("seq",))
-        log.append(log_rows(updates, as_of_ms), batch_id)
-        if feed_path is None:
-            return
+    def write_feeds(updates: DataFrame, batch_id: int) -> None:
         feed = all_zones_feed(updates, as_of_ms).select("value")
         feed.write.mode("overwrite").text(f"{feed_path}/all/batch_id={batch_id}")
         if subscriptions is not None:
             zones = zone_feed(updates, subscriptions, as_of_ms)
-            zones.write.mode("overwrite").partitionBy("zone_id").text(
-                f"{feed_path}/zones/batch_id={batch_id}"
-            )
+            zones.write.mode("overwrite").partitionBy("zone_id").text(f"{feed_path}/zones/batch_id={batch_id}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        updates = decode_price_updates(batch, carry=("seq",))
+        if feed_path is None:
+            log.append(log_rows(updates, as_of_ms), batch_id)
+            return
+        # Read and decoded once for the log and the feeds; lost blocks are computed again.
+        updates = updates.persist()
+        try:
+            log.append(log_rows(updates, as_of_ms), batch_id)
+            write_feeds(updates, batch_id)
+        finally:
+            updates.unpersist()
 
     return raw.writeStream.foreachBatch(write)

@@ -154,19 +154,14 @@ def test_exact_mode_against_a_plain_model(spark, tmp_path, seed):
     raw = [raw_stream(spark, Files(str(tmp_path / name))) for name in ("rides", "beats")]
     stream = job.price_stream_of_json(*raw, PARAMS, job.EXACT, job.UNION)
     query = started(spark, stream, tmp_path / "ck", sink)
-    kinds = []
     for number, batch in enumerate(batches):
-        got.append([])
-        # All events go through the heartbeat stream except demand, in two steps with one
-        # watermark, so each step is one batch of the model.
+        # Rides, then heartbeats: each file is one micro-batch, and one batch of the model.
         for name, rows in (
             ("rides", [{"zone_id": z, "ts_event": t} for z, t, d, _ in batch if d]),
             ("beats", [{"zone_id": z, "ts_event": t, "status": "AVAILABLE" if s else "BUSY"} for z, t, d, s in batch if not d]),
         ):
             if rows:
-                if got[-1] or kinds and kinds[-1] == number:
-                    got.append([])
-                kinds.append(number)
+                got.append([])
                 hidden = tmp_path / name / f".{number}"
                 hidden.write_text("".join(json.dumps(r) + "\n" for r in rows))
                 hidden.rename(tmp_path / name / f"{number:03}.json")

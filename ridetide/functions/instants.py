@@ -24,6 +24,14 @@ def window_start_ms(ms: Column, size_ms: int) -> Column:
     return ms - F.pmod(ms, F.lit(size_ms).cast("bigint"))
 
 
+def table_decimal(number: Column, sql_type: str) -> Column:
+    """Shortest decimal text of the double, rounded half-up; fails when the type cannot hold it,
+    whatever the ANSI setting of the session."""
+    problem = F.concat(F.lit(f"out of range for {sql_type}: "), number.cast("string"))
+    overflow = F.when(number.isNotNull(), F.raise_error(problem).cast(sql_type))
+    return F.coalesce(number.try_cast(sql_type), overflow)
+
+
 def instant(ms: int | None) -> Column:
     """Literal instant; the current one when ``ms`` is None."""
     return F.current_timestamp() if ms is None else F.timestamp_millis(F.lit(ms).cast("bigint"))

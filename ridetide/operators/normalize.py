@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridetide.functions import payload
 from ridetide.functions.contracts import Rule, contract_violations, field_readings, parse_document
-from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis
+from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis, table_decimal
 from ridetide.schemas import PRICE_UPDATE_FIELDS
 
 RIDE = "RIDE"
@@ -130,8 +130,8 @@ def to_table_types(updates: DataFrame) -> DataFrame:
         {
             "window_start": from_millis(F.col("window_start")),
             "window_end": from_millis(F.col("window_end")),
-            "ratio": F.col("ratio").cast(RATIO_TYPE),
-            "surge_multiplier": F.col("surge_multiplier").cast(SURGE_TYPE),
+            "ratio": table_decimal(F.col("ratio"), RATIO_TYPE),
+            "surge_multiplier": table_decimal(F.col("surge_multiplier"), SURGE_TYPE),
             "ts_compute": from_millis(F.col("ts_compute")),
         }
     )

@@ -18,6 +18,7 @@ from ridetide.operators.normalize import (
     to_table_types,
 )
 from ridetide.schemas import PRICE_UPDATE
+from ridetide.session import session_conf
 
 ZONES = {
     "7": 7,
@@ -127,10 +128,13 @@ def test_unusable_price_update_fails(spark, value):
         decode_price_updates(raw(spark, [good, value])).select("zone_id").collect()
 
 
-def test_ratio_beyond_the_table_type_fails(spark):
-    updates = spark.createDataFrame([(1, 0, 5, 2_000_000, 1, 2e6, 7.0, 5)], PRICE_UPDATE)
-    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
-        to_table_types(updates).collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("ratio", [2e6, float("inf"), float("nan")])
+def test_ratio_beyond_the_table_type_fails(spark, ansi, ratio):
+    updates = spark.createDataFrame([(1, 0, 5, 2_000_000, 1, ratio, 7.0, 5)], PRICE_UPDATE)
+    with session_conf(spark, {"spark.sql.ansi.enabled": ansi}):
+        with pytest.raises(Exception, match="out of range for decimal"):
+            to_table_types(updates).collect()
 
 
 def test_contract_rules(spark):

@@ -13,5 +13,24 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert difference(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name], sf_dir) is None
 
 
+BATCH = [name for name in entry.queries() if not name.startswith("stream_")]
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_plans_hold_at_scale(spark, sf_dir, name):
+    """No cross join, no Python per row, and a single task only ever gets combined rows."""
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
+        assert operator not in plan
+    lines = plan.splitlines()
+    for line, below in zip(lines, lines[1:]):
+        if "Exchange SinglePartition" in line:
+            assert "partial_" in below or "TakeOrderedAndProject" in below
+
+
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

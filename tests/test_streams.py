@@ -3,9 +3,12 @@ from __future__ import annotations
 import json
 import os
 import random
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ridetide.operators.history import history_range
@@ -16,7 +19,7 @@ from ridetide.plans import inputs
 from ridetide.schemas import PRICE_UPDATE
 from ridetide.session import CHECKPOINT_DIR, STREAM_CONF, session_conf, shared_dir
 from ridetide.sources.streams import PRICE_UPDATES, Broker, Files, debug_lines, debug_print, publish, raw_batch, raw_stream
-from ridetide.streaming import job
+from ridetide.streaming import exact, job
 from ridetide.streaming.consumer import consume, log_rows, store_updates
 from ridetide.streaming.store import UpdateLog
 
@@ -373,6 +376,23 @@ def test_session_settings_are_put_back(spark):
     assert spark.conf.get(key, None) == before
 
 
+def test_worker_code_needs_no_installed_package(tmp_path):
+    """Executors need not have this package: the exact mode travels by value."""
+    shipped = tmp_path / "shipped"
+    shipped.write_bytes(cloudpickle.dumps((exact._add_up, exact._WindowFiring(5, 5))))
+    script = (
+        "import sys, pyarrow as pa\n"
+        "from pyspark import cloudpickle\n"
+        f"add_up, _ = cloudpickle.loads(open({str(shipped)!r}, 'rb').read())\n"
+        "rows = pa.record_batch({'zone_id': [1, 1], 'window_start': [0, 0], 'demand': [1, 2], 'supply': [0, 1]})\n"
+        "(summed,) = add_up(iter([rows, rows]))\n"
+        "assert 'ridetide' not in sys.modules and summed.to_pylist() == [\n"
+        "    {'zone_id': 1, 'window_start': 0, 'demand': 6, 'supply': 2}]\n"
+    )
+    env = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, check=True, timeout=60)
+
+
 def test_unknown_modes(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in")
     with pytest.raises(ValueError, match="unknown mode"):

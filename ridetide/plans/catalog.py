@@ -421,3 +421,8 @@ def stream_zone_feed(spark, sf_dir):
 @query
 def stream_quotes(spark, sf_dir):
     return in_millis(streams.streamed_quotes(spark, sf_dir))
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    return streams.quarantined(spark, sf_dir)

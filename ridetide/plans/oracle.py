@@ -273,6 +273,12 @@ ORACLE: dict[str, str] = {
         "ev",
         """SELECT event_id, CASE event_id % 7 WHEN 3 THEN 'missing zone_id' WHEN 6 THEN 'missing ts_event'
   ELSE 'unparsable' END AS reason FROM ev WHERE event_id % 7 IN (1, 2, 3, 6)""",
+    ),
+    "stream_quarantine": _with(
+        "ev",
+        """SELECT kind, CASE event_id % 7 WHEN 3 THEN 'missing zone_id' WHEN 6 THEN 'missing ts_event'
+  ELSE 'unparsable' END AS reason, CAST(count(*) AS BIGINT) AS payloads
+FROM ev WHERE event_id % 7 IN (1, 2, 3, 6) GROUP BY 1, 2""",
     ),
     "contract_violations": _contract(),
     "price_update_contract": _with(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridetide.operators.latest import last_by, snapshot_of_history
-from ridetide.operators.normalize import decode_price_updates, to_table_types
+from ridetide.operators.normalize import HEARTBEAT, RIDE, decode_price_updates, quarantine, to_table_types
 from ridetide.operators.pricing import quotes
 from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
@@ -94,6 +94,20 @@ def consumed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(f"{feeds}/zones").select(F.col("zone_id").cast("int").alias("zone_id"), "value")
 
 
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused payloads of both raw streams, stored with their reason, counted by kind and reason."""
+    folder = shared_dir(spark, "quarantine")
+    refused = f"{folder}/refused"
+    for kind, raw in zip((RIDE, HEARTBEAT), inputs.damaged_payloads(spark, sf_dir), strict=True):
+        source = Files(f"{folder}/{kind}")
+        raw.select("value").write.mode("overwrite").text(source.path)
+        rows = quarantine(raw_stream(spark, source).select("value"), kind)
+        sink = rows.writeStream.format("parquet").option("path", f"{refused}/kind={kind}")
+        _run(spark, sink, f"{folder}/{kind}-job")
+    stored = spark.read.schema("value STRING, reason STRING, kind STRING").parquet(refused)
+    return stored.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("payloads"))
+
+
 def streamed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote requests as a stream, joined with the snapshot and fare tables."""
     folder = shared_dir(spark, "quotes")

@@ -50,10 +50,12 @@ class Files:
     options: dict[str, str] = field(default_factory=dict)
 
 
-def raw_stream(spark: SparkSession, source: Broker | Files) -> DataFrame:
+def raw_stream(spark: SparkSession, source: Broker | Files, transport: bool = False) -> DataFrame:
+    """(value, seq), with ``transport`` also the broker's topic, partition and timestamp."""
     if isinstance(source, Broker):
         records = spark.readStream.format("kafka").options(**source.read_options()).load()
-        return records.select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
+        carried = ("topic", "partition", "timestamp") if transport else ()
+        return records.select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"), *carried)
     records = spark.readStream.options(**source.options).text(source.path)
     return records.select("value", _file_seq(records))
 

@@ -31,8 +31,9 @@ _PARTIAL = "zone_id INT, window_start BIGINT, demand BIGINT, supply BIGINT"
 _FIRED = "zone_id INT, window_start BIGINT, window_end BIGINT, demand BIGINT, supply BIGINT"
 
 
-# Sums a task holds before it passes them on; bounds its memory, not the result.
-_HELD_SUMS = 200_000
+# A task adds up its events whenever it holds this many rows, and passes the sums on when they are
+# still more than half of that. This bounds its memory, not the result.
+_HELD_ROWS = 200_000
 
 
 def _sums(tables: list[pa.Table]) -> pa.Table:
@@ -42,15 +43,20 @@ def _sums(tables: list[pa.Table]) -> pa.Table:
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
+    held, rows = [], 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = _sums([rows] if held is None else [held, rows])
-        if held.num_rows > _HELD_SUMS:
-            yield from held.to_batches()
-            held = None
-    if held is not None:
-        yield from held.to_batches()
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows < _HELD_ROWS:
+            continue
+        sums = _sums(held)
+        if sums.num_rows > _HELD_ROWS // 2:
+            yield from sums.to_batches()
+            held, rows = [], 0
+        else:
+            held, rows = [sums], sums.num_rows
+    if held:
+        yield from _sums(held).to_batches()
 
 
 class _WindowFiring(StatefulProcessor):

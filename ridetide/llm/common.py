@@ -37,7 +37,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str, chunk_rows: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str, chunk_rows: int = 500) -> DataFrame:
     """Number the rows of each group from 0 without gaps, as column ``rank``.
 
     A group of any size is cut by a hash of ``order`` into chunks of about ``chunk_rows`` rows, so no
@@ -60,8 +60,10 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str,
         .drop("__n")
     )
     within = Window.partitionBy(*group, "__chunk").orderBy(*order)
+    # Dealt by chunk: else the window would take over the join's partitions, which hold whole groups.
     return (
-        cut.withColumn("__row", F.row_number().over(within) - 1)
+        cut.repartition(*group, "__chunk")
+        .withColumn("__row", F.row_number().over(within) - 1)
         .join(starts, [*group, "__chunk"])
         .withColumn(rank, F.col("__row") + F.col("__start"))
         .drop("__row", "__start", "__chunk")

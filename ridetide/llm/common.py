@@ -23,6 +23,11 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def text_key() -> Column:
+    """A hash of the text, null as empty: with the doc_id it names a document."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import id_remainder, small_batches, table
+from ridetide.llm.common import id_remainder, small_batches, table, text_key
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -174,11 +174,10 @@ def identified(docs: DataFrame, modulus: int = 4, held_remainder: int = 2) -> Da
 def in_known_language(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told: rejected are ``und`` and what is far from every profile."""
     profiles = learn(docs.select("text", "lang"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.select(F.col("text").cast("string").alias("text"), key.alias("__key"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), text_key().alias("__key"))
     judged = predict(texts, profiles)
     rejected = judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < 1 - FARTHEST)).select("__key").distinct()
-    return docs.withColumn("__key", key).join(rejected, "__key", "left_anti").select(*docs.columns)
+    return docs.withColumn("__key", text_key()).join(rejected, "__key", "left_anti").select(*docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import WORD, ranked, table, written
+from ridetide.llm.common import WORD, ranked, table, text_key, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -22,6 +22,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        text_key().alias("text_key"),
     )
 
 
@@ -146,7 +147,8 @@ def amounts(histogram: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """Take documents (doc_id, text, source) so that each source comes to its target of words.
 
-    Returns doc_id, size, source_size, target and taken: 0, 1 or 2 times the size. A source whose
+    Returns doc_id, size, source_size, target, taken (0, 1 or 2 times the size), times and text_key, a
+    hash of the text. A source whose
     target exceeds its size is taken whole, and the rest of the target once more. Only counts by source
     and exact length reach the dynamic program; documents of a length are chosen in seeded order.
 
@@ -158,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sizes = written(sized(docs), "sizes")
     sources = written(targeted(weighted(spark, sizes, weights), share), "targets")
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", "size", "source_no", "source_size", "target"
+        "doc_id", "text_key", "size", "source_no", "source_size", "target"
     )
     # A target is met at a whole number of words.
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
@@ -171,20 +173,45 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     )
     takes = written(amounts(histogram), "takes")
     numbered = ranked(
-        written(rows.withColumn("seeded", F.xxhash64(F.lit(seed), "doc_id")), "sized"),
+        written(rows.withColumn("seeded", F.xxhash64(F.lit(seed), "doc_id", "text_key")), "sized"),
         ["source_no", "size"],
-        ["seeded", "doc_id"],
+        ["seeded", "doc_id", "text_key"],
         "nth",
     )
-    chosen = numbered.join(takes, ["source_no", "size"])
+    times = base + (F.col("nth") < F.col("take")).cast("long")
+    chosen = numbered.join(takes, ["source_no", "size"]).withColumn("times", F.when(F.col("size") > 0, times).otherwise(0))
     return chosen.select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("size") * (base + (F.col("nth") < F.col("take")).cast("long"))).alias("taken"),
+        (F.col("size") * F.col("times")).alias("taken"),
+        "times",
+        "text_key",
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """The documents as often as the mix takes them, in the columns given."""
+    amount = mix(docs, weights, share, seed)
+    # Rows of one id and text are told apart by a number, which of them is which being all the same.
+    key = ["doc_id", "text_key"]
+    numbered = amount.select(
+        F.col("doc_id").alias("__doc_id"),
+        F.col("text_key").alias("__key"),
+        F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("times"))).alias("__nth"),
+        "times",
+    ).where("times > 0")
+    own = Window.partitionBy("doc_id", "__text_key").orderBy(*(c for c in ("source",) if c in docs.columns))
+    given = docs.withColumn("__text_key", text_key()).withColumn("__row", F.row_number().over(own))
+    same = (
+        given["doc_id"].cast("long").eqNullSafe(numbered["__doc_id"])
+        & (given["__text_key"] == numbered["__key"])
+        & (given["__row"] == numbered["__nth"])
+    )
+    taken = given.join(numbered, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "times")))
+    return taken.select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridetide.llm import language, minhash, mixing, packing, quality, repeats, sharding
+from ridetide.llm import classlm, flatgraph, language, minhash, mixing, onebit, packing, quality, repeats, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_embedding_near_dedup": flatgraph.op3_embedding_near_dedup,
+    "op4_class_lm": classlm.op4_class_lm,
     "op5_language_id": language.op5_language_id,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_sharding": sharding.op7_sharding,
     "op8_substring_dedup": repeats.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_onebit_ann": onebit.op10_onebit_ann,
 }
 
 ORACLE: dict[str, str] = {}

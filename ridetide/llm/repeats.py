@@ -9,10 +9,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import small_batches, table, written
+from ridetide.llm.common import small_batches, table, text_key, written
 
 WINDOW = 50
 PHRASE = 10
@@ -203,10 +203,6 @@ def cut_out(window: int):
     return run
 
 
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[DataFrame, DataFrame]:
     """Find the words that repeat a window of a document with a smaller doc_id.
 

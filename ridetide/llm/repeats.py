@@ -241,11 +241,14 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
         phrases = judged.join(copies, ["doc_id", "text_key"], "left_anti").select(
             "doc_id", "text_key", F.explode("phrases").alias("phrase")
         )
-        recurring = (
+        # Written, so that the joins below read two plain exchanges: a phrase or window that a third of all
+        # documents hold is then split among tasks.
+        recurring = written(
             phrases.groupBy("phrase")
             .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
             .where("low < high")
-            .select("phrase")
+            .select("phrase"),
+            "recurring",
         )
         hits = phrases.join(recurring, "phrase").groupBy("doc_id", "text_key").agg(F.collect_set("phrase").alias("phrases"))
         suspects = written(raw.join(hits, ["doc_id", "text_key"]), "suspects")
@@ -258,11 +261,12 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
         windows = located.select(
             "doc_id", "text_key", F.explode(F.arrays_zip("starts", "first", "second")).alias("w")
         ).select("doc_id", "text_key", "w.starts", "w.first", "w.second")
-        owners = (
+        owners = written(
             windows.groupBy("first", "second")
             .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
             .where("low < high")
-            .select("first", "second", "low")
+            .select("first", "second", "low"),
+            "owners",
         )
         covered = (
             windows.join(owners, ["first", "second"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FARE_TYPE = "decimal(18,2)"
+# Wide enough for the largest estimates; times a surge it still fits 38 digits.
+FARE_TYPE = "decimal(33,2)"
 
-# Distances and minutes keep 16 decimals, so that every double from 1 up is exact; the widest sum
-# is then DECIMAL(33,18). Estimates at or above the limit do not fit and are refused as requests.
-ESTIMATE_TYPE = "decimal(24,16)"
-ESTIMATE_LIMIT = 1e8
+# Distances and minutes keep 16 decimals, so that every double from 1 up is exact, and 22 whole
+# digits. Only what exceeds these 38 digits is refused as a request.
+ESTIMATE_TYPE = "decimal(38,16)"
+ESTIMATE_LIMIT = 1e22
 
 # Trip assumed when a request gives none (kilometres, minutes), by zone type.
 DEFAULT_TRIPS = {
@@ -61,15 +62,20 @@ def reference_fare(zone_id: Column, km: Column, minutes: Column, fare_row: str =
         return F.col(f"{fare_row}.{name}")
 
     zone_type = rate("zone_type")
-    metered = (
-        rate("base_fare")
-        + rate("distance_rate") * effective_km(km, zone_type).cast(ESTIMATE_TYPE)
-        + rate("time_rate") * effective_minutes(minutes, zone_type).cast(ESTIMATE_TYPE)
-    )
-    floored = F.greatest(metered, rate("minimum_fare"))
-    return F.when(F.col(fare_row).isNull(), fallback_fare(zone_id)).otherwise(
-        F.round(floored, 2).cast(FARE_TYPE)
-    )
+    km_whole, km_part = _split(effective_km(km, zone_type))
+    minutes_whole, minutes_part = _split(effective_minutes(minutes, zone_type))
+    # Whole units give whole cents, so only the parts below one unit take part in the rounding.
+    whole = rate("base_fare") + rate("distance_rate") * km_whole + rate("time_rate") * minutes_whole
+    parts = rate("distance_rate") * km_part + rate("time_rate") * minutes_part
+    floored = F.greatest((whole + F.round(parts, 2)).cast(FARE_TYPE), rate("minimum_fare").cast(FARE_TYPE))
+    return F.when(F.col(fare_row).isNull(), fallback_fare(zone_id)).otherwise(floored)
+
+
+def _split(estimate: Column) -> tuple[Column, Column]:
+    """An estimate as its whole units and the exact rest: the two together keep every digit."""
+    exact = estimate.cast(ESTIMATE_TYPE)
+    whole = F.floor(exact).cast("decimal(22,0)")
+    return whole, (exact - whole).cast("decimal(17,16)")
 
 
 def quoted_fare(reference: Column, surge: Column) -> Column:

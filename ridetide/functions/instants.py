@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RATIO_TYPE = "decimal(10,4)"
+RATIO_TYPE = "decimal(24,4)"
 SURGE_TYPE = "decimal(4,2)"
 
 

@@ -9,7 +9,7 @@ from ridetide.functions.instants import instant, iso_text, now_ms
 from ridetide.operators.latest import HISTORY_COLUMNS
 from ridetide.params import AUDIT_RECORDS, HISTORY_HOURS, READ_ZONES, RECENT_WINDOWS
 
-# Windows in one returned list; a longer range is returned as several pages.
+# Default of a plain parameter: windows in one returned list; a longer range comes as several pages.
 PAGE_WINDOWS = 1_000
 
 WINDOW_FIELDS = tuple(name for name in HISTORY_COLUMNS if name not in ("zone_id", "ts_compute"))
@@ -81,18 +81,22 @@ def rollup_range(
     """Responses for a range, in pages that cut it by time, newest page first.
 
     A page spans ``page_windows`` windows, so no list grows with the range, and a range that fits
-    one page gives one row per zone. ``total_windows`` is the size of the page's list; one pass
-    over the history fills all pages.
+    one page gives one row per zone. ``total_windows`` counts the whole range, on every page, and
+    ``page_windows`` the list. The totals are counted apart, so that no zone's lists meet in one task.
     """
     rows = in_range(history, from_ms, to_ms, zone_id)
     age_ms = F.lit(to_ms) - F.unix_millis("window_end")
     page = F.floor(age_ms / F.lit(window_ms * page_windows)).cast("bigint")
-    return rows.groupBy("zone_id", page.alias("page")).agg(
+    pages = rows.groupBy("zone_id", page.alias("page")).agg(
         instant(from_ms).alias("from"),
         instant(to_ms).alias("to"),
-        F.count(F.lit(1)).alias("total_windows"),
+        F.count(F.lit(1)).alias("page_windows"),
         _window_list().alias("metrics"),
     )
+    totals = rows.groupBy(F.col("zone_id").alias("__zone")).agg(F.count(F.lit(1)).alias("total_windows"))
+    return pages.join(totals, F.col("zone_id") == F.col("__zone")).select(
+        "zone_id", "page", "from", "to", "total_windows", "page_windows", "metrics"
+    )
 
 
 def zone_history(
@@ -114,7 +118,9 @@ def zone_history(
     to = next(ms for ms in (to_ms, as_of_ms, now_ms()) if ms is not None)
     start = from_ms if from_ms is not None else to - HISTORY_HOURS * 3_600_000
     if from_ms is None and to_ms is None:
-        found = rollup_recent(history_recent(history, zone_id=zone_id)).withColumn("page", F.lit(0).cast("bigint"))
+        found = rollup_recent(history_recent(history, zone_id=zone_id)).withColumns(
+            {"page": F.lit(0).cast("bigint"), "page_windows": F.col("total_windows")}
+        )
     else:
         found = rollup_range(history, start, to, window_ms, zone_id)
     asked = history.sparkSession.range(zone_id, zone_id + 1).select(F.col("id").cast("int").alias("zone_id"))
@@ -126,6 +132,7 @@ def zone_history(
             F.coalesce("from", instant(start)).alias("from"),
             F.coalesce("to", instant(to)).alias("to"),
             F.coalesce("total_windows", F.lit(0).cast("bigint")).alias("total_windows"),
+            F.coalesce("page_windows", F.lit(0).cast("bigint")).alias("page_windows"),
             F.coalesce("metrics", F.array().cast(found.schema["metrics"].dataType)).alias("metrics"),
         )
         .orderBy("page")

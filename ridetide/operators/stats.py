@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the message of an empty table.
 NO_DATA = "No data available yet"
 
 # Bucket name and the surge below which it ends; "normal" is exactly 1.

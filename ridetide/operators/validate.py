@@ -33,8 +33,8 @@ def quote_reject_reason(zones: tuple[int, int] = QUOTE_ZONES) -> Column:
     )
     for name in ("estimated_distance_km", "estimated_duration_min"):
         estimate = F.col(name)
-        fits = estimate.isNull() | ((estimate >= 0) & (estimate < F.lit(ESTIMATE_LIMIT)))
-        reason = reason.when(~fits, F.lit(name))
+        reason = reason.when(F.isnan(estimate) | (estimate < 0), F.lit(name))
+        reason = reason.when(estimate >= F.lit(ESTIMATE_LIMIT), F.lit(f"{name} too large"))
     return reason
 
 

@@ -19,7 +19,9 @@ from ridetide.operators import feeds, history, latest, normalize, pricing, stats
 from ridetide.operators.lookup import zone_row
 from ridetide.params import PricingParams
 from ridetide.plans import inputs, streams
-from ridetide.sources.fares import build_fare_table
+from ridetide.session import shared_dir
+from ridetide.sources import tables
+from ridetide.sources.fares import band_zones, build_fare_table
 from ridetide.sources.seeds import seed_snapshot
 from ridetide.streaming import job
 
@@ -172,6 +174,14 @@ def zone_window_metrics(spark, sf_dir):
     return in_millis(_history(spark, sf_dir))
 
 
+@query
+def zone_window_metrics_extreme(spark, sf_dir):
+    """Windows with demand in the millions per driver."""
+    counts = windows.zone_demand_supply(inputs.events(spark, sf_dir), inputs.WINDOW_MS)
+    crowded = counts.withColumn("demand", F.col("demand") * F.lit(inputs.CROWD))
+    return in_millis(normalize.to_table_types(windows.to_price_updates(crowded)))
+
+
 @query
 def zone_price_snapshot(spark, sf_dir):
     return in_millis(_snapshot(spark, sf_dir))
@@ -180,15 +190,19 @@ def zone_price_snapshot(spark, sf_dir):
 @query
 def snapshot_over_seed(spark, sf_dir):
     """Seed rows, each replaced by the first price its zone gets."""
-    current, seed = _snapshot(spark, sf_dir), seed_snapshot(spark, inputs.FROM_MS)
+    priced = F.col("zone_id") % 3 != 0  # the other zones have had no price yet
+    current, seed = _snapshot(spark, sf_dir).filter(priced), seed_snapshot(spark, inputs.FROM_MS)
     rows = seed.withColumn("n", F.lit(0)).unionByName(current.withColumn("n", F.lit(1)))
     return in_millis(latest.last_by(rows, ("zone_id",), "n").drop("n"))
 
 
 @query
 def fare_table(spark, sf_dir):
-    zones = inputs.events(spark, sf_dir).select("zone_id")
-    return build_fare_table(zones, seed=1, created_ms=inputs.AS_OF_MS).drop("created_at", "updated_at")
+    """A row for every zone of a band, with the number of events seen there."""
+    fares = build_fare_table(band_zones(spark), seed=1, created_ms=inputs.AS_OF_MS)
+    seen = inputs.events(spark, sf_dir).groupBy("zone_id").agg(F.count(F.lit(1)).alias("events"))
+    rows = fares.drop("created_at", "updated_at").join(seen, "zone_id", "left")
+    return rows.withColumn("events", F.coalesce("events", F.lit(0).cast("bigint")))
 
 
 # Read queries
@@ -241,6 +255,34 @@ def history_rollup_range(spark, sf_dir):
     return _flat_rollup(rollup)
 
 
+def _zone_response(spark, sf_dir, zone_id, **bounds) -> DataFrame:
+    rows = _history(spark, sf_dir)
+    return _flat_rollup(history.zone_history(rows, zone_id, inputs.WINDOW_MS, as_of_ms=inputs.AS_OF_MS, **bounds))
+
+
+@query
+def zone_history_recent(spark, sf_dir):
+    return _zone_response(spark, sf_dir, inputs.HISTORY_ZONE)
+
+
+@query
+def zone_history_since(spark, sf_dir):
+    """Up to now."""
+    return _zone_response(spark, sf_dir, inputs.HISTORY_ZONE, from_ms=inputs.FROM_MS)
+
+
+@query
+def zone_history_until(spark, sf_dir):
+    """From a day before."""
+    return _zone_response(spark, sf_dir, inputs.HISTORY_ZONE, to_ms=inputs.TO_MS)
+
+
+@query
+def zone_history_empty(spark, sf_dir):
+    """A day before the first event: a response with an empty list."""
+    return _zone_response(spark, sf_dir, inputs.HISTORY_ZONE, to_ms=inputs.DAY_MS)
+
+
 @query
 def audit_topk(spark, sf_dir):
     return history.audit_records(_history(spark, sf_dir))
@@ -302,6 +344,31 @@ def zone_prices(spark, sf_dir):
     return in_millis(prices)
 
 
+@query
+def zone_prices_from_tables(spark, sf_dir):
+    """As ``zone_prices``, from stored snapshot and fare tables."""
+    folder = shared_dir(spark, "tables")
+    _snapshot(spark, sf_dir).write.parquet(f"{folder}/snapshot")
+    inputs.sample_fares(spark).write.parquet(f"{folder}/fares")
+    prices = pricing.zone_prices(
+        inputs.price_requests(spark, sf_dir),
+        tables.zone_price_snapshot(spark, f"{folder}/snapshot"),
+        tables.fare_config(spark, f"{folder}/fares"),
+        inputs.AS_OF_MS,
+        carry=("request_id",),
+    )
+    return in_millis(prices)
+
+
+@query
+def zones_listing_from_tables(spark, sf_dir):
+    """The zone listing over a stored window table."""
+    folder = shared_dir(spark, "metrics")
+    _history(spark, sf_dir).write.parquet(folder)
+    snapshot = latest.snapshot_of_history(tables.zone_window_metrics(spark, folder), inputs.AS_OF_MS)
+    return in_millis(history.zones_listing(snapshot))
+
+
 @query
 def zone_prices_wide(spark, sf_dir):
     """Prices for zones 1..64: those above 16 have no snapshot and so no fare."""

@@ -21,6 +21,11 @@ REQUEST_ZONES = 64
 AS_OF_MS = 1_706_745_600_000
 # Range of the range queries: 2024-01-10T00:00:00Z .. 2024-01-20T00:00:00Z.
 FROM_MS, TO_MS = 1_704_844_800_000, 1_705_708_800_000
+DAY_MS = 86_400_000
+
+# Zone of the single-zone queries, and riders that each ride stands for in a crowded window.
+HISTORY_ZONE = 3
+CROWD = 1_500_007
 
 RIDE_TYPES = ("purchase", "click")
 AVAILABLE_TYPES = ("view", "signup")
@@ -49,7 +54,6 @@ SAMPLE_FARES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -216,7 +220,7 @@ def sample_fares(spark: SparkSession) -> DataFrame:
 
 
 def quote_requests_of(orders: DataFrame) -> DataFrame:
-    """Orders as quote requests; some without estimates, some invalid."""
+    """Orders as quote requests; some without estimates, some invalid, some of enormous size."""
     order, price = F.col("o_orderkey"), F.col("o_totalprice")
     return orders.select(
         order.alias("request_id"),
@@ -225,9 +229,14 @@ def quote_requests_of(orders: DataFrame) -> DataFrame:
         .alias("origin_zone_id"),
         (order % REQUEST_ZONES + 1).cast("int").alias("destination_zone_id"),
         F.when(order % 101 == 0, F.lit(-1.0))
+        .when(order % 103 == 0, price * F.lit(1e4))
+        .when(order % 107 == 0, price * F.lit(1e10))
+        .when(order % 109 == 0, price * F.lit(1e20))
         .when(order % 5 != 0, price / F.lit(20000.0))
         .alias("estimated_distance_km"),
-        F.when(order % 7 != 0, price / F.lit(9000.0)).alias("estimated_duration_min"),
+        F.when(order % 113 == 0, price * F.lit(1e5))
+        .when(order % 7 != 0, price / F.lit(9000.0))
+        .alias("estimated_duration_min"),
         to_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"),
     )
 

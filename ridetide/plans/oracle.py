@@ -38,14 +38,19 @@ _SURGE = f"""CASE WHEN ratio <= {_dbl(0.5)} THEN {_dbl(1.0)}
   ELSE least({_dbl(7.0)}, {_dbl(5.5)} + (ratio - {_dbl(3.0)}) * {_dbl(0.75)}) END"""
 
 
-def _metrics(events: str, window_ms: int) -> str:
+def _ratios(counts: str, window_ms: int) -> str:
     return f"""SELECT zone_id, window_start, window_start + {window_ms} AS window_end, demand, supply,
   CASE WHEN supply > 0 THEN CAST(demand AS DOUBLE) / CAST(supply AS DOUBLE)
        WHEN demand > 0 THEN {_dbl(999.0)} ELSE {_dbl(0.0)} END AS ratio
-FROM (SELECT zone_id, ts_event - ts_event % {window_ms} AS window_start,
+FROM {counts}"""
+
+
+def _metrics(events: str, window_ms: int) -> str:
+    counts = f"""(SELECT zone_id, ts_event - ts_event % {window_ms} AS window_start,
         CAST(count(*) FILTER (WHERE kind = 'RIDE') AS BIGINT) AS demand,
         CAST(count(*) FILTER (WHERE kind = 'HEARTBEAT' AND status = 'AVAILABLE') AS BIGINT) AS supply
       FROM {events} GROUP BY 1, 2)"""
+    return _ratios(counts, window_ms)
 
 
 _UPDATE_COLUMNS = (
@@ -53,9 +58,17 @@ _UPDATE_COLUMNS = (
 )
 
 
-def _updates(events: str, window_ms: int) -> str:
+def _surged(metrics: str) -> str:
     return f"""SELECT zone_id, window_start, window_end, demand, supply, ratio,
-  {_SURGE} AS surge_multiplier, window_end AS ts_compute FROM ({_metrics(events, window_ms)})"""
+  {_SURGE} AS surge_multiplier, window_end AS ts_compute FROM ({metrics})"""
+
+
+def _updates(events: str, window_ms: int) -> str:
+    return _surged(_metrics(events, window_ms))
+
+
+def _priced(counts: str, window_ms: int) -> str:
+    return _surged(_ratios(counts, window_ms))
 
 
 _KIND = "CASE WHEN event_type IN ('purchase', 'click') THEN 'RIDE' ELSE 'HEARTBEAT' END"
@@ -70,7 +83,7 @@ _CTES = {
   ts_event, status FROM ev WHERE event_id % 7 IN (0, 4, 5)""",
     "upd": _updates("ev", W),
     "hist": """SELECT zone_id, window_start, window_end, demand, supply,
-  CAST(CAST(ratio AS VARCHAR) AS DECIMAL(10,4)) AS ratio,
+  CAST(CAST(ratio AS VARCHAR) AS DECIMAL(24,4)) AS ratio,
   CAST(CAST(surge_multiplier AS VARCHAR) AS DECIMAL(4,2)) AS surge_multiplier, ts_compute FROM upd""",
     "snap": f"""SELECT zone_id, surge_multiplier, demand, supply, ratio, window_start, window_end,
   CAST({NOW} AS BIGINT) AS updated_at
@@ -89,14 +102,20 @@ FROM (VALUES {_values(inputs.SAMPLE_FARES)})
   CAST(CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE o_custkey % 64 + 1 END AS INTEGER) AS origin_zone_id,
   CAST(o_orderkey % 64 + 1 AS INTEGER) AS destination_zone_id,
   CASE WHEN o_orderkey % 101 = 0 THEN CAST(-1 AS DOUBLE)
+       WHEN o_orderkey % 103 = 0 THEN o_totalprice * CAST(1e4 AS DOUBLE)
+       WHEN o_orderkey % 107 = 0 THEN o_totalprice * CAST(1e10 AS DOUBLE)
+       WHEN o_orderkey % 109 = 0 THEN o_totalprice * CAST(1e20 AS DOUBLE)
        WHEN o_orderkey % 5 <> 0 THEN o_totalprice / CAST(20000 AS DOUBLE) END AS estimated_distance_km,
-  CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / CAST(9000 AS DOUBLE) END AS estimated_duration_min,
+  CASE WHEN o_orderkey % 113 = 0 THEN o_totalprice * CAST(1e5 AS DOUBLE)
+       WHEN o_orderkey % 7 <> 0 THEN o_totalprice / CAST(9000 AS DOUBLE) END AS estimated_duration_min,
   epoch_us(o_orderdate) // 1000 AS ts FROM orders""",
     "judged": """SELECT *, CASE
   WHEN NOT coalesce(origin_zone_id BETWEEN 1 AND 64, false) THEN 'origin_zone_id'
   WHEN NOT coalesce(destination_zone_id BETWEEN 1 AND 64, false) THEN 'destination_zone_id'
-  WHEN estimated_distance_km < 0 OR estimated_distance_km >= 1e8 THEN 'estimated_distance_km'
-  WHEN estimated_duration_min < 0 OR estimated_duration_min >= 1e8 THEN 'estimated_duration_min'
+  WHEN estimated_distance_km < 0 THEN 'estimated_distance_km'
+  WHEN estimated_distance_km >= 1e22 THEN 'estimated_distance_km too large'
+  WHEN estimated_duration_min < 0 THEN 'estimated_duration_min'
+  WHEN estimated_duration_min >= 1e22 THEN 'estimated_duration_min too large'
   END AS reject_reason FROM req""",
     "asked": """SELECT o_orderkey AS request_id, CAST(o_custkey % 64 + 1 AS INTEGER) AS zone_id FROM orders""",
     "subs": "SELECT s_suppkey AS subscriber_id, CAST(s_nationkey + 1 AS INTEGER) AS zone_id FROM supplier",
@@ -125,24 +144,31 @@ def _reference(zone: str, km: str, minutes: str) -> str:
         return f"CASE f.zone_type {cases} ELSE {_dbl(values[-1])} END"
 
     def exact(estimate: str, values) -> str:
-        return f"CAST(CAST(coalesce({estimate}, {default(values)}) AS VARCHAR) AS DECIMAL(20,16))"
+        return f"CAST(CAST(coalesce({estimate}, {default(values)}) AS VARCHAR) AS DECIMAL(38,16))"
+
+    def whole(number: str) -> str:
+        return f"CAST(floor({number}) AS DECIMAL(22,0))"
+
+    def part(number: str) -> str:
+        return f"CAST({number} - floor({number}) AS DECIMAL(17,16))"
 
     km, minutes = exact(km, (4.2, 6.8, 8.5, 12.0, 6.0)), exact(minutes, (12.0, 15.0, 18.0, 25.0, 15.0))
     return f"""CASE WHEN f.zone_id IS NULL THEN CAST(CASE WHEN {zone} <= 16 THEN 22.50 WHEN {zone} <= 32 THEN 16.80
-    WHEN {zone} <= 48 THEN 12.30 ELSE 35.00 END AS DECIMAL(18,2))
-  ELSE CAST(round(greatest(f.base_fare + f.distance_rate * {km} + f.time_rate * {minutes},
-    f.minimum_fare), 2) AS DECIMAL(18,2)) END"""
+    WHEN {zone} <= 48 THEN 12.30 ELSE 35.00 END AS DECIMAL(33,2))
+  ELSE greatest(CAST(f.base_fare + f.distance_rate * {whole(km)} + f.time_rate * {whole(minutes)}
+    + round(f.distance_rate * {part(km)} + f.time_rate * {part(minutes)}, 2) AS DECIMAL(33,2)),
+    CAST(f.minimum_fare AS DECIMAL(33,2))) END"""
 
 
 _RESPONSE = """coalesce(s.surge_multiplier, CAST(1 AS DECIMAL(4,2))) AS surge_multiplier,
   coalesce(s.demand, CAST(0 AS BIGINT)) AS demand, coalesce(s.supply, CAST(0 AS BIGINT)) AS supply,
-  coalesce(s.ratio, CAST(0 AS DECIMAL(10,4))) AS ratio"""
+  coalesce(s.ratio, CAST(0 AS DECIMAL(24,4))) AS ratio"""
 
 
 def _prices(last_zone: int) -> str:
     reference = _reference("a.zone_id", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
     body = f"""SELECT a.request_id, a.zone_id, {_RESPONSE},
-  CAST(CASE WHEN s.zone_id IS NOT NULL THEN round({reference} * s.surge_multiplier, 2) END AS DECIMAL(18,2)) AS quoted_fare,
+  CAST(CASE WHEN s.zone_id IS NOT NULL THEN round({reference} * s.surge_multiplier, 2) END AS DECIMAL(33,2)) AS quoted_fare,
   coalesce(s.updated_at, CAST({NOW} AS BIGINT)) AS updated_at
 FROM asked a LEFT JOIN snap s ON s.zone_id = a.zone_id LEFT JOIN fares f ON f.zone_id = a.zone_id
 WHERE a.zone_id BETWEEN 1 AND {last_zone}"""
@@ -153,7 +179,7 @@ _QUOTE_REFERENCE = _reference("q.origin_zone_id", "q.estimated_distance_km", "q.
 _QUOTES = _with(
     f"{_SNAP} fares req judged",
     f"""SELECT q.request_id, q.origin_zone_id AS zone_id, {_RESPONSE},
-  CAST(round({_QUOTE_REFERENCE} * coalesce(s.surge_multiplier, CAST(1 AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS quoted_fare,
+  CAST(round({_QUOTE_REFERENCE} * coalesce(s.surge_multiplier, CAST(1 AS DECIMAL(4,2))), 2) AS DECIMAL(33,2)) AS quoted_fare,
   CAST({NOW} AS BIGINT) AS updated_at
 FROM judged q LEFT JOIN snap s ON s.zone_id = q.origin_zone_id
 LEFT JOIN fares f ON f.zone_id = q.origin_zone_id WHERE q.reject_reason IS NULL""",
@@ -173,10 +199,25 @@ LEFT JOIN (SELECT zone_id, {_BUCKET} AS bucket FROM {rows}) s ON s.bucket = b.bu
     )
 
 
-def _rollup(rows: str, page: str, low: str, high: str, total: str) -> str:
-    entry = """concat_ws(':', window_start, ts_compute, demand, supply, ratio, surge_multiplier)"""
-    return f"""SELECT zone_id, {page} {low} AS from_ms, {high} AS to_ms, {total} AS total_windows,
-  string_agg({entry}, ',' ORDER BY window_start DESC) AS metrics FROM {rows}"""
+_ENTRIES = """string_agg(concat_ws(':', window_start, ts_compute, demand, supply, ratio, surge_multiplier), ','
+  ORDER BY window_start DESC)"""
+
+
+def _rollup(rows: str, page: str, low: str, high: str, total: str, name: str = "total_windows") -> str:
+    return f"""SELECT zone_id, {page} {low} AS from_ms, {high} AS to_ms, {total} AS {name},
+  {_ENTRIES} AS metrics FROM {rows}"""
+
+
+def _zone_history(rows: str, low, high) -> str:
+    """The response of one zone; a response without windows has an empty list."""
+    count = "CAST(count(*) AS BIGINT)"
+    return _with(
+        f"{_HIST} recent",
+        f"""SELECT CAST({inputs.HISTORY_ZONE} AS INTEGER) AS zone_id, CAST(0 AS BIGINT) AS page,
+  CAST({low} AS BIGINT) AS from_ms, CAST({high} AS BIGINT) AS to_ms, {count} AS total_windows,
+  {count} AS page_windows, coalesce({_ENTRIES}, '') AS metrics
+FROM (SELECT * FROM {rows} WHERE zone_id = {inputs.HISTORY_ZONE})""",
+    )
 
 
 def _iso(ms: str) -> str:
@@ -226,8 +267,9 @@ def _fare_table() -> str:
     kind = band(lambda b: f"'{b[2]}'")
     return _with(
         "ev",
-        f"""SELECT zone_id, {rates}, {kind} AS zone_type, true AS active
-FROM (SELECT DISTINCT zone_id FROM ev WHERE zone_id BETWEEN 1 AND 16)""",
+        f"""SELECT zone_id, {rates}, {kind} AS zone_type, true AS active,
+  CAST((SELECT count(*) FROM ev WHERE ev.zone_id = band.zone_id) AS BIGINT) AS events
+FROM (SELECT CAST(z AS INTEGER) AS zone_id FROM range(1, 17) AS t(z)) AS band""",
     )
 
 
@@ -244,11 +286,12 @@ def _contract() -> str:
 _SEEDED = _with(
     _SNAP,
     f"""SELECT zone_id, surge_multiplier, demand, supply, ratio, window_start, window_end, updated_at FROM snap
+WHERE zone_id % 3 <> 0
 UNION ALL
 SELECT CAST(zone_id AS INTEGER), CAST(surge AS DECIMAL(4,2)), CAST(demand AS BIGINT), CAST(supply AS BIGINT),
-  CAST(ratio AS DECIMAL(10,4)), CAST({FROM - 60_000} AS BIGINT), CAST({FROM - 46_000} AS BIGINT), CAST({FROM} AS BIGINT)
+  CAST(ratio AS DECIMAL(24,4)), CAST({FROM - 60_000} AS BIGINT), CAST({FROM - 46_000} AS BIGINT), CAST({FROM} AS BIGINT)
 FROM (VALUES {_values(SEED_ROWS)}) AS seed(zone_id, surge, demand, supply, ratio)
-WHERE zone_id NOT IN (SELECT zone_id FROM snap)""",
+WHERE zone_id NOT IN (SELECT zone_id FROM snap WHERE zone_id % 3 <> 0)""",
 )
 
 _FLEET = _with(
@@ -302,6 +345,16 @@ FROM upd""",
     ),
     "price_update_decode": _HISTORY,
     "zone_window_metrics": _HISTORY,
+    "zone_window_metrics_extreme": _with(
+        _HIST,
+        f"""SELECT * EXCLUDE (ratio, surge_multiplier), CAST(CAST(ratio AS VARCHAR) AS DECIMAL(24,4)) AS ratio,
+  CAST(CAST(surge_multiplier AS VARCHAR) AS DECIMAL(4,2)) AS surge_multiplier
+FROM ({_priced("(SELECT zone_id, window_start, demand * " + str(inputs.CROWD) + " AS demand, supply FROM upd)", W)})""",
+    ),
+    "zone_prices_from_tables": _prices(16),
+    "zones_listing_from_tables": _with(
+        _SNAP, "SELECT zone_id, surge_multiplier, demand, supply, ratio, updated_at FROM snap"
+    ),
     "zone_price_snapshot": _with(_SNAP, "SELECT * FROM snap"),
     "snapshot_over_seed": _SEEDED,
     "fare_table": _fare_table(),
@@ -319,10 +372,18 @@ FROM upd""",
             f"({TO} - window_end) // {W * 12} AS page,",
             f"CAST({FROM} AS BIGINT)",
             f"CAST({TO} AS BIGINT)",
-            "CAST(count(*) AS BIGINT)",
+            """any_value((SELECT CAST(count(*) AS BIGINT) FROM in_range w WHERE w.zone_id = in_range.zone_id)) AS total_windows,
+  CAST(count(*) AS BIGINT)""",
+            "page_windows",
         )
         + " GROUP BY 1, 2",
     ),
+    "zone_history_recent": _zone_history("recent", "min(window_start)", "max(window_end)"),
+    "zone_history_since": _zone_history(f"(SELECT * FROM hist WHERE window_start >= {FROM} AND window_end <= {NOW})", FROM, NOW),
+    "zone_history_until": _zone_history(
+        f"(SELECT * FROM hist WHERE window_start >= {TO - inputs.DAY_MS} AND window_end <= {TO})", TO - inputs.DAY_MS, TO
+    ),
+    "zone_history_empty": _zone_history("(SELECT * FROM hist WHERE false)", 0, inputs.DAY_MS),
     "audit_topk": _with(
         _HIST,
         f"""SELECT zone_id, {_iso('window_start')} AS window_start, {_iso('window_end')} AS window_end, demand, supply,

@@ -5,29 +5,22 @@ Counts are BIGINT: a busy zone in a long window can exceed 32 bits on large inpu
 
 NORMALIZED_EVENT = "kind STRING, zone_id INT, ts_event BIGINT, status STRING"
 
+# Fields of a price update on the wire.
 PRICE_UPDATE = (
     "zone_id INT, window_start BIGINT, window_end BIGINT, demand BIGINT, supply BIGINT, "
     "ratio DOUBLE, surge_multiplier DOUBLE, ts_compute BIGINT"
 )
-PRICE_UPDATE_FIELDS = (
-    "zone_id",
-    "window_start",
-    "window_end",
-    "demand",
-    "supply",
-    "ratio",
-    "surge_multiplier",
-    "ts_compute",
-)
+PRICE_UPDATE_FIELDS = tuple(field.split()[0] for field in PRICE_UPDATE.split(", "))
 
+# Columns of the stored tables. The ratio holds any two 64-bit counts.
 ZONE_WINDOW_METRICS = (
     "zone_id INT, window_start TIMESTAMP, window_end TIMESTAMP, demand BIGINT, supply BIGINT, "
-    "ratio DECIMAL(10,4), surge_multiplier DECIMAL(4,2), ts_compute TIMESTAMP"
+    "ratio DECIMAL(24,4), surge_multiplier DECIMAL(4,2), ts_compute TIMESTAMP"
 )
 
 ZONE_PRICE_SNAPSHOT = (
     "zone_id INT, surge_multiplier DECIMAL(4,2), demand BIGINT, supply BIGINT, "
-    "ratio DECIMAL(10,4), window_start TIMESTAMP, window_end TIMESTAMP, updated_at TIMESTAMP"
+    "ratio DECIMAL(24,4), window_start TIMESTAMP, window_end TIMESTAMP, updated_at TIMESTAMP"
 )
 
 FARE_CONFIG = (

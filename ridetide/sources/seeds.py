@@ -27,7 +27,7 @@ SEED_ROWS = (
 def seed_snapshot(spark: SparkSession, as_of_ms: int | None = None) -> DataFrame:
     rows = [(z, Decimal(s), d, n, Decimal(r)) for z, s, d, n, r in SEED_ROWS]
     schema = (
-        "zone_id INT, surge_multiplier DECIMAL(4,2), demand BIGINT, supply BIGINT, ratio DECIMAL(10,4)"
+        "zone_id INT, surge_multiplier DECIMAL(4,2), demand BIGINT, supply BIGINT, ratio DECIMAL(24,4)"
     )
     now = instant(as_of_ms)
     return (

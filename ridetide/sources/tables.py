@@ -1,4 +1,4 @@
-"""Table scans from files, the catalog or a database."""
+"""Scans of the stored tables, with their fixed schemas."""
 
 from __future__ import annotations
 
@@ -11,33 +11,6 @@ def parquet_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def catalog_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
-
-
-def database_table(
-    spark: SparkSession,
-    url: str,
-    table: str,
-    options: dict[str, str] | None = None,
-    split: tuple[str, int, int, int] | None = None,
-) -> DataFrame:
-    """JDBC scan; needs the database driver on the class path. Filters are pushed to the database.
-
-    ``split`` is (column, lowest, highest, number of parallel reads).
-    """
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(options or {}))
-    if split:
-        column, low, high, parts = split
-        reader = (
-            reader.option("partitionColumn", column)
-            .option("lowerBound", low)
-            .option("upperBound", high)
-            .option("numPartitions", parts)
-        )
-    return reader.load()
-
-
 def fare_config(spark: SparkSession, path: str) -> DataFrame:
     return parquet_table(spark, path, schemas.FARE_CONFIG)
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,7 +72,10 @@ def test_price_without_snapshot_has_no_fare(spark):
         ((65, 1, None, None, None), "origin_zone_id"),
         ((1, None, None, None, None), "destination_zone_id"),
         ((1, 1, -0.1, None, None), "estimated_distance_km"),
-        ((1, 1, 1e9, None, None), "estimated_distance_km"),
+        ((1, 1, 1e9, None, None), None),
+        ((1, 1, None, 9.9e21, None), None),
+        ((1, 1, 1e22, None, None), "estimated_distance_km too large"),
+        ((1, 1, None, float("inf"), None), "estimated_duration_min too large"),
         ((1, 1, float("nan"), None, None), "estimated_distance_km"),
         ((1, 1, None, -1.0, None), "estimated_duration_min"),
         ((64, 1, 0.0, 0.0, None), None),
@@ -85,6 +88,22 @@ def test_quote_validation(spark, request_row, reason):
     assert validate.valid_quotes(requests).count() == (0 if reason else 1)
 
 
+@pytest.mark.parametrize(
+    ("km", "minutes", "fare"),
+    [
+        (1e9, None, "2800000015.80"),
+        (99_999_999.12345678, 0.1234567891234567, "280000005.63"),
+        (2.5e21, 1e-9, "7000000000000000000008.00"),
+    ],
+)
+def test_enormous_estimates_are_priced_exactly(spark, km, minutes, fare):
+    """Zone 1: 8.00 and 2.80 a kilometre and 0.65 a minute, half-up on the exact sum."""
+    requests = spark.createDataFrame([(1, 1, km, minutes, None)], QUOTE_REQUEST)
+    (row,) = pricing.quotes(requests, snapshot(spark, []), inputs.sample_fares(spark), NOW).collect()
+    exact = Decimal("8.00") + Decimal("2.80") * Decimal(repr(km)) + Decimal("0.65") * Decimal(repr(minutes or 12.0))
+    assert row.quoted_fare == exact.quantize(Decimal("0.01"), ROUND_HALF_UP) == Decimal(fare)
+
+
 def test_lookup_side_is_one_row_per_zone_whatever_the_table_holds(spark):
     once = inputs.sample_fares(spark)
     later = once.withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL 1 DAY"))

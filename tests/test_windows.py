@@ -156,7 +156,9 @@ def test_zone_history_branches(spark):
 def test_long_ranges_come_in_pages_without_loss(spark):
     stored = table(spark, [(1, w, w) for w in range(25)] + [(2, 3, 1)])
     pages = history.rollup_range(stored, 0, 25 * SIZE, SIZE, page_windows=10).orderBy("zone_id", "page").collect()
-    assert [(p.zone_id, p.page, p.total_windows) for p in pages] == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 2, 1)]
+    assert [(p.zone_id, p.page, p.page_windows, p.total_windows) for p in pages] == [
+        (1, 0, 10, 25), (1, 1, 10, 25), (1, 2, 5, 25), (2, 2, 1, 1)
+    ]
     assert sum((starts(p) for p in pages if p.zone_id == 1), []) == list(range(24, -1, -1))
 
 

@@ -14,7 +14,7 @@ from ridetide.llm.common import small_batches, table, written
 from ridetide.llm.vectors import main_dimension, usable
 
 NEAREST = 20
-BOUND = 1.5
+BOUND = 3.5
 """Width of the error bound in standard deviations of the estimate."""
 BITS = 4
 """Bits for each component: vectors are rotated together with so many times as many zeros, which narrows
@@ -85,8 +85,12 @@ class Codes:
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; equal vectors get equal results wherever they stand."""
-    return (vectors * query).sum(axis=1)
+    """Inner products in double precision, added up in the order of the components: equal vectors get
+    equal results wherever they stand."""
+    total = np.zeros(len(vectors))
+    for products in (vectors * query).T:
+        total += products
+    return total
 
 
 def reranked(codes: Codes, vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray, most: int, width: float):

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridetide.llm import classlm, flatgraph, language, minhash, mixing, onebit, packing, quality, repeats, sharding
+from ridetide.llm.oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -21,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_onebit_ann": onebit.op10_onebit_ann,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

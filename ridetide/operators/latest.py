@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridetide.functions.instants import instant
+from ridetide.schemas import ZONE_PRICE_SNAPSHOT, ZONE_WINDOW_METRICS, column_names
+
+HISTORY_COLUMNS = column_names(ZONE_WINDOW_METRICS)
+SNAPSHOT_COLUMNS = column_names(ZONE_PRICE_SNAPSHOT)
 
-HISTORY_COLUMNS = (
-    "zone_id",
-    "window_start",
-    "window_end",
-    "demand",
-    "supply",
-    "ratio",
-    "surge_multiplier",
-    "ts_compute",
-)
-SNAPSHOT_COLUMNS = (
-    "zone_id",
-    "surge_multiplier",
-    "demand",
-    "supply",
-    "ratio",
-    "window_start",
-    "window_end",
-    "updated_at",
-)
+_SEQ_DIGITS, _BATCH_DIGITS, _TIE_DIGITS = 13, 9, 13
 
 
 def last_by(rows: DataFrame, keys: tuple[str, ...], order: Column | str) -> DataFrame:
-    """One row per key: the one with the greatest ``order``.
+    """One row per key: the one with the greatest ``order``, a number without ties within a key.
 
     An aggregate with map-side combine, so a key with a third of the rows costs one row per task;
-    a ranking window would move and sort them all.
+    a ranking window would move and sort them all. Each column is picked on its own: fixed-width
+    columns make it a hash aggregate, while a struct would need a sort.
     """
     rest = [name for name in rows.columns if name not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__last"))
-    return last.select(*keys, *[F.col(f"__last.{name}").alias(name) for name in rest])
+    return rows.groupBy(*keys).agg(*[F.max_by(name, order).alias(name) for name in rest])
 
 
 def snapshot_of_history(history: DataFrame, as_of_ms: int | None = None) -> DataFrame:
@@ -58,10 +45,33 @@ def snapshot_of_history(history: DataFrame, as_of_ms: int | None = None) -> Data
     )
 
 
+def _then(order: Column, digits: int, tie: Column) -> Column:
+    """Append a number of at most so many digits to a number that orders rows."""
+    return order.cast("decimal(38,0)") * F.lit(Decimal(10**digits)) + tie.cast("decimal(38,0)")
+
+
+def arrival() -> Column:
+    """Run, micro-batch and position of a log row as one number of 25 digits."""
+    in_run = _then(F.col("run"), _BATCH_DIGITS, F.col("batch_id"))
+    return _then(in_run, _SEQ_DIGITS, F.col("seq")).cast("decimal(25,0)")
+
+
+def last_versions(log: DataFrame) -> DataFrame:
+    """Last version of each (zone, window_start), by arrival, in the columns of the log."""
+    events = F.col("demand") + F.col("supply")
+    return last_by(log, ("zone_id", "window_start"), _then(arrival(), _TIE_DIGITS, events)).select(*log.columns)
+
+
+def last_of_zones(versions: DataFrame, by_event_time: bool = False) -> DataFrame:
+    """Of rows with one version per zone and window: the last arrival of each zone, the newest
+    window among equal arrivals; or the newest window."""
+    window = F.unix_millis("window_start")
+    order = window if by_event_time else _then(arrival(), _TIE_DIGITS, window)
+    return last_by(versions, ("zone_id",), order).select(*versions.columns)
+
+
 def history_of_log(log: DataFrame) -> DataFrame:
-    """Last version of each (zone, window_start), by arrival."""
-    arrival = F.struct("batch_id", "seq", F.col("demand") + F.col("supply"))
-    return last_by(log, ("zone_id", "window_start"), arrival).select(*HISTORY_COLUMNS)
+    return last_versions(log).select(*HISTORY_COLUMNS)
 
 
 def snapshot_of_log(log: DataFrame, by_event_time: bool = False) -> DataFrame:
@@ -70,8 +80,5 @@ def snapshot_of_log(log: DataFrame, by_event_time: bool = False) -> DataFrame:
     By default whatever arrived last wins, also a late correction of an older window. Inside one
     arrival the newest window wins. ``by_event_time`` lets the newest window win always.
     """
-    arrival = ["batch_id", "seq"]
-    events = F.col("demand") + F.col("supply")
-    order = ["window_start", *arrival, events] if by_event_time else [*arrival, "window_start", events]
-    latest = last_by(log, ("zone_id",), F.struct(*order))
+    latest = last_of_zones(last_versions(log), by_event_time)
     return latest.withColumnRenamed("received_at", "updated_at").select(*SNAPSHOT_COLUMNS)

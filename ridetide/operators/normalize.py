@@ -32,11 +32,14 @@ def _parsed(raw: DataFrame, names: tuple[str, ...], value: str) -> DataFrame:
     return raw.withColumn(_FIELDS, payload.parse_object(F.col(value), names))
 
 
-def normalize(raw: DataFrame, kind: str, value: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+def normalize(
+    raw: DataFrame, kind: str, value: str = "value", carry: tuple[str, ...] = (), counted: str | None = None
+) -> DataFrame:
     """Keep usable payloads as (kind, zone_id, ts_event, status) plus the ``carry`` columns.
 
     Zero or one row per payload, by a generator: a filter would be pushed below the parsing
-    projection and parse every payload twice.
+    projection and parse every payload twice. ``counted`` names an observed metric of the running
+    query with the payloads received and refused.
     """
     fields, raw_value, names = F.col(_FIELDS), F.col(value), REQUIRED_FIELDS[kind]
     status = payload.as_text(fields, "status") if kind == HEARTBEAT else F.lit(None).cast("string")
@@ -48,8 +51,11 @@ def normalize(raw: DataFrame, kind: str, value: str = "value", carry: tuple[str,
         status.alias("status"),
         payload.is_usable(fields, raw_value, names).alias(_USABLE),
     )
+    usable = F.col(_USABLE) & _in_range(F.col("ts_event"))
+    if counted:
+        read = read.observe(counted, F.count(F.lit(1)).alias("received"), F.count_if(~usable).alias("refused"))
     event = F.array(F.struct("kind", "zone_id", "ts_event", "status"))
-    kept = F.when(F.col(_USABLE) & _in_range(F.col("ts_event")), event)
+    kept = F.when(usable, event)
     return read.select(*carry, F.inline(kept))
 
 
@@ -66,16 +72,6 @@ def quarantine(raw: DataFrame, kind: str, value: str = "value") -> DataFrame:
     return judged.select(*raw.columns, F.inline(refused))
 
 
-def observe_refused(raw: DataFrame, kind: str, name: str, value: str = "value") -> DataFrame:
-    """Count received and unusable payloads as an observed metric of the running query."""
-    names = REQUIRED_FIELDS[kind]
-    unusable = ~payload.is_usable(F.col(_FIELDS), F.col(value), names)
-    counted = _parsed(raw, names, value).observe(
-        name, F.count(F.lit(1)).alias("received"), F.count_if(unusable).alias("refused")
-    )
-    return counted.drop(_FIELDS)
-
-
 def check_contract(
     raw: DataFrame, contract: dict[str, Rule], value: str = "value", check_format: bool = True
 ) -> DataFrame:

@@ -12,7 +12,7 @@ class PricingParams:
     window_ms: int = 5_000
     out_of_orderness_ms: int = 10_000
     lateness_ms: int = 10_000
-    trigger_interval: str = "10 seconds"
+    trigger_interval: str = "0 seconds"
 
     def __post_init__(self) -> None:
         if self.window_ms <= 0:

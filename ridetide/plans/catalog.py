@@ -470,6 +470,28 @@ def stream_snapshot(spark, sf_dir):
     return in_millis(streams.stored_snapshot(spark, sf_dir))
 
 
+@query
+def stream_history_new_checkpoint(spark, sf_dir):
+    return in_millis(streams.log_of_two_checkpoints(spark, sf_dir).history())
+
+
+@query
+def stream_snapshot_new_checkpoint(spark, sf_dir):
+    return in_millis(streams.log_of_two_checkpoints(spark, sf_dir).snapshot())
+
+
+@query
+def stream_snapshot_late(spark, sf_dir):
+    """Updates of older windows arrive last, and win."""
+    return in_millis(streams.log_of_two_checkpoints(spark, sf_dir, late_first=True).snapshot())
+
+
+@query
+def stream_snapshot_late_by_time(spark, sf_dir):
+    """Updates of older windows arrive last, and the newest window wins."""
+    return in_millis(streams.log_of_two_checkpoints(spark, sf_dir, late_first=True).snapshot(by_event_time=True))
+
+
 @query
 def stream_json_history(spark, sf_dir):
     return in_millis(streams.consumed_history(spark, sf_dir))
@@ -490,6 +512,29 @@ def stream_quotes(spark, sf_dir):
     return in_millis(streams.streamed_quotes(spark, sf_dir))
 
 
+@query
+def stream_exact_sequence(spark, sf_dir):
+    """Every firing: on time, again for late events, not at all for events that are too late."""
+    return streams.firing_sequence(spark, sf_dir, job.EXACT, job.UNION)
+
+
+@query
+def stream_live_sequence(spark, sf_dir):
+    """Rides lag; the slower stream's watermark counts and none of them is too late."""
+    return streams.firing_sequence(spark, sf_dir, job.LIVE, job.STRICT, rides_lag=2)
+
+
+@query
+def stream_live_sequence_union(spark, sf_dir):
+    """Rides lag; the heartbeats move the common watermark past them."""
+    return streams.firing_sequence(spark, sf_dir, job.LIVE, job.UNION, rides_lag=2)
+
+
+@query
+def stream_refused_counts(spark, sf_dir):
+    return streams.refused_counts(spark, sf_dir)
+
+
 @query
 def stream_quarantine(spark, sf_dir):
     return streams.quarantined(spark, sf_dir)

@@ -83,15 +83,19 @@ def _event_ms() -> Column:
     return to_millis(F.col("ts").cast("timestamp"))
 
 
-def events_of(table_rows: DataFrame) -> DataFrame:
-    """Rows of the events table as normalised events."""
+def _event_columns() -> list[Column]:
     kind = F.when(_is_ride(), F.lit(RIDE)).otherwise(F.lit(HEARTBEAT))
-    return table_rows.select(
+    return [
         kind.alias("kind"),
         _zone().alias("zone_id"),
         _event_ms().alias("ts_event"),
         F.when(_is_heartbeat(), _heartbeat_status()).alias("status"),
-    )
+    ]
+
+
+def events_of(table_rows: DataFrame) -> DataFrame:
+    """Rows of the events table as normalised events."""
+    return table_rows.select(*_event_columns())
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +110,23 @@ def events_between(spark: SparkSession, sf_dir: str, from_ms: int, to_ms: int) -
     return events_of(rows.filter((time >= low) & (time < high)))
 
 
+# The sequence queries read the events in slices of four days, one per micro-batch.
+SLICE_MS = 4 * DAY_MS
+FIRST_MS = 1_704_067_200_000
+SLICES = 10
+
+
+def sliced_events(spark: SparkSession, sf_dir: str, rides_lag: int) -> DataFrame:
+    """Normalised events with the ``slice`` they arrive in: that of their time, some one or three slices
+    late, and rides ``rides_lag`` slices later."""
+    rows = table(spark, sf_dir, "events")
+    event = F.col("event_id")
+    late = F.when(event % 13 == 0, 3).when(event % 11 == 0, 1).otherwise(0)
+    lag = F.when(_is_ride(), F.lit(rides_lag)).otherwise(0)
+    due = F.floor((_event_ms() - F.lit(FIRST_MS)) / F.lit(SLICE_MS)) + late + lag
+    return rows.select(F.least(due, F.lit(SLICES - 1)).cast("int").alias("slice"), *_event_columns())
+
+
 def event_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rides, heartbeats) as two streams of normalised events."""
     rides = table_stream(spark, sf_dir, "events").filter(_is_ride())

@@ -38,8 +38,8 @@ _SURGE = f"""CASE WHEN ratio <= {_dbl(0.5)} THEN {_dbl(1.0)}
   ELSE least({_dbl(7.0)}, {_dbl(5.5)} + (ratio - {_dbl(3.0)}) * {_dbl(0.75)}) END"""
 
 
-def _ratios(counts: str, window_ms: int) -> str:
-    return f"""SELECT zone_id, window_start, window_start + {window_ms} AS window_end, demand, supply,
+def _ratios(counts: str, window_ms: int, carry: str = "") -> str:
+    return f"""SELECT {carry} zone_id, window_start, window_start + {window_ms} AS window_end, demand, supply,
   CASE WHEN supply > 0 THEN CAST(demand AS DOUBLE) / CAST(supply AS DOUBLE)
        WHEN demand > 0 THEN {_dbl(999.0)} ELSE {_dbl(0.0)} END AS ratio
 FROM {counts}"""
@@ -58,8 +58,8 @@ _UPDATE_COLUMNS = (
 )
 
 
-def _surged(metrics: str) -> str:
-    return f"""SELECT zone_id, window_start, window_end, demand, supply, ratio,
+def _surged(metrics: str, carry: str = "") -> str:
+    return f"""SELECT {carry} zone_id, window_start, window_end, demand, supply, ratio,
   {_SURGE} AS surge_multiplier, window_end AS ts_compute FROM ({metrics})"""
 
 
@@ -247,6 +247,38 @@ def _closed(watermark: str) -> str:
     )
 
 
+def _sequence(fires: str, kept: str, delay_ms: int, rides_lag: int = 0, strict: bool = False) -> str:
+    """Updates by micro-batch. ``kept``: when a row still counts; ``fires``: when a window is emitted.
+
+    The watermark of a micro-batch comes from the slices before it; after the last slice the stream
+    runs one more without data. A built-in aggregate drops rows by the watermark of the micro-batch
+    before (``before``), the exact mode by its own (``w``). ``fresh``: rows of this micro-batch; ``first``: the first micro-batch
+    whose watermark has reached the window's end.
+    """
+    slices, day = inputs.SLICES, inputs.DAY_MS
+    newest = "greatest(max(ride) OVER past, max(beat) OVER past)"
+    if strict:
+        newest = "least(coalesce(max(ride) OVER past, 0), coalesce(max(beat) OVER past, 0))"
+    counts = f"""(SELECT batch, zone_id, window_start, demand, supply FROM (
+    SELECT b.batch, k.zone_id, k.window_start, b.w, b.before, any_value(k.window_start) + {W} AS window_end,
+      CAST(sum(k.demand) AS BIGINT) AS demand, CAST(sum(k.supply) AS BIGINT) AS supply,
+      count(*) FILTER (WHERE k.slice = b.batch) AS fresh
+    FROM kept k JOIN marks b ON k.slice <= b.batch GROUP BY ALL) WHERE {fires})"""
+    return f"""WITH ev AS ({_CTES["ev"]}),
+sl AS (SELECT *, least((ts_event - {inputs.FIRST_MS}) // {inputs.SLICE_MS} + CASE WHEN event_id % 13 = 0 THEN 3
+    WHEN event_id % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN kind = 'RIDE' THEN {rides_lag} ELSE 0 END, {slices - 1}) AS slice,
+  ts_event - ts_event % {W} AS window_start FROM ev),
+seen AS (SELECT t.b AS batch, max(ts_event) FILTER (WHERE kind = 'RIDE') AS ride,
+  max(ts_event) FILTER (WHERE kind = 'HEARTBEAT') AS beat FROM range(0, {slices + 1}) AS t(b) LEFT JOIN sl ON sl.slice = t.b GROUP BY 1),
+watermarks AS (SELECT batch, greatest(coalesce({newest}, 0) - {delay_ms}, 0) AS w FROM seen
+  WINDOW past AS (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marks AS (SELECT batch, w, coalesce(lag(w) OVER (ORDER BY batch), -1) AS before FROM watermarks),
+kept AS (SELECT sl.slice, zone_id, window_start, CASE WHEN kind = 'RIDE' THEN 1 ELSE 0 END AS demand,
+  CASE WHEN kind = 'HEARTBEAT' AND status = 'AVAILABLE' THEN 1 ELSE 0 END AS supply
+  FROM sl JOIN marks ON marks.batch = sl.slice WHERE {kept.format(end=f"window_start + {W}", lateness=day)})
+SELECT CAST(batch AS BIGINT) AS batch, * EXCLUDE (batch) FROM ({_surged(_ratios(counts, W, "batch,"), "batch,")})"""
+
+
 def _fare_table() -> str:
     def band(pick) -> str:
         cases = " ".join(f"WHEN zone_id BETWEEN {b[0]} AND {b[1]} THEN {pick(b)}" for b in BANDS)
@@ -421,6 +453,26 @@ FROM judged q LEFT JOIN fares f ON f.zone_id = q.origin_zone_id WHERE q.reject_r
     "stream_exact": _closed("least(rides, beats) - 10000"),
     "stream_history": _HISTORY,
     "stream_snapshot": _with(_SNAP, "SELECT * FROM snap"),
+    "stream_exact_sequence": _sequence(
+        "window_end <= w AND (fresh > 0 OR window_end > before)", "{end} + {lateness} > w", inputs.DAY_MS
+    ),
+    "stream_live_sequence": _sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2, strict=True),
+    "stream_live_sequence_union": _sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2),
+    "stream_refused_counts": _with(
+        "ev",
+        """SELECT CASE kind WHEN 'RIDE' THEN 'rides' ELSE 'heartbeats' END AS stream, CAST(count(*) AS BIGINT) AS received,
+  CAST(count(*) FILTER (WHERE event_id % 7 IN (1, 2, 3, 6)) AS BIGINT) AS refused FROM ev GROUP BY 1""",
+    ),
+    "stream_history_new_checkpoint": _HISTORY,
+    "stream_snapshot_new_checkpoint": _with(_SNAP, "SELECT * FROM snap"),
+    "stream_snapshot_late": _with(
+        _SNAP,
+        f"""SELECT * EXCLUDE (n) FROM (SELECT zone_id, surge_multiplier, demand, supply, ratio, window_start, window_end,
+  CAST({NOW} AS BIGINT) AS updated_at,
+  row_number() OVER (PARTITION BY zone_id ORDER BY window_start < {FROM} DESC, window_start DESC) AS n FROM hist)
+WHERE n = 1""",
+    ),
+    "stream_snapshot_late_by_time": _with(_SNAP, "SELECT * FROM snap"),
     "stream_json_history": _HISTORY,
     "stream_json_history_compacted": _HISTORY,
     "stream_zone_feed": _ZONE_FEED,

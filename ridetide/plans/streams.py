@@ -12,6 +12,7 @@ from ridetide.operators.pricing import quotes
 from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
 from ridetide.plans import inputs
+from ridetide.schemas import NORMALIZED_EVENT
 from ridetide.session import shared_dir
 from ridetide.sources.streams import Files, publish, raw_batch, raw_stream
 from ridetide.streaming import job
@@ -41,11 +42,39 @@ def published_updates(
     return _last_updates(spark, sink)
 
 
+def _store(spark: SparkSession, log: UpdateLog, events: tuple[DataFrame, DataFrame], checkpoint: str) -> None:
+    stream = job.price_stream(*events, PARAMS)
+    run = log.claim_run(checkpoint)
+    writer = store_updates(stream.updates, log, stream.output_mode, inputs.AS_OF_MS, run)
+    job.start(spark, writer, checkpoint).awaitTermination()
+
+
 def _stored_log(spark: SparkSession, sf_dir: str) -> UpdateLog:
     folder = shared_dir(spark, "tables")
     log = UpdateLog(spark, f"{folder}/updates")
-    stream = job.price_stream(*inputs.event_streams(spark, sf_dir), PARAMS)
-    _run(spark, store_updates(stream.updates, log, stream.output_mode, inputs.AS_OF_MS), folder)
+    _store(spark, log, inputs.event_streams(spark, sf_dir), f"{folder}/checkpoint")
+    return log
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple:
+    """The event streams before and from the start of the range, which is the start of a window."""
+    early = F.col("ts_event") < F.lit(inputs.FROM_MS)
+    streams = inputs.event_streams(spark, sf_dir)
+    return tuple(s.filter(early) for s in streams), tuple(s.filter(~early) for s in streams)
+
+
+def log_of_two_checkpoints(spark: SparkSession, sf_dir: str, late_first: bool = False) -> UpdateLog:
+    """Both halves of the events in one log, each under a checkpoint of its own, folded in between.
+
+    With ``late_first`` the newer half comes first, so that updates of older windows arrive last.
+    """
+    folder = shared_dir(spark, "checkpoints")
+    log = UpdateLog(spark, f"{folder}/updates")
+    first, second = reversed(_halves(spark, sf_dir)) if late_first else _halves(spark, sf_dir)
+    _store(spark, log, first, f"{folder}/first")
+    log.compact()
+    log.expire()
+    _store(spark, log, second, f"{folder}/second")
     return log
 
 
@@ -72,7 +101,8 @@ def _consumed(spark: SparkSession, sf_dir: str) -> tuple[UpdateLog, str]:
     log, feeds = UpdateLog(spark, f"{folder}/updates"), f"{folder}/feeds"
     raw = raw_stream(spark, Files(published.path))
     subscribed = inputs.subscriptions(spark, sf_dir)
-    _run(spark, consume(raw, log, inputs.AS_OF_MS, feeds, subscribed), f"{folder}/tables")
+    run = log.claim_run(f"{folder}/tables/checkpoint")
+    _run(spark, consume(raw, log, inputs.AS_OF_MS, feeds, subscribed, run), f"{folder}/tables")
     return log, feeds
 
 
@@ -83,8 +113,7 @@ def consumed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consumed_history_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``consumed_history``, read from the folded generation."""
     log, _ = _consumed(spark, sf_dir)
-    last = log.rows().agg(F.max("batch_id")).first()[0]
-    log.compact(last)
+    log.compact()
     return log.history()
 
 
@@ -94,6 +123,44 @@ def consumed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(f"{feeds}/zones").select(F.col("zone_id").cast("int").alias("zone_id"), "value")
 
 
+SEQUENCE_PARAMS = PricingParams(
+    window_ms=inputs.WINDOW_MS, out_of_orderness_ms=inputs.DAY_MS, lateness_ms=inputs.DAY_MS
+)
+
+
+def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int = 0) -> DataFrame:
+    """Every update that a job emits over slices of the events, one per micro-batch, with the number of
+    the micro-batch. Slices are written one after the other, since a file stream goes by file time."""
+    folder = shared_dir(spark, f"sequence-{mode}")
+    sliced = inputs.sliced_events(spark, sf_dir, rides_lag)
+    kinds = (RIDE, HEARTBEAT)
+    for number in range(inputs.SLICES):
+        for kind in kinds:
+            rows = sliced.filter((F.col("slice") == number) & (F.col("kind") == kind)).drop("slice")
+            rows.coalesce(1).write.mode("append").parquet(f"{folder}/{kind}")
+    reader = spark.readStream.schema(NORMALIZED_EVENT).option("maxFilesPerTrigger", 1)
+    stream = job.price_stream(*[reader.parquet(f"{folder}/{k}") for k in kinds], SEQUENCE_PARAMS, mode, idle_policy)
+    sink = Files(f"{folder}/price-updates")
+    _run(spark, publish(stream.updates, sink, stream.output_mode), folder)
+    return decode_price_updates(raw_batch(spark, sink), carry=("seq",)).withColumnRenamed("seq", "batch")
+
+
+def refused_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads received and refused by the pricing job, as its progress reports them."""
+    folder = shared_dir(spark, "refused")
+    raw = []
+    for kind, payloads in zip((RIDE, HEARTBEAT), inputs.damaged_payloads(spark, sf_dir), strict=True):
+        source = Files(f"{folder}/{kind}")
+        payloads.select("value").write.mode("overwrite").text(source.path)
+        raw.append(raw_stream(spark, source).select("value"))
+    stream = job.price_stream_of_json(*raw, PARAMS)
+    sink = publish(stream.updates, Files(f"{folder}/price-updates"), stream.output_mode)
+    query = job.start(spark, sink, f"{folder}/checkpoint")
+    query.awaitTermination()
+    counts = [(name, *numbers) for name, numbers in job.refused_counts(query).items()]
+    return spark.createDataFrame(counts, "stream STRING, received BIGINT, refused BIGINT")
+
+
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refused payloads of both raw streams, stored with their reason, counted by kind and reason."""
     folder = shared_dir(spark, "quarantine")

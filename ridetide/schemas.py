@@ -3,6 +3,12 @@
 Counts are BIGINT: a busy zone in a long window can exceed 32 bits on large inputs.
 """
 
+
+def column_names(ddl: str) -> tuple[str, ...]:
+    """Names of a flat DDL text; commas inside DECIMAL(p,s) are not followed by a blank."""
+    return tuple(column.split()[0] for column in ddl.split(", "))
+
+
 NORMALIZED_EVENT = "kind STRING, zone_id INT, ts_event BIGINT, status STRING"
 
 # Fields of a price update on the wire.
@@ -10,7 +16,7 @@ PRICE_UPDATE = (
     "zone_id INT, window_start BIGINT, window_end BIGINT, demand BIGINT, supply BIGINT, "
     "ratio DOUBLE, surge_multiplier DOUBLE, ts_compute BIGINT"
 )
-PRICE_UPDATE_FIELDS = tuple(field.split()[0] for field in PRICE_UPDATE.split(", "))
+PRICE_UPDATE_FIELDS = column_names(PRICE_UPDATE)
 
 # Columns of the stored tables. The ratio holds any two 64-bit counts.
 ZONE_WINDOW_METRICS = (

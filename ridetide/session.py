@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -53,6 +53,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"ridetide-{name}-")
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(path, file system) of the cluster's storage."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def found_paths(spark: SparkSession, pattern: str) -> list:
+    path, files = hadoop_path(spark, pattern)
+    return [status.getPath() for status in files.globStatus(path) or []]
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """True when a write to the folder has been committed."""
+    path, files = hadoop_path(spark, f"{folder}/_SUCCESS")
+    return files.exists(path)
+
+
+def write_once(rows: DataFrame, folder: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Write a micro-batch to its folder, unless that is complete: a reader may have listed it.
+
+    The rows are computed either way, since the state of a stream advances only when they are.
+    """
+    if is_complete(rows.sparkSession, folder):
+        rows.write.format("noop").mode("overwrite").save()
+    else:
+        write(rows.write.mode("overwrite"), folder)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Apply settings while a streaming query is started, then put the old ones back."""

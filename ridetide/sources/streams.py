@@ -2,18 +2,19 @@
 
 Both kinds of source give ``value STRING`` and ``seq BIGINT``, where ``seq`` orders the records of
 one zone: the broker offset (records are keyed by zone, so a zone stays in one partition), or the
-number of the micro-batch that wrote the file.
+run and micro-batch that wrote the file. Files in no such folder have ``seq`` 0.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ridetide.functions.wire import price_update_json, zone_key
+from ridetide.session import write_once
 
 # Topics.
 RIDE_REQUESTS = "ride-requests"
@@ -66,16 +67,18 @@ def raw_batch(spark: SparkSession, source: Files) -> DataFrame:
 
 
 def _file_seq(records: DataFrame):
-    if "batch_id" in records.columns:
-        return F.col("batch_id").cast("bigint").alias("seq")
-    written = F.col("_metadata.file_modification_time")
-    return F.unix_millis(written).alias("seq")
+    def number(folder: str):
+        digits = F.regexp_extract(F.col("_metadata.file_path"), f"/{folder}=([0-9]+)/", 1)
+        return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
+    return (number("run") * F.lit(10**9) + number("batch_id")).alias("seq")
 
-def publish(updates: DataFrame, sink: Broker | Files, output_mode: str) -> DataStreamWriter:
+
+def publish(updates: DataFrame, sink: Broker | Files, output_mode: str, run: int = 0) -> DataStreamWriter:
     """Writer of keyed JSON price updates; the caller sets checkpoint and trigger and starts it.
 
-    Delivery is at least once to a broker. To files a repeated micro-batch replaces its own folder.
+    Delivery is at least once to a broker. To files each micro-batch is one folder; repeated, it leaves a
+    complete folder alone, which a reader may have listed. A new checkpoint needs a new ``run``.
     """
     writer = updates.writeStream.outputMode(output_mode)
     if isinstance(sink, Broker):
@@ -86,16 +89,19 @@ def publish(updates: DataFrame, sink: Broker | Files, output_mode: str) -> DataS
 
     def write(batch: DataFrame, batch_id: int) -> None:
         values = batch.select(price_update_json().alias("value"))
-        values.write.mode("overwrite").text(f"{sink.path}/batch_id={batch_id}")
+        write_once(values, f"{sink.path}/run={run}/batch_id={batch_id}", DataFrameWriter.text)
 
     return writer.foreachBatch(write)
 
 
-def debug_lines(updates: DataFrame, label: str = "PRICE-UPDATE") -> DataFrame:
+# Fixed value: what a printed update starts with.
+LABEL = "PRICE-UPDATE"
+
+
+def debug_lines(updates: DataFrame, label: str = LABEL) -> DataFrame:
     return updates.select(F.concat(F.lit(f"{label}> "), price_update_json()).alias("value"))
 
 
 def debug_print(updates: DataFrame, output_mode: str) -> DataStreamWriter:
-    """Writer that prints every update to the console of the driver."""
-    lines = debug_lines(updates).writeStream.outputMode(output_mode)
-    return lines.format("console").option("truncate", "false")
+    """Writer that prints every update where it arises, to the output of its executor."""
+    return debug_lines(updates).writeStream.outputMode(output_mode).foreach(lambda row: print(row["value"], flush=True))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ridetide.functions.instants import instant
 from ridetide.operators.feeds import all_zones_feed, zone_feed
 from ridetide.operators.normalize import decode_price_updates, to_table_types
+from ridetide.session import write_once
 from ridetide.streaming.store import UpdateLog
 
 
@@ -18,12 +19,15 @@ def log_rows(updates: DataFrame, as_of_ms: int | None = None) -> DataFrame:
 
 
 def store_updates(
-    updates: DataFrame, log: UpdateLog, output_mode: str, as_of_ms: int | None = None
+    updates: DataFrame, log: UpdateLog, output_mode: str, as_of_ms: int | None = None, run: int = 0
 ) -> DataStreamWriter:
-    """Writer that stores the updates of a pricing job directly, without a broker between."""
+    """Writer that stores the updates of a pricing job directly, without a broker between.
+
+    ``run`` is what ``log.claim_run`` gives for the checkpoint that the writer starts with.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log.append(log_rows(batch.withColumn("seq", F.lit(0).cast("bigint")), as_of_ms), batch_id)
+        log.append(log_rows(batch.withColumn("seq", F.lit(0).cast("bigint")), as_of_ms), batch_id, run)
 
     return updates.writeStream.outputMode(output_mode).foreachBatch(write)
 
@@ -34,29 +38,33 @@ def consume(
     as_of_ms: int | None = None,
     feed_path: str | None = None,
     subscriptions: DataFrame | None = None,
+    run: int = 0,
 ) -> DataStreamWriter:
     """Writer that decodes raw price updates (``value``, ``seq``), stores them and writes feeds.
 
     An unusable payload fails the query; it goes on from the same micro-batch when restarted. A
-    repeated micro-batch replaces its log and feed folders.
+    repeated micro-batch leaves the log and feed folders alone that are complete. ``run`` is what
+    ``log.claim_run`` gives for the checkpoint that the writer starts with.
     """
 
     def write_feeds(updates: DataFrame, batch_id: int) -> None:
+        part = f"run={run}/batch_id={batch_id}"
         feed = all_zones_feed(updates, as_of_ms).select("value")
-        feed.write.mode("overwrite").text(f"{feed_path}/all/batch_id={batch_id}")
+        write_once(feed, f"{feed_path}/all/{part}", DataFrameWriter.text)
         if subscriptions is not None:
             zones = zone_feed(updates, subscriptions, as_of_ms)
-            zones.write.mode("overwrite").partitionBy("zone_id").text(f"{feed_path}/zones/batch_id={batch_id}")
+            by_zone = lambda writer, folder: writer.partitionBy("zone_id").text(folder)
+            write_once(zones, f"{feed_path}/zones/{part}", by_zone)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         updates = decode_price_updates(batch, carry=("seq",))
         if feed_path is None:
-            log.append(log_rows(updates, as_of_ms), batch_id)
+            log.append(log_rows(updates, as_of_ms), batch_id, run)
             return
         # Read and decoded once for the log and the feeds; lost blocks are computed again.
         updates = updates.persist()
         try:
-            log.append(log_rows(updates, as_of_ms), batch_id)
+            log.append(log_rows(updates, as_of_ms), batch_id, run)
             write_feeds(updates, batch_id)
         finally:
             updates.unpersist()

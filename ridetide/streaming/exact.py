@@ -76,32 +76,31 @@ class _WindowFiring(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs()
         if end + self._lateness_ms <= watermark:
             return
-        known = self._counts.exists()
-        demand, supply, fired = self._counts.get() if known else (0, 0, False)
+        held = self._counts.get()
+        demand, supply, fired = held or (0, 0, False)
         for row in rows:
             demand += row.demand
             supply += row.supply
         fire = end <= watermark
         self._counts.update((demand, supply, fired or fire))
-        if not known:
-            # A timer runs once the watermark is greater than its time.
-            if not fire:
-                self._handle.registerTimer(end - 1)
-            if self._lateness_ms > 0:
-                self._handle.registerTimer(end + self._lateness_ms - 1)
+        if held is None:
+            # A timer runs once the watermark is greater than its time; one at a time.
+            self._handle.registerTimer((end + self._lateness_ms if fire else end) - 1)
         if fire:
             yield Row(zone_id=zone, window_start=start, window_end=end, demand=demand, supply=supply)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self._counts.exists():
+        held = self._counts.get()
+        if held is None:
             return
         zone, start = key
         end = start + self._window_ms
-        demand, supply, fired = self._counts.get()
+        demand, supply, fired = held
         if end + self._lateness_ms <= timerValues.getCurrentWatermarkInMs():
             self._counts.clear()
-        elif not fired:
+        else:
             self._counts.update((demand, supply, True))
+            self._handle.registerTimer(end + self._lateness_ms - 1)
         if not fired:
             yield Row(zone_id=zone, window_start=start, window_end=end, demand=demand, supply=supply)
 

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import time
 from typing import NamedTuple
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ridetide.operators.normalize import HEARTBEAT, RIDE, normalize, union_events, with_event_time
+from ridetide.operators.normalize import HEARTBEAT, RIDE, normalize, quarantine, union_events, with_event_time
 from ridetide.operators.windows import to_price_updates, zone_demand_supply
 from ridetide.params import PricingParams
 from ridetide.session import STREAM_CONF, session_conf
 from ridetide.streaming.exact import price_windows_exact
 
 LIVE, FINAL, EXACT = "live", "final", "exact"
-STRICT, UNION = "strict", "union"
+STRICT, UNION, TICKS = "strict", "union", "ticks"
+
+# How long a stream may be silent before it holds nothing back, and restarts of a job.
+IDLE_MS = 15_000
+RESTARTS = 50
+
+RIDES_METRIC, HEARTBEATS_METRIC = "rides", "heartbeats"
+_TICK = "TICK"
 
 
 class PriceStream(NamedTuple):
@@ -29,9 +39,12 @@ def watermarked_events(
 
     ``strict``: one watermark per stream, the slower one counts; a silent stream holds all windows
     back. ``union``: one watermark after the union; a silent stream holds nothing back, but a slow
-    one loses its late events. Spark has no timeout for an idle stream between the two.
+    one loses its late events. ``ticks``: as ``strict``, but a stream that is silent for ``IDLE_MS``
+    holds nothing back; for live data, whose event time follows the clock.
     """
     delay = f"{delay_ms} milliseconds"
+    if idle_policy == TICKS:
+        return union_events(*[_with_ticks(events, delay) for events in (rides, heartbeats)])
     rides, heartbeats = with_event_time(rides), with_event_time(heartbeats)
     if idle_policy == STRICT:
         return union_events(
@@ -42,6 +55,24 @@ def watermarked_events(
     raise ValueError(f"unknown idle policy: {idle_policy}")
 
 
+def _with_ticks(events: DataFrame, delay: str) -> DataFrame:
+    """The events with a watermark that also follows the clock, ``IDLE_MS`` behind.
+
+    A row per second carries that time through the watermark and is removed after it, by a generator,
+    as a filter would be pushed below.
+    """
+    clock = events.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    ticks = clock.select(
+        F.lit(_TICK).alias("kind"),
+        F.lit(None).cast("int").alias("zone_id"),
+        (F.unix_millis("timestamp") - F.lit(IDLE_MS)).alias("ts_event"),
+        F.lit(None).cast("string").alias("status"),
+    )
+    marked = with_event_time(union_events(events, ticks)).withWatermark("event_time", delay)
+    is_event = F.when(F.col("kind") != _TICK, F.array(F.lit(True)))
+    return marked.select("*", F.explode(is_event).alias("__event")).drop("__event")
+
+
 def price_stream(
     rides: DataFrame,
     heartbeats: DataFrame,
@@ -73,16 +104,61 @@ def price_stream_of_json(
     mode: str = LIVE,
     idle_policy: str = STRICT,
 ) -> PriceStream:
-    """As ``price_stream``, from raw payloads; unusable ones are left out."""
+    """As ``price_stream``, from raw payloads; unusable ones are left out.
+
+    Each payload is parsed once. The progress of the query has the payloads received and refused
+    as observed metrics ``rides`` and ``heartbeats``; ``refused_payloads`` keeps them.
+    """
     return price_stream(
-        normalize(ride_requests, RIDE),
-        normalize(driver_heartbeats, HEARTBEAT),
+        normalize(ride_requests, RIDE, counted=RIDES_METRIC),
+        normalize(driver_heartbeats, HEARTBEAT, counted=HEARTBEATS_METRIC),
         params,
         mode,
         idle_policy,
     )
 
 
+def refused_payloads(ride_requests: DataFrame, driver_heartbeats: DataFrame) -> DataFrame:
+    """(value, kind, reason) of the payloads that the job leaves out, for a quarantine of their own."""
+    return union_events(
+        *[
+            quarantine(raw.select("value"), kind).withColumn("kind", F.lit(kind))
+            for raw, kind in ((ride_requests, RIDE), (driver_heartbeats, HEARTBEAT))
+        ]
+    )
+
+
+def refused_counts(query: StreamingQuery) -> dict[str, tuple[int, int]]:
+    """Metric -> (received, refused), over the progress that the query still holds."""
+    counts = {RIDES_METRIC: (0, 0), HEARTBEATS_METRIC: (0, 0)}
+    for progress in query.recentProgress:
+        for name, row in progress["observedMetrics"].items():
+            received, refused = counts[name]
+            counts[name] = received + row["received"], refused + row["refused"]
+    return counts
+
+
+def supervise(
+    spark: SparkSession,
+    writer: DataStreamWriter,
+    checkpoint: str,
+    interval: str | None = None,
+    restarts: int = RESTARTS,
+    pause_s: float = 1.0,
+) -> StreamingQuery:
+    """Run a writer until it ends or is stopped; after a failure start it again from its checkpoint,
+    at most ``restarts`` times, and then fail with the last error."""
+    for attempt in range(restarts + 1):
+        query = start(spark, writer, checkpoint, interval)
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if attempt == restarts:
+                raise
+            time.sleep(pause_s)
+
+
 def start(
     spark: SparkSession,
     writer: DataStreamWriter,

@@ -13,7 +13,6 @@ from ridetide.operators.normalize import (
     check_contract,
     decode_price_updates,
     normalize,
-    observe_refused,
     quarantine,
     to_table_types,
 )
@@ -102,7 +101,7 @@ def test_observed_counts(spark):
     from pyspark.sql import Observation
 
     counts = Observation("rides")
-    observe_refused(seen, RIDE, counts).collect()
+    normalize(seen, RIDE, counted=counts).collect()
     assert counts.get == {"received": 2, "refused": 1}
 
 

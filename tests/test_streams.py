@@ -5,9 +5,11 @@ import os
 import random
 import subprocess
 import sys
+import time
 from types import SimpleNamespace
 
 import pytest
+from conftest import ROOT
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -216,6 +218,56 @@ def test_a_silent_stream(spark, tmp_path, policy, emitted):
     assert got == [[], emitted]
 
 
+def test_ticks_let_a_silent_stream_hold_nothing_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(job, "IDLE_MS", 1_000)
+    params = PricingParams(window_ms=1_000, out_of_orderness_ms=500, lateness_ms=500)
+    for name in ("rides", "beats"):
+        os.makedirs(tmp_path / name)
+    now = int(time.time() * 1000)
+    (tmp_path / "rides" / "1.json").write_text(json.dumps({"zone_id": 1, "ts_event": now}) + "\n")
+    raw = [raw_stream(spark, Files(str(tmp_path / name))) for name in ("rides", "beats")]
+    stream = job.price_stream_of_json(*raw, params, job.FINAL, job.TICKS)
+    got = []
+
+    def sink(batch, batch_id):
+        got.extend((r.window_start, r.demand, r.supply) for r in batch.collect())
+
+    query = started(spark, stream, tmp_path / "ck", sink)
+    until = time.time() + 60
+    while not got and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
+    assert got == [(now - now % 1000, 1, 0)]
+
+
+def test_a_failing_job_is_started_again(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in")
+    feed.send([1000], ())
+    stream, failures, rows = feed.stream(job.LIVE), [], []
+
+    def sink(batch, batch_id):
+        if len(failures) < 2:
+            failures.append(batch_id)
+            raise RuntimeError("sink is down")
+        rows.extend(batch.collect())
+
+    writer = stream.updates.writeStream.outputMode(stream.output_mode).foreachBatch(sink)
+    job.supervise(spark, writer, str(tmp_path / "ck"), restarts=2, pause_s=0.1)
+    assert failures == [0, 0] and len(rows) == 1
+    failures.clear()
+    feed.send([2000], ())
+    with pytest.raises(Exception, match="sink is down"):
+        job.supervise(spark, writer, str(tmp_path / "ck"), restarts=1, pause_s=0.1)
+
+
+def test_refused_payloads_are_kept_with_their_kind(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.send([1000], [(1000, "BUSY")])
+    (tmp_path / "rides" / "bad.json").write_text('{"zone_id":1}\n')
+    rows = job.refused_payloads(feed.batch("rides"), feed.batch("beats")).collect()
+    assert [(r.kind, r.reason) for r in rows] == [("RIDE", "missing ts_event")]
+
+
 def in_order_batches(spark, sf_dir, feed_root, parts=3):
     """The events as ``parts`` time-ordered files per stream."""
     rides, beats = inputs.payloads(spark, sf_dir)
@@ -234,7 +286,7 @@ def test_restart_replay_and_batch_equivalence(spark, sf_dir, tmp_path):
     for name in ("rides", "beats"):
         os.makedirs(tmp_path / name)
     files = list(in_order_batches(spark, sf_dir, tmp_path))
-    batch_ids = []
+    batch_ids, middle = [], []
     for part in range(3):
         for name, number, lines in files:
             if number == part:
@@ -244,11 +296,13 @@ def test_restart_replay_and_batch_equivalence(spark, sf_dir, tmp_path):
         query = job.start(spark, store_updates(stream.updates, log, stream.output_mode, 0), str(tmp_path / "ck"))
         query.awaitTermination()
         batch_ids.append(query.lastProgress["batchId"])
+        middle.append(sorted(log.history().collect()))
     assert batch_ids == sorted(batch_ids) and batch_ids[0] < batch_ids[-1]
 
     stored = sorted(log.history().collect())
     again = log.batch(0)
     log.append(spark.createDataFrame(again.collect(), again.schema), 0)
+    assert middle[-1] == stored != middle[0]
     assert sorted(log.history().collect()) == stored
 
     events = inputs.events(spark, sf_dir)
@@ -256,13 +310,12 @@ def test_restart_replay_and_batch_equivalence(spark, sf_dir, tmp_path):
 
     before = (stored, sorted(log.snapshot().collect()), sorted(log.snapshot(True).collect()))
     assert log.rows().count() >= len(stored)
-    log.compact(batch_ids[1])
-    assert (sorted(log.history().collect()), sorted(log.snapshot().collect()), sorted(log.snapshot(True).collect())) == before
-    log.compact(batch_ids[2])
+    log.compact()
+    log.compact()
     assert (sorted(log.history().collect()), sorted(log.snapshot().collect()), sorted(log.snapshot(True).collect())) == before
     assert log.rows().count() == len(stored)
     log.expire()
-    assert not list((tmp_path / "updates" / "log").glob("batch_id=*"))
+    assert not list((tmp_path / "updates" / "log").glob("run=*/batch_id=*"))
     assert (sorted(log.history().collect()), sorted(log.snapshot().collect())) == before[:2]
 
 
@@ -270,7 +323,7 @@ def test_stored_history_is_pruned_by_the_range(spark, tmp_path):
     log = UpdateLog(spark, str(tmp_path / "updates"))
     wire = spark.createDataFrame([json.loads(update_line(1, w * 5000, 1)) for w in range(10)], PRICE_UPDATE)
     log.append(log_rows(wire.withColumn("seq", F.lit(0).cast("bigint")), 0), 0)
-    log.compact(0)
+    log.compact()
     found = history_range(log.history(), 10_000, 20_000, 1)
     assert [r.window_start.second for r in found.collect()] == [15, 10]
     explain = spark._jvm.PythonSQLUtils.explainString
@@ -283,9 +336,71 @@ def test_stored_history_is_pruned_by_the_range(spark, tmp_path):
 
 def test_empty_log(spark, tmp_path):
     log = UpdateLog(spark, str(tmp_path / "none"))
+    log.compact()
+    log.expire()
     assert log.history().count() == 0 and log.snapshot().count() == 0
 
 
+def wire_rows(spark, rows, as_of_ms=0):
+    """rows: (zone, window number, demand)"""
+    wire = spark.createDataFrame([json.loads(update_line(z, w * 5000, d)) for z, w, d in rows], PRICE_UPDATE)
+    return log_rows(wire.withColumn("seq", F.lit(0).cast("bigint")), as_of_ms)
+
+
+def contents(log):
+    stored = {(r.zone_id, r.window_start.second // 5): r.demand for r in log.history().collect()}
+    current = {r.zone_id: r.demand for r in log.snapshot().collect()}
+    newest = {r.zone_id: r.demand for r in log.snapshot(True).collect()}
+    return stored, current, newest
+
+
+def test_a_new_checkpoint_is_a_new_run(spark, tmp_path):
+    """Micro-batches are numbered from 0 again: nothing is overwritten, hidden or ordered wrongly."""
+    log = UpdateLog(spark, str(tmp_path / "log"))
+    first = log.claim_run(str(tmp_path / "a"))
+    assert log.claim_run(str(tmp_path / "a")) == first
+    log.append(wire_rows(spark, [(1, 0, 1), (2, 0, 1)]), 0, first)
+    log.append(wire_rows(spark, [(1, 1, 13)]), 1, first)
+    log.compact()
+    second = log.claim_run(str(tmp_path / "b"))
+    assert second > first
+    log.append(wire_rows(spark, [(1, 0, 99)]), 0, second)
+    wanted = ({(1, 0): 99, (1, 1): 13, (2, 0): 1}, {1: 99, 2: 1}, {1: 13, 2: 1})
+    assert contents(log) == wanted
+    log.append(wire_rows(spark, [(2, 1, 7)]), 1, second)
+    wanted[0][(2, 1)], wanted[1][2], wanted[2][2] = 7, 7, 7
+    for step in (log.compact, log.expire, log.compact):
+        step()
+        assert contents(log) == wanted
+    log.append(wire_rows(spark, [(1, 0, 5)]), 1, second)  # a repeated micro-batch
+    assert contents(log) == wanted
+
+
+def test_an_unfinished_generation_does_not_count(spark, tmp_path):
+    log = UpdateLog(spark, str(tmp_path / "log"))
+    log.append(wire_rows(spark, [(1, 0, 1)]), 0)
+    log.compact()
+    log.append(wire_rows(spark, [(1, 1, 2)]), 1)
+    before = contents(log)
+    log.compact()
+    for mark in (tmp_path / "log" / "folded" / "gen=2" / "positions").glob("*_SUCCESS*"):
+        mark.unlink()
+    assert contents(log) == before
+    log.compact()
+    assert contents(log) == before
+
+
+def test_views_are_hash_aggregates_and_the_snapshot_reads_no_history(spark, tmp_path):
+    log = UpdateLog(spark, str(tmp_path / "log"))
+    log.append(wire_rows(spark, [(1, w, w) for w in range(5)]), 0)
+    log.compact()
+    log.append(wire_rows(spark, [(1, 5, 5)]), 1)
+    for view in (log.history(), log.snapshot(), log.snapshot(True)):
+        assert "SortAggregate" not in view._jdf.queryExecution().executedPlan().toString()
+    opened = " ".join(log.snapshot().inputFiles())
+    assert "/zones/" in opened and "/windows/" not in opened
+
+
 def update_line(zone, start, demand):
     names = "zone_id window_start window_end demand supply ratio surge_multiplier ts_compute".split()
     return json.dumps(dict(zip(names, (zone, start, start + 5000, demand, 1, float(demand), 1.5, start + 5000))))
@@ -346,15 +461,29 @@ def test_broker_options():
     assert source.write_options()["topic"] == "price-updates"
 
 
-def test_debug_print(spark, tmp_path):
-    feed = Feed(spark, tmp_path / "in")
-    feed.send([1000], ())
-    stream = feed.stream(job.LIVE)
-    query = job.start(spark, debug_print(stream.updates, stream.output_mode), str(tmp_path / "ck"))
-    query.awaitTermination()
-    assert query.exception() is None and sum(p["numInputRows"] for p in query.recentProgress) == 1
-    (line,) = debug_lines(price_updates(normalize(feed.batch("rides"), RIDE), 5000)).collect()
-    assert line.value.startswith('PRICE-UPDATE> {"zone_id":1,"window_start":1000000,')
+PRINTING = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from ridetide.plans import inputs
+from ridetide.session import local_session
+from ridetide.sources.streams import Files, debug_print, raw_stream
+from ridetide.streaming import job
+spark = local_session("2", 2)
+raw = [raw_stream(spark, Files(f"{sys.argv[2]}/{name}")) for name in ("rides", "beats")]
+stream = job.price_stream_of_json(*raw)
+job.start(spark, debug_print(stream.updates, stream.output_mode), f"{sys.argv[2]}/ck").awaitTermination()
+"""
+
+
+def test_debug_print_prints_every_update(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.send([w * 5000 for w in range(30)], [(1000, "BUSY")])
+    command = [sys.executable, "-c", PRINTING, str(ROOT), str(tmp_path)]
+    said = subprocess.run(command, capture_output=True, text=True, check=True, timeout=180)
+    lines = [line for line in (said.stdout + said.stderr).splitlines() if "PRICE-UPDATE> {" in line]
+    assert len(lines) == len(set(lines)) == 30
+    printed = debug_lines(price_updates(normalize(feed.batch("rides"), RIDE), 5000)).collect()
+    assert min(r.value for r in printed).startswith('PRICE-UPDATE> {"zone_id":1,"window_start":1000000,')
 
 
 def test_shared_dir_comes_from_the_session():

@@ -188,7 +188,7 @@ def log(spark, rows):
     wide = spark.createDataFrame(rows, LOG).select(
         "zone_id", "window_start", (F.col("window_start") + SIZE).alias("window_end"), "demand",
         F.lit(1).cast("bigint").alias("supply"), F.lit(1.0).alias("ratio"), F.lit(1.0).alias("surge_multiplier"),
-        (F.col("window_start") + SIZE).alias("ts_compute"), "batch_id", "seq",
+        (F.col("window_start") + SIZE).alias("ts_compute"), F.lit(1).cast("bigint").alias("run"), "batch_id", "seq",
     )
     return to_table_types(wide).withColumn("received_at", F.timestamp_millis("batch_id"))
 

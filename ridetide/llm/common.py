@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import ridetide
 from ridetide.session import session_conf, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,9 +39,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_ridetide_shipped", False):
+        return
+    root = Path(ridetide.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="ridetide-code-")) / "ridetide.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._ridetide_shipped = True
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """While the block plans and runs queries, Python gets so many rows at a time: texts can be long."""
+    """While the block plans and runs queries, Python gets so many rows at a time: texts can be long.
+    The executors have this package's code from then on."""
+    ship_package(spark)
     with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
         yield
 
@@ -51,7 +71,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str,
     the columns of ``group`` must not be null.
     """
     group, order = list(group), list(order)
-    chunks = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("__chunks"))
+    # Written, so that the join reads two plain exchanges and a hot group is split among tasks.
+    chunks = written(df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("__chunks")), "chunks")
     cut = (
         df.join(chunks, group)
         .withColumn("__chunk", F.pmod(F.xxhash64(F.lit(11), *order), F.col("__chunks")))

@@ -461,7 +461,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
                 break
             overlap, beam = overlap + 2, beam * 2
         roots = classes.join(components(hooks), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        smallest = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        smallest = written(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
         known = written(
             roots.join(smallest, "root")
             .join(links, "node", "left")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import id_remainder, small_batches, table, text_key
+from ridetide.llm.common import id_remainder, ship_package, small_batches, table, text_key
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -154,6 +154,7 @@ def predict(docs: DataFrame, profiles: Profiles, size: int = PROFILE) -> DataFra
                 names=[*others.schema.names, "lang_pred", "score"],
             )
 
+    ship_package(docs.sparkSession)
     fields = "".join(f"`{name}` {kind}, " for name, kind in docs.dtypes if name != "text")
     return docs.mapInArrow(run, f"{fields}lang_pred string, score double")
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import WORD, ranked, table, text_key, written
+from ridetide.llm.common import WORD, ranked, ship_package, table, text_key, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -157,6 +157,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     give no rows.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     sizes = written(sized(docs), "sizes")
     sources = written(targeted(weighted(spark, sizes, weights), share), "targets")
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import small_batches, table, written
+from ridetide.llm.common import ship_package, small_batches, table, written
 from ridetide.llm.vectors import main_dimension, usable
 
 NEAREST = 20
@@ -174,6 +174,7 @@ def search(
     row per occurrence as a neighbour, and one query. Other columns are not read. No vectors give no rows.
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     given = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("embedding").cast("array<double>").alias("vector"),

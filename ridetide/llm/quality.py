@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import id_remainder, small_batches, table
+from ridetide.llm.common import id_remainder, ship_package, small_batches, table
 
 SAMPLE = 6_000
 """At most so many labelled documents are learned from, chosen by a hash of their id."""
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, values: np.ndarray, base: float) -> DataFrame:
             scores = [score(raw or b"", values, base) for raw in batch["raw"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
+    ship_package(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     return given.mapInArrow(run, "doc_id long, score double")
 

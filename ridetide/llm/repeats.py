@@ -216,6 +216,8 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
     2. Documents with recurring phrases are dealt in shards; one automaton per shard locates all
        occurrences of its phrases.
     3. The windows around these places are compared by 128-bit hash; the smallest doc_id keeps one.
+    What is counted is written before it is joined: the joins then read two plain exchanges, and a text,
+    phrase or window that a third of all documents hold is split among tasks.
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -229,10 +231,11 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             "summary",
         )
         judged = summary.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-        repeated = (
+        repeated = written(
             judged.groupBy("words_sha256")
             .agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-            .where("first_id < last_id")
+            .where("first_id < last_id"),
+            "repeated",
         )
         copies = written(
             judged.join(repeated, "words_sha256").where("doc_id > first_id").select("doc_id", "text_key", "n_words"),
@@ -241,8 +244,6 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
         phrases = judged.join(copies, ["doc_id", "text_key"], "left_anti").select(
             "doc_id", "text_key", F.explode("phrases").alias("phrase")
         )
-        # Written, so that the joins below read two plain exchanges: a phrase or window that a third of all
-        # documents hold is then split among tasks.
         recurring = written(
             phrases.groupBy("phrase")
             .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))

@@ -104,7 +104,7 @@ def contract_violations(spark, sf_dir):
 
 @query
 def price_update_contract(spark, sf_dir):
-    raw = _updates(spark, sf_dir).select("zone_id", "window_start", wire.price_update_json().alias("value"))
+    raw = inputs.broken_updates(_updates(spark, sf_dir))
     checked = normalize.check_contract(raw, contracts.PRICE_UPDATE)
     return checked.select("zone_id", "window_start", F.array_join("violations", ",").alias("violations"))
 

@@ -229,6 +229,34 @@ def contract_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return rides, beats
 
 
+def broken_updates(updates: DataFrame) -> DataFrame:
+    """Price updates as (zone_id, window_start, value), a tenth of them whole; each other tenth breaks
+    another field, by window and zone: 1 zone too large, 2 negative start, 3 quoted end, 4 no demand,
+    5 fractional supply, 6 negative ratio, 7 no compute time, 8 negative fare, 9 an unknown field.
+    """
+    case = (F.floor(F.col("window_start") / WINDOW_MS) + F.col("zone_id")) % 10
+    names = schemas.PRICE_UPDATE_FIELDS
+    changed = {
+        **{name: F.col(name) for name in names},
+        "zone_id": F.when(case == 1, F.col("zone_id") + 64).otherwise(F.col("zone_id")),
+        "window_start": F.when(case == 2, -F.col("window_start")).otherwise(F.col("window_start")),
+        "demand": F.when(case != 4, F.col("demand")),
+        "ratio": F.when(case == 6, F.lit(-1.0)).otherwise(F.col("ratio")),
+        "ts_compute": F.when(case != 7, F.col("ts_compute")),
+        "reference_fare": F.when(case == 8, F.lit(-1.0)),
+        "extra": F.when(case == 9, 1),
+    }
+    quoted = {**changed, "window_end": F.col("window_end").cast("string")}
+    fractional = {**changed, "supply": F.col("supply") + F.lit(0.5)}
+    # A null field is left out of the text.
+    value = (
+        F.when(case == 3, F.to_json(_as_struct(quoted)))
+        .when(case == 5, F.to_json(_as_struct(fractional)))
+        .otherwise(F.to_json(_as_struct(changed)))
+    )
+    return updates.select("zone_id", "window_start", value.alias("value"))
+
+
 def sample_fares(spark: SparkSession) -> DataFrame:
     rows = ", ".join(
         f"({zone}, {', '.join(rates)}, '{kind}', {active})" for zone, *rates, kind, active in SAMPLE_FARES

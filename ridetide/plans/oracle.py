@@ -358,8 +358,12 @@ FROM ev WHERE event_id % 7 IN (1, 2, 3, 6) GROUP BY 1, 2""",
     "contract_violations": _contract(),
     "price_update_contract": _with(
         "ev upd",
-        """SELECT zone_id, window_start,
-  CASE WHEN surge_multiplier > 3 THEN 'surge_multiplier:maximum' ELSE '' END AS violations FROM upd""",
+        f"""SELECT zone_id, window_start, array_to_string(list_sort(list_filter([
+  CASE WHEN surge_multiplier > 3 THEN 'surge_multiplier:maximum' END,
+  CASE (window_start // {W} + zone_id) % 10 WHEN 1 THEN 'zone_id:maximum' WHEN 2 THEN 'window_start:minimum'
+    WHEN 3 THEN 'window_end:type' WHEN 4 THEN 'demand:required' WHEN 5 THEN 'supply:type' WHEN 6 THEN 'ratio:minimum'
+    WHEN 7 THEN 'ts_compute:required' WHEN 8 THEN 'reference_fare:minimum' WHEN 9 THEN 'extra:additional' END],
+  lambda v: v IS NOT NULL)), ',') AS violations FROM upd""",
     ),
     "enum_parse": _with("ev", "SELECT kind, status, CAST(count(*) AS BIGINT) AS events FROM ev GROUP BY 1, 2"),
     "zone_demand_supply": _with("ev upd", "SELECT zone_id, window_start, window_end, demand, supply FROM upd"),

@@ -283,26 +283,30 @@ def split(members: DataFrame, overlap: int) -> DataFrame:
         def fitted(group: pa.Table) -> pa.Table:
             count = int(min(SPLIT, max(overlap + 2, math.ceil(2 * overlap * group["count"][0].as_py() / SHARD))))
             middle = centres(unit(matrix(group["vector"])), count)
-            return pa.table({"shard": group["shard"][:1], "middle": pa.array([middle.astype("<f8").tobytes()], pa.binary())})
+            packed = pa.array([middle.astype("<f8").tobytes()], pa.binary())
+            return pa.table({"shard": group["shard"][:1], "middle": packed})
 
         middles = sampled.groupBy("shard").applyInArrow(fitted, "shard long, middle binary")
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vectors = unit(matrix(batch["vector"])) if batch.num_rows else None
-                rows, shards = [], []
-                for i, (shard, middle) in enumerate(zip(batch["shard"].to_pylist(), batch["middle"].to_pylist(), strict=True)):
-                    middle = np.frombuffer(middle, "<f8").reshape(-1, vectors.shape[1])
-                    far = (middle**2).sum(axis=1) - 2 * middle @ vectors[i]
-                    for k in np.argsort(far, kind="stable")[:overlap].tolist():
-                        rows.append(i)
-                        shards.append((shard * 1_000_003 + k + 1) % (1 << 61))
+                names = batch["shard"].to_numpy()
+                rows, shards = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for shard in np.unique(names).tolist():  # of one place, so of one length
+                    own = np.flatnonzero(names == shard)
+                    vectors = unit(matrix(batch["vector"].take(pa.array(own))))
+                    middle = np.frombuffer(batch["middle"][int(own[0])].as_py(), "<f8").reshape(-1, vectors.shape[1])
+                    far = (middle**2).sum(axis=1) - 2 * vectors @ middle.T
+                    nearest = np.argsort(far, axis=1, kind="stable")[:, :overlap]
+                    parts = np.array([(shard * 1_000_003 + k + 1) % (1 << 61) for k in range(len(middle))])
+                    rows.append(np.repeat(own, nearest.shape[1]))
+                    shards.append(parts[nearest].reshape(-1))
+                picked = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["node"].take(pa.array(rows, pa.int64())), pa.array(shards, pa.int64()), batch["vector"].take(pa.array(rows, pa.int64()))],
+                    [batch["node"].take(picked), pa.array(np.concatenate(shards)), batch["vector"].take(picked)],
                     names=["node", "shard", "vector"],
                 )
 
-        # Members of one place have equally long vectors, but a batch may mix places: deal by group.
         cut = groups.join(large.select("shard"), "shard").join(middles, "shard")
         groups = written(
             cut.select("node", "shard", "vector", "middle").mapInArrow(assigned, "node long, shard long, vector array<double>"),
@@ -345,9 +349,8 @@ def graph_links(classes: DataFrame, least: float, overlap: int, beam: int) -> tu
     )
     hooks = found.where("exit = 0 and node != other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     counts = found.where("exit = 0").select("node", "links")
-    side = lambda s: members.select(
-        F.col("node").alias(s), F.col("vector").alias(f"v{s}"), F.col("shards").alias(f"s{s}"), F.col("copies").alias(f"c{s}")
-    )
+    part = {"node": "", "vector": "v", "shards": "s", "copies": "c"}
+    side = lambda s: members.select(*(F.col(name).alias(f"{short}{s}") for name, short in part.items()))
     ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     candidates = found.where("exit = 1").select(*ends).distinct()
     known = None
@@ -404,12 +407,14 @@ def audited(classes: DataFrame, links: DataFrame, least: float, sample: int = AU
                 rows = np.flatnonzero(own_places == place)
                 if len(rows):
                     block = np.array([own[r] for r in rows])
+                    here, there = np.arange(len(rows)), np.full(len(rows), len(rows))
                     for q in np.flatnonzero(places == place):
-                        near = linked(np.vstack([block, vectors[q]]), np.arange(len(rows)), np.full(len(rows), len(rows)), least)
+                        near = linked(np.vstack([block, vectors[q]]), here, there, least)
                         total[q] += copies[rows[near & (ids[rows] != nodes[q])]].sum()
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(total)], names=["node", "true_links"])
 
-    truth = classes.mapInArrow(run, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
+    partial = classes.mapInArrow(run, "node long, true_links long")
+    truth = partial.groupBy("node").agg(F.sum("true_links").alias("true_links"))
     found, there = truth.join(links, "node", "left").agg(F.sum("links"), F.sum("true_links")).first()
     return (found or 0) / there if there else 1.0
 

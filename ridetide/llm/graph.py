@@ -16,7 +16,8 @@ def _roots(edges: DataFrame) -> DataFrame:
     hooks = written(both.groupBy("node").agg(F.min("root").alias("root")), "hooks")
     while True:
         ends = hooks.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        jumped = written(hooks.join(ends, "root").select("node", F.col("end").alias("root"), (F.col("root") != F.col("end")).alias("moved")), "hooks")
+        moved = (F.col("root") != F.col("end")).alias("moved")
+        jumped = written(hooks.join(ends, "root").select("node", F.col("end").alias("root"), moved), "hooks")
         hooks = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             return hooks
@@ -35,10 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         at_a = latest.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         at_b = latest.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = written(
-            edges.join(at_a, "a").join(at_b, "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(),
-            "edges",
-        )
+        contracted = edges.join(at_a, "a").join(at_b, "b").where("ra != rb")
+        edges = written(contracted.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return labels
         latest = _roots(edges)

@@ -177,7 +177,8 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     profiles = learn(docs.select("text", "lang"))
     texts = docs.select(F.col("text").cast("string").alias("text"), text_key().alias("__key"))
     judged = predict(texts, profiles)
-    rejected = judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < 1 - FARTHEST)).select("__key").distinct()
+    foreign = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < 1 - FARTHEST)
+    rejected = judged.where(foreign).select("__key").distinct()
     return docs.withColumn("__key", text_key()).join(rejected, "__key", "left_anti").select(*docs.columns)
 
 

@@ -280,7 +280,8 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             .join(covered, ["doc_id", "text_key"])
             .mapInArrow(
                 cut_out(window),
-                f"{id_columns}, spans array<struct<start int, end int>>, n_removed long, kept_sha256 string, kept_text string",
+                f"{id_columns}, spans array<struct<start int, end int>>, n_removed long, kept_sha256 string,"
+                " kept_text string",
             ),
             "removed",
         )

@@ -97,7 +97,8 @@ def subdivided(spark: SparkSession, rows: DataFrame, total: int, ranges: int) ->
 
     def filled(part: DataFrame, key: str, least: float) -> DataFrame:
         sums = part.groupBy(key).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > least)
-        return spark.createDataFrame(sums.select(key, parts.alias(f"{key}_parts")).collect(), f"`{key}` long, {key}_parts long")
+        named = sums.select(key, parts.alias(f"{key}_parts")).collect()
+        return spark.createDataFrame(named, f"`{key}` long, {key}_parts long")
 
     overfull = filled(rows, "range", OVERFULL * share)
     hot = filled(rows.join(F.broadcast(overfull), "range"), "key", share)

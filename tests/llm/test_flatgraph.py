@@ -60,6 +60,8 @@ def test_many_shards(spark, monkeypatch):
         for _ in range(int(rng.integers(1, 40))):
             rows.append((len(rows), (base + rng.uniform(0, 0.35) * rng.standard_normal(16)).tolist(), 1))
     rows += [(len(rows) + k, rows[5][1], 1) for k in range(30)]
+    # Shorter vectors of the same label: a place of their own, which is split too.
+    rows += [(len(rows) + k, rng.standard_normal(5).tolist(), 1) for k in range(300)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     wanted, got = brute(rows), result(flatgraph.near_duplicates(frame))
     found = sum(n for n, _, _ in got.values())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import id_remainder, ship_package, small_batches, table, text_key
+from ridetide.llm.common import id_remainder, ship_package, small_batches, table
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -127,27 +127,34 @@ class Ranker:
         return np.where(place < 0, self.size, np.abs(place - rank)).sum(axis=1) / (len(keys) * self.size)
 
 
-def predict(docs: DataFrame, profiles: Profiles, size: int = PROFILE) -> DataFrame:
-    """The rows (text and any others), with lang_pred and score in place of the text.
+def judged(texts: list[str | None], ranker: Ranker) -> tuple[list[str], list[float]]:
+    """Language and score of each text.
 
     The prediction is the language of the least distance, the first by name of equals. The score is one
     less the distance, from 0 (no n-gram in its profile) to 1 (all at their places). Null text, text without
     letters, and any text when there is no profile: ``und``, 0.
     """
+    languages, scores = [], []
+    for text in texts:
+        found = grams(text)
+        if len(found) and ranker.languages:
+            distances = ranker.distances(found)
+            best = int(distances.argmin())
+            languages.append(ranker.languages[best])
+            scores.append(float(1 - distances[best]))
+        else:
+            languages.append(UNKNOWN)
+            scores.append(0.0)
+    return languages, scores
+
+
+def predict(docs: DataFrame, profiles: Profiles, size: int = PROFILE) -> DataFrame:
+    """The rows (text and any others), with lang_pred and score (see ``judged``) in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, size)
         for batch in batches:
-            languages, scores = [], []
-            for text in batch["text"].to_pylist():
-                found = grams(text)
-                if len(found) and ranker.languages:
-                    distances = ranker.distances(found)
-                    best = int(distances.argmin())
-                    languages.append(ranker.languages[best])
-                    scores.append(float(1 - distances[best]))
-                else:
-                    languages.append(UNKNOWN)
-                    scores.append(0.0)
+            languages, scores = judged(batch["text"].to_pylist(), ranker)
             others = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
                 [*others.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
@@ -172,14 +179,19 @@ def identified(docs: DataFrame, modulus: int = 4, held_remainder: int = 2) -> Da
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def in_known_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told: rejected are ``und`` and what is far from every profile."""
-    profiles = learn(docs.select("text", "lang"))
-    texts = docs.select(F.col("text").cast("string").alias("text"), text_key().alias("__key"))
-    judged = predict(texts, profiles)
-    foreign = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < 1 - FARTHEST)
-    rejected = judged.where(foreign).select("__key").distinct()
-    return docs.withColumn("__key", text_key()).join(rejected, "__key", "left_anti").select(*docs.columns)
+def in_known_language(docs: DataFrame, size: int = PROFILE) -> DataFrame:
+    """The documents whose language can be told, in the columns given: rejected are ``und`` and what is
+    far from every profile."""
+    profiles = learn(docs.select("text", "lang"), size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranker = Ranker(profiles, size)
+        for batch in batches:
+            languages, scores = judged(batch["text"].to_pylist(), ranker)
+            known = [lang != UNKNOWN and score >= 1 - FARTHEST for lang, score in zip(languages, scores, strict=True)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,8 +201,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         F.col("doc_id").alias("__doc_id"),
         F.col("text_key").alias("__key"),
         F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("times"))).alias("__nth"),
-        "times",
-    ).where("times > 0")
+        F.col("times").alias("__times"),
+    ).where("__times > 0")
     own = Window.partitionBy("doc_id", "__text_key").orderBy(*(c for c in ("source",) if c in docs.columns))
     given = docs.withColumn("__text_key", text_key()).withColumn("__row", F.row_number().over(own))
     same = (
@@ -210,7 +210,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         & (given["__text_key"] == numbered["__key"])
         & (given["__row"] == numbered["__nth"])
     )
-    taken = given.join(numbered, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "times")))
+    taken = given.join(numbered, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times")))
     return taken.select(*docs.columns)
 
 

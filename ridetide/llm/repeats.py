@@ -323,11 +323,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     where there is one, is counted anew for cut texts.
     """
     _, cut = find(docs, window)
-    loss = cut.select("doc_id", F.col("text_key").alias("__key"), "kept_text", (F.col("kept_text") == "").alias("__gone"))
-    joined = docs.withColumn("__key", text_key()).join(loss, ["doc_id", "__key"], "left")
-    out = joined.where(~F.coalesce("__gone", F.lit(False))).withColumn("text", F.coalesce("kept_text", "text"))
+    loss = cut.select(
+        F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__cut_key"), F.col("kept_text").alias("__kept")
+    )
+    given = docs.withColumn("__key", text_key())
+    same = (given["doc_id"] == loss["__doc_id"]) & (given["__key"] == loss["__cut_key"])
+    joined = given.join(loss, same, "left")
+    left_over = F.coalesce(F.col("__kept") != "", F.lit(True))
+    out = joined.where(left_over).withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
-        count = F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars"))
+        count = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -68,6 +68,16 @@ def test_odd_rows(spark):
     twice = mixing.mix(docs.union(docs)).collect()
     assert len(twice) == 804
 
+    wide = docs.withColumns({"times": F.lit("t"), "text_key": F.lit(1), "taken": F.lit(2)})
+    out = mixing.mixed(wide)
+    assert out.columns == wide.columns
+    amount = Counter()
+    for r in rows:
+        if r["size"]:
+            amount[r["doc_id"]] += r["taken"] // r["size"]
+    assert Counter(r["doc_id"] for r in out.collect()) == +amount
+    assert sum(r["taken"] // max(1, r["size"]) for r in twice) == mixing.mixed(wide.union(wide)).count()
+
 
 def test_hot_source(spark):
     """One source of equal documents holds two thirds of all rows."""

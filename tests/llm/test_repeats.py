@@ -63,7 +63,9 @@ def test_repeated_rows_null_ids_and_empty(spark):
 def test_texts_and_spans(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     texts = {1: passage, 2: f"  one\ntwo {passage}\n\nthree  four\n", 3: passage, 4: "left\n alone "}
-    docs = spark.createDataFrame([(k, v, "en", 3) for k, v in texts.items()], "doc_id long, text string, lang string, n_chars long")
+    columns = "doc_id long, text string, lang string, n_chars long, kept_text string, spans int, text_key int"
+    docs = spark.createDataFrame([(k, v, "en", 3, "own", 1, 2) for k, v in texts.items()], columns)
+    assert without_repeats(docs).columns == docs.columns
     kept = {r["doc_id"]: r for r in without_repeats(docs).collect()}
     assert {k: r["text"] for k, r in kept.items()} == {1: passage, 2: "  one\ntwo three  four", 4: "left\n alone "}
     assert (kept[1]["n_chars"], kept[2]["n_chars"]) == (3, len("  one\ntwo three  four"))

@@ -62,21 +62,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str, chunk_rows: int = 500) -> DataFrame:
+def ranked(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    rank: str,
+    chunk_rows: int = 500,
+    few_groups: bool = False,
+) -> DataFrame:
     """Number the rows of each group from 0 without gaps, as column ``rank``.
 
     A group of any size is cut by a hash of ``order`` into chunks of about ``chunk_rows`` rows, so no
     task sorts a whole group. The numbering is fixed by the rows alone; rows that agree in ``order``
     are numbered among themselves in any order. ``df`` is read several times and must be stable;
-    the columns of ``group`` must not be null.
+    the columns of ``group`` must not be null. ``few_groups``: their number has a fixed bound, so
+    their sizes are broadcast.
     """
     group, order = list(group), list(order)
     # Written, so that the join reads two plain exchanges and a hot group is split among tasks.
     chunks = written(df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("__chunks")), "chunks")
+    # Dealt by chunk: else counts and windows would take over the join's partitions, which hold whole groups.
     cut = (
-        df.join(chunks, group)
+        df.join(F.broadcast(chunks) if few_groups else chunks, group)
         .withColumn("__chunk", F.pmod(F.xxhash64(F.lit(11), *order), F.col("__chunks")))
         .drop("__chunks")
+        .repartition(*group, "__chunk")
     )
     before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -86,10 +96,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str,
         .drop("__n")
     )
     within = Window.partitionBy(*group, "__chunk").orderBy(*order)
-    # Dealt by chunk: else the window would take over the join's partitions, which hold whole groups.
     return (
-        cut.repartition(*group, "__chunk")
-        .withColumn("__row", F.row_number().over(within) - 1)
+        cut.withColumn("__row", F.row_number().over(within) - 1)
         .join(starts, [*group, "__chunk"])
         .withColumn(rank, F.col("__row") + F.col("__start"))
         .drop("__row", "__start", "__chunk")

@@ -118,7 +118,8 @@ def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER) -> D
     cut = pieces(docs, size, tokenizer)
     counts = {row["length"]: row["count"] for row in cut.groupBy("length").count().collect()}
     plan = F.broadcast(slots(docs.sparkSession, cutting.plan(counts, size)))
-    numbered = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank")
+    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    numbered = ranked(cut, ["length"], order, "rank", few_groups=True)
     inside = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     placed = numbered.join(plan, "length").where(inside)
     nth = F.col("rank") - F.col("rank_from")

@@ -154,6 +154,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ["shard"],
         ["key", "doc_id"],
         "slot",
+        few_groups=True,
     )
     return numbered.select(
         "doc_id",

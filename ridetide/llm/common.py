@@ -8,12 +8,17 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import ridetide
 from ridetide.session import session_conf, shared_dir
 
+MAP_BITS = 25
+"""A bitmap of 4 MB says which documents are wanted again, whatever their number."""
+
 WORD = r"[^\x20\x09-\x0D]+"
 """What a word is: in Python, ``bytes.split()`` cuts at the same six characters."""
 
@@ -53,6 +58,41 @@ def ship_package(spark: SparkSession) -> None:
     context._ridetide_shipped = True
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64(F.lit(9), F.col("doc_id").cast("long")), F.lit(1 << MAP_BITS))
+
+
+def id_bitmap(rows: DataFrame) -> np.ndarray:
+    """A bitmap of the hashed doc_ids of the rows, of fixed size: what it lacks is not among them."""
+    words = (
+        rows.select(_place().alias("place"))
+        .select(F.shiftright("place", 5).alias("word"), F.expr("shiftleft(1L, cast(place & 31L as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    bitmap = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return bitmap
+
+
+def sifted(df: DataFrame, bitmap: np.ndarray, marked: bool) -> DataFrame:
+    """The rows whose doc_id is marked in the bitmap, or those whose is not, where they are scanned.
+
+    All of the ids of the bitmap are marked, and a few others: a join with the ids after it has only
+    these rows to shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch["__place"].to_numpy()
+            bits = bitmap[place >> 5] >> (place & 31).astype(np.uint32) & 1
+            yield batch.drop_columns(["__place"]).filter(pa.array((bits == 1) == marked))
+
+    ship_package(df.sparkSession)
+    return df.withColumn("__place", _place()).mapInArrow(run, df.schema)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While the block plans and runs queries, Python gets so many rows at a time: texts can be long.

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import small_batches, table, text_key, written
+from ridetide.llm.common import id_bitmap, sifted, small_batches, table, text_key, written
 
 WINDOW = 50
 PHRASE = 10
@@ -251,8 +251,11 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             .select("phrase"),
             "recurring",
         )
-        hits = phrases.join(recurring, "phrase").groupBy("doc_id", "text_key").agg(F.collect_set("phrase").alias("phrases"))
-        suspects = written(raw.join(hits, ["doc_id", "text_key"]), "suspects")
+        hits = written(
+            phrases.join(recurring, "phrase").groupBy("doc_id", "text_key").agg(F.collect_set("phrase").alias("phrases")),
+            "hits",
+        )
+        suspects = written(sifted(raw, id_bitmap(hits), True).join(hits, ["doc_id", "text_key"]), "suspects")
         located = written(
             suspects.mapInArrow(
                 locate(window, phrase), f"{id_columns}, starts array<int>, first array<long>, second array<long>"
@@ -326,7 +329,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     loss = cut.select(
         F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__cut_key"), F.col("kept_text").alias("__kept")
     )
-    given = docs.withColumn("__key", text_key())
+    bitmap = id_bitmap(cut)
+    given = sifted(docs, bitmap, True).withColumn("__key", text_key())
     same = (given["doc_id"] == loss["__doc_id"]) & (given["__key"] == loss["__cut_key"])
     joined = given.join(loss, same, "left")
     left_over = F.coalesce(F.col("__kept") != "", F.lit(True))
@@ -334,7 +338,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if "n_chars" in docs.columns:
         count = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return sifted(docs, bitmap, False).unionAll(out.select(*docs.columns))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 import ridetide
 from ridetide.session import session_conf, shared_dir
 
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 MAP_BITS = 25
 """A bitmap of 4 MB says which documents are wanted again, whatever their number."""
 
@@ -45,8 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a session: they need not have it installed."""
+    """Send this package's code to the executors, once a session: they need not have it installed.
+
+    From then on Python gets at most ``BATCH_ROWS`` rows at a time in this session: results that are
+    computed later, when a caller asks for them, hold whole texts too.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     if getattr(context, "_ridetide_shipped", False):
         return
     root = Path(ridetide.__file__).parent
@@ -94,11 +103,11 @@ def sifted(df: DataFrame, bitmap: np.ndarray, marked: bool) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """While the block plans and runs queries, Python gets so many rows at a time: texts can be long.
     The executors have this package's code from then on."""
     ship_package(spark)
-    with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
+    with session_conf(spark, {_BATCH_CONF: str(rows)}):
         yield
 
 

@@ -63,23 +63,46 @@ def robust_prune(similar: np.ndarray, degree: int = DEGREE, pool: int = POOL, al
     return out
 
 
+def spanning(similar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a tree of the greatest cosines. Whatever ``pool`` and ``degree`` leave out, nodes that are
+    joined by links are joined by links of the tree."""
+    n = len(similar)
+    value, parent, free = similar[0].copy(), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    value[0], free[0] = -np.inf, False
+    added = []
+    for _ in range(n - 1):
+        node = int(value.argmax())
+        added.append(node)
+        value[node], free[node] = -np.inf, False
+        better = free & (similar[node] > value)
+        value[better], parent[better] = similar[node][better], node
+    added = np.array(added, dtype=np.int64)
+    return added, parent[added]
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]
 
 
-def built(shard: pa.Table) -> pa.Table:
+def built(degree: int = DEGREE, pool: int = POOL):
     """One shard's graph: (node, neighbour, cosine)."""
-    shard = shard.sort_by("node")
-    nodes, vectors = shard["node"].to_numpy(), unit(matrix(shard["vector"]))
-    similar = (vectors @ vectors.T).astype(np.float32)
-    neighbours = robust_prune(similar)
-    row, column = np.nonzero(neighbours >= 0)
-    to = neighbours[row, column]
-    # Both directions: a greedy search must be able to come back.
-    a, b = np.r_[row, to], np.r_[to, row]
-    pairs = np.unique(a * len(nodes) + b)
-    a, b = pairs // len(nodes), pairs % len(nodes)
-    return pa.table({"node": nodes[a], "neighbour": nodes[b], "cosine": similar[a, b].astype(np.float64)})
+
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("node")
+        nodes, vectors = shard["node"].to_numpy(), unit(matrix(shard["vector"]))
+        similar = (vectors @ vectors.T).astype(np.float32)
+        neighbours = robust_prune(similar, degree, pool)
+        row, column = np.nonzero(neighbours >= 0)
+        # The nearest alone give no way out of a clump of more than the pool.
+        out, back = spanning(similar)
+        row, to = np.r_[row, out], np.r_[neighbours[row, column], back]
+        # Both directions: a greedy search must be able to come back.
+        a, b = np.r_[row, to], np.r_[to, row]
+        pairs = np.unique(a * len(nodes) + b)
+        a, b = pairs // len(nodes), pairs % len(nodes)
+        return pa.table({"node": nodes[a], "neighbour": nodes[b], "cosine": similar[a, b].astype(np.float64)})
+
+    return run
 
 
 class ShardGraph:
@@ -169,9 +192,13 @@ class ShardGraph:
 
 def linked(vectors: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """The exact check: cosine of the original vectors in double precision."""
-    x, y = vectors[a], vectors[b]
-    norms = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
-    return (x * y).sum(axis=1) / norms >= least
+    out = np.empty(len(a), dtype=bool)
+    for at in range(0, len(a), 50_000):
+        part = slice(at, at + 50_000)
+        x, y = vectors[a[part]], vectors[b[part]]
+        norms = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+        out[part] = (x * y).sum(axis=1) / norms >= least
+    return out
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -320,14 +347,16 @@ def split(members: DataFrame, overlap: int) -> DataFrame:
     return written(out.distinct(), "shards")
 
 
-def graph_links(classes: DataFrame, least: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame]:
+def graph_links(
+    classes: DataFrame, least: float, overlap: int, beam: int, degree: int = DEGREE, pool: int = POOL
+) -> tuple[DataFrame, DataFrame]:
     """(node, links) of every class, its own copies not counted, and edges (a, b) that join components."""
     shards = split(classes, overlap)
     placed = classes.join(shards, "node")
     edges = written(
         placed.select("shard", "node", "vector")
         .groupBy("shard")
-        .applyInArrow(built, "node long, neighbour long, cosine double")
+        .applyInArrow(built(degree, pool), "node long, neighbour long, cosine double")
         .groupBy("node", "neighbour")
         .agg(F.max("cosine").alias("cosine")),
         "adjacency",
@@ -386,17 +415,54 @@ def graph_links(classes: DataFrame, least: float, overlap: int, beam: int) -> tu
     return written(counts.groupBy("node").agg(F.sum("links").alias("links")), "links"), hooks
 
 
+def exact_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """What ``graph_links`` returns, by comparing all classes of a place, block by block."""
+    count = F.ceil(F.count(F.lit(1)) * F.lit(2) / F.lit(SHARD)).cast("long").alias("blocks")
+    cells = (
+        classes.join(classes.groupBy("place").agg(count), "place")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(43), "node"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("high", F.greatest("own", "other"))
+        .select("place", "low", "high", "own", "node", "copies", "vector")
+    )
+
+    def compared(cell: pa.Table) -> pa.Table:
+        nodes, copies, plain = cell["node"].to_numpy(), cell["copies"].to_numpy(), matrix(cell["vector"])
+        own, low, high = cell["own"].to_numpy(), cell["low"][0].as_py(), cell["high"][0].as_py()
+        rows, columns, directions = np.flatnonzero(own == low), np.flatnonzero(own == high), unit(plain)
+        pairs = [np.empty((2, 0), np.int64)]
+        for at in range(0, len(rows), 500):
+            part = rows[at : at + 500]
+            x, y = np.nonzero(directions[part] @ directions[columns].T >= least - 1e-6)
+            a, b = part[x], columns[y]
+            if low == high:
+                a, b = a[a < b], b[a < b]
+            true = linked(plain, a, b, least)
+            pairs.append(np.stack([a[true], b[true]]))
+        a, b = np.concatenate(pairs, axis=1)
+        links = np.zeros(len(nodes), dtype=np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        return pa.table({"node": nodes, "other": nodes[local_roots(len(nodes), a, b)], "links": links})
+
+    found = written(
+        cells.groupBy("place", "low", "high").applyInArrow(compared, "node long, other long, links long"), "compared"
+    )
+    hooks = found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    return written(found.groupBy("node").agg(F.sum("links").alias("links")), "links"), hooks
+
+
 def audited(classes: DataFrame, links: DataFrame, least: float, sample: int = AUDIT) -> float:
-    """Found links of a sample of classes against all there are, by comparing it with every class."""
-    chosen = (
-        classes.select("node", "place", "vector", F.xxhash64(F.lit(41), "node").alias("draw"))
-        .orderBy("draw")
-        .limit(sample)
-        .drop("draw")
-        .toArrow()
+    """Found links against all there are, by comparing samples with every class: the lesser share of a
+    sample of all classes and of a sample of those with links, which may be few among all."""
+    drawn = classes.join(links, "node", "left").select(
+        "node", "place", "vector", F.coalesce("links", F.lit(0)).alias("found"), F.xxhash64(F.lit(41), "node").alias("draw")
     )
-    nodes, places = chosen["node"].to_pylist(), chosen["place"].to_numpy()
-    vectors = [np.array(v) for v in chosen["vector"].to_pylist()]
+    samples = [rows.orderBy("draw").limit(sample).toArrow() for rows in (drawn, drawn.where("found > 0"))]
+    chosen = {row["node"]: row for rows in samples for row in rows.to_pylist()}
+    nodes, places = list(chosen), np.array([row["place"] for row in chosen.values()])
+    vectors = [np.array(row["vector"]) for row in chosen.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(nodes), dtype=np.int64)
@@ -406,17 +472,22 @@ def audited(classes: DataFrame, links: DataFrame, least: float, sample: int = AU
             for place in set(places.tolist()):
                 rows = np.flatnonzero(own_places == place)
                 if len(rows):
-                    block = np.array([own[r] for r in rows])
-                    here, there = np.arange(len(rows)), np.full(len(rows), len(rows))
-                    for q in np.flatnonzero(places == place):
-                        near = linked(np.vstack([block, vectors[q]]), here, there, least)
-                        total[q] += copies[rows[near & (ids[rows] != nodes[q])]].sum()
+                    asked = np.flatnonzero(places == place)
+                    block, queries = np.array([own[r] for r in rows]), np.array([vectors[q] for q in asked])
+                    x, q = np.nonzero(unit(block) @ unit(queries).T >= least - 1e-6)
+                    true = linked(np.vstack([block, queries]), x, len(block) + q, least)
+                    x, q = rows[x[true]], asked[q[true]]
+                    other = ids[x] != np.array(nodes, dtype=np.int64)[q]
+                    np.add.at(total, q[other], copies[x[other]])
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(total)], names=["node", "true_links"])
 
     partial = classes.mapInArrow(run, "node long, true_links long")
-    truth = partial.groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    found, there = truth.join(links, "node", "left").agg(F.sum("links"), F.sum("true_links")).first()
-    return (found or 0) / there if there else 1.0
+    truth = {row["node"]: row["n"] for row in partial.groupBy("node").agg(F.sum("true_links").alias("n")).collect()}
+    shares = []
+    for rows in samples:
+        there = sum(truth[node] for node in rows["node"].to_pylist())
+        shares.append(sum(rows["found"].to_pylist()) / there if there else 1.0)
+    return min(shares)
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
@@ -427,10 +498,11 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     class that is searched once; its copies count in n_links.
 
     Each label is split into overlapping cluster shards; a robust-pruned graph is built in every shard, the
-    adjacency lists are united, and each class searches the united graph from its shards' medoids. Edges
-    that leave a shard are followed in joins until no link is new. All links are checked in double
-    precision. A sample is audited against all vectors; below ``RECALL`` the graph is built again with more
-    overlap and a wider beam.
+    adjacency lists, with a spanning tree of each shard, are united, and each class searches the united
+    graph from its shards' medoids and itself. Edges that leave a shard are followed in joins until no link
+    is new. All links are checked in double precision. Samples are audited against all vectors; below
+    ``RECALL`` the graph is built again with more overlap, a wider beam and more edges, and after
+    ``ATTEMPTS`` all vectors of a label are compared, block by block.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, rows with a null label or
     null vec_id: no links and their own component (null and kept for a null vec_id). Vectors of different
@@ -459,12 +531,14 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
             ),
             "vector_classes",
         )
-        overlap, beam = OVERLAP, BEAM
-        for _ in range(ATTEMPTS):
-            links, hooks = graph_links(classes.select("node", "place", "vector", "copies"), least, overlap, beam)
+        members = classes.select("node", "place", "vector", "copies")
+        for k in range(ATTEMPTS):
+            wider = 2**k
+            links, hooks = graph_links(members, least, OVERLAP + 2 * k, BEAM * wider, DEGREE * wider, POOL * wider)
             if audited(classes, links, least) >= RECALL:
                 break
-            overlap, beam = overlap + 2, beam * 2
+        else:
+            links, hooks = exact_links(members, least)
         roots = classes.join(components(hooks), "node", "left").withColumn("root", F.coalesce("root", "node"))
         smallest = written(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
         known = written(

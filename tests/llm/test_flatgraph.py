@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,48 @@ def test_prune_and_search_on_a_line():
     queries, nodes, cosines = graph.range_search(0.93, 8)
     wanted = (vectors @ vectors.T >= 0.93).sum()
     assert len(queries) == pytest.approx(wanted, rel=0.001) and cosines.min() >= 0.93 - 1e-9
+
+
+def three_clumps():
+    """Tighter inside than between, all of them linked; the medoid is in one of them."""
+    rng = np.random.default_rng(8)
+    turn = 2 * np.pi * np.arange(3) / 3
+    middles = np.zeros((3, 64))
+    middles[:, 0], middles[:, 1], middles[:, 2] = 1, 0.15 * np.cos(turn), 0.15 * np.sin(turn)
+    noise = np.pad(rng.standard_normal((450, 61)), ((0, 0), (3, 0)))
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    return np.repeat(middles, 150, axis=0) + 0.1 * noise
+
+
+def test_graph_leaves_dense_clumps():
+    vectors = three_clumps()
+    edges = flatgraph.built()(pa.table({"node": np.arange(450), "vector": vectors.tolist()}))
+    graph = flatgraph.ShardGraph(vectors, edges["node"].to_numpy(), edges["neighbour"].to_numpy())
+    queries, _, cosines = graph.range_search(0.93)
+    assert len(queries) == 450 * 450 and cosines.min() >= 0.93
+
+
+def test_dense_clumps_and_exact_comparison(spark, monkeypatch):
+    vectors = three_clumps().tolist()
+    rng = np.random.default_rng(9)
+    rows = [(i, v, 1) for i, v in enumerate(vectors)] + [(500 + i, v, 1) for i, v in enumerate(vectors[:5])]
+    rows += [(600 + i, rng.standard_normal(64).tolist(), 1 + i % 2) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    wanted = brute(rows)
+    assert result(flatgraph.near_duplicates(frame)) == wanted
+    # Where no graph is good enough, everything is compared.
+    monkeypatch.setattr(flatgraph, "SHARD", 120)
+    monkeypatch.setattr(flatgraph, "ATTEMPTS", 1)
+    monkeypatch.setattr(flatgraph, "RECALL", 2.0)
+    monkeypatch.setattr(flatgraph, "graph_links", lambda classes, *_: (classes.selectExpr("node", "0L AS links"), None))
+    assert result(flatgraph.near_duplicates(frame)) == wanted
+
+
+def test_audit_looks_at_classes_with_links(spark):
+    """One linked pair of three among many classes without links."""
+    rng = np.random.default_rng(10)
+    vectors = [*rng.standard_normal((3000, 16)), *(np.ones(16) + 0.01 * rng.standard_normal((3, 16)))]
+    rows = [(i, 1, v.tolist(), 1) for i, v in enumerate(vectors)]
+    classes = spark.createDataFrame(rows, "node long, place long, vector array<double>, copies long")
+    links = spark.createDataFrame([(3000, 1), (3001, 1)], "node long, links long")
+    assert flatgraph.audited(classes, links, 0.93, 20) == 0.5

@@ -14,7 +14,11 @@ SHARE = 1.5
 MOST_TIMES = 2
 SEED = 20
 DP_WORDS = 50_000
-"""The dynamic program fits budgets up to so many words exactly; what exceeds that is taken longest first."""
+"""The first pass leaves so many words to the dynamic program."""
+TABLE_BITS = 1 << 30
+"""Where the first pass misses, all documents are open to a table of so many bits, or, for few documents of
+any length, to lists of so many sums:"""
+MOST_SUMS = 1 << 23
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -78,8 +82,10 @@ def fit(budget: int, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
     Every size first gives the share of its documents that the budget is of all words, so that the choice
     has the source's mix of lengths. Then sizes in seeded order give one more document each until
-    ``DP_WORDS`` are left, and ``reach`` fits these. Where that misses a budget of at most ``DP_WORDS``,
-    all documents are open to the dynamic program, which finds the nearest sum there is.
+    ``DP_WORDS`` are left, and ``reach`` fits these. Where that misses, all documents are open to the
+    dynamic program, which finds the nearest sum there is, as a table of bits or as a list of sums. Only
+    where both are too large, which takes both many documents and long ones, it gets the documents back
+    that were taken last, as many as the table allows.
     """
     words = int(sizes @ counts)
     if budget <= 0 or not words:
@@ -96,9 +102,56 @@ def fit(budget: int, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if take[i] < counts[i] and sizes[i] <= left:
             take[i] += 1
             left -= int(sizes[i])
-    take += reach(left, sizes, counts - take, order)
-    if take @ sizes != budget and budget <= DP_WORDS:
-        take = reach(budget, sizes, counts, order)
+    items = sum(min(int(counts[i]), 2 * budget // int(sizes[i])).bit_length() for i in order)
+    room = max(DP_WORDS, TABLE_BITS // (2 * max(items, 1)))
+    first, off = take, lambda amounts: abs(int(amounts @ sizes) - budget)
+    if left <= room:  # documents longer than the table are left to the list
+        take = first + reach(left, sizes, counts - first, order)
+    step = int(np.gcd.reduce(sizes[order]))
+    if off(take) == min(budget % step, -budget % step):  # every sum is a multiple of the step
+        return take
+    if budget <= room:
+        return reach(budget, sizes, counts, order)
+    nearest = listed_reach(budget, sizes, counts, order)
+    return nearest if nearest is not None else min(take, reopened(budget, sizes, counts, first, order, room), key=off)
+
+
+def reopened(
+    budget: int, sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, order: np.ndarray, room: int
+) -> np.ndarray:
+    """``take`` with its last documents given back, up to ``room`` words, and these words fitted anew."""
+    kept, left = take.copy(), budget - int(take @ sizes)
+    for i in order[::-1]:
+        back = min(int(kept[i]), max(0, room - left) // int(sizes[i]))
+        kept[i] -= back
+        left += back * int(sizes[i])
+    if left > room:
+        return take
+    return kept + reach(left, sizes, counts - kept, order)
+
+
+def listed_reach(budget: int, sizes: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray | None:
+    """``reach`` over lists of the sums, whose length depends on the documents only; None above ``MOST_SUMS``."""
+    sums, steps, held = np.zeros(1, dtype=np.int64), [], 1
+    has = lambda values, value: values[min(int(np.searchsorted(values, value)), len(values) - 1)] == value
+    for i in order:
+        size, times = int(sizes[i]), 1
+        spare = min(int(counts[i]), 2 * budget // size)
+        while spare > 0 and not has(sums, budget):
+            times = min(times, spare)
+            steps.append((i, times, sums))
+            more = sums + size * times
+            sums = np.union1d(sums, more[more <= 2 * budget])
+            held += len(sums)
+            if held > MOST_SUMS:
+                return None
+            spare -= times
+            times *= 2
+    take, reached = np.zeros(len(sizes), dtype=np.int64), int(sums[np.abs(sums - budget).argmin()])
+    for i, times, before in reversed(steps):
+        if not has(before, reached):
+            take[i] += times
+            reached -= times * int(sizes[i])
     return take
 
 

@@ -101,3 +101,34 @@ def test_fit_is_nearest(seed):
         assert (take >= 0).all() and (take <= counts).all()
         reached = int(take @ sizes)
         assert abs(reached - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_few_long_documents_are_fitted():
+    sizes, counts = np.array([60_000, 70_000, 100_000]), np.ones(3, dtype=np.int64)
+    assert mixing.fit(160_000, sizes, counts).tolist() == [1, 0, 1]
+
+
+@pytest.mark.parametrize("scale", [40_000, 30_000_000_000])
+def test_fit_is_nearest_at_any_length(scale):
+    """By the table and by the list of sums, against every choice."""
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        sizes = np.sort(rng.choice(np.arange(1, 60 * scale, 7), 6, replace=False) if scale < 1e6 else rng.integers(1, 60 * scale, 6))
+        counts = rng.integers(1, 4, 6)
+        sums = {int(np.dot(pick, sizes)) for pick in itertools.product(*(range(c + 1) for c in counts))}
+        budget = int(rng.integers(1, int(sizes @ counts)))
+        take = mixing.fit(budget, sizes, counts)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs(int(take @ sizes) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_gives_documents_back(monkeypatch):
+    """Where neither the table nor the list can be held whole."""
+    monkeypatch.setattr(mixing, "TABLE_BITS", 1 << 28)
+    monkeypatch.setattr(mixing, "MOST_SUMS", 1 << 10)
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.choice(np.arange(51_000, 90_000), 60, replace=False))
+    counts = rng.integers(1, 4, 60)
+    for budget in rng.integers(3_000_000, int(sizes @ counts) - 500_000, 5):
+        take = mixing.fit(int(budget), sizes, counts)
+        assert (take >= 0).all() and (take <= counts).all() and take @ sizes == budget

@@ -74,9 +74,21 @@ scored AS (SELECT q.id AS query_id, v.id AS vec_id, {_dot("v.v", "q.v")} AS scor
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored) WHERE n <= 20"""
 
+_LINE_KEY = f"""translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  '{string.ascii_uppercase}', '{string.ascii_lowercase}')"""
+_LINES = f"""WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+keys AS (SELECT *, {_LINE_KEY} AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS last FROM keys WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT keys.*, repeated.last IS NOT NULL AND doc_id < repeated.last AS gone FROM keys LEFT JOIN repeated USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash_near_dedup": _NEAR,
     "op3_embedding_near_dedup": _LINKS,
     "op8_substring_dedup": _REPEATS,
     "op10_onebit_ann": _NEAREST,
+    "op13_line_dedup": _LINES,
 }

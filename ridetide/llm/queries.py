@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridetide.llm import classlm, flatgraph, language, minhash, mixing, onebit, packing, quality, repeats, sharding
+from ridetide.llm import (
+    classlm,
+    flatgraph,
+    language,
+    linededup,
+    minhash,
+    mixing,
+    onebit,
+    packing,
+    quality,
+    repeats,
+    sharding,
+)
 from ridetide.llm.oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": repeats.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_onebit_ann": onebit.op10_onebit_ann,
+    "op13_line_dedup": linededup.op13_line_dedup,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -85,10 +85,44 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
+# crc32, a byte at a time: its table of 256 entries comes from its polynomial, 0xEDB88320.
+_CRC_TABLE = """SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], range(0, 8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps"""
+
+
+def _crc32(text: str) -> str:
+    """Of the UTF-8 bytes; ``steps`` is the table."""
+    codes = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2] AS BIGINT))"
+    return f"""xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}),
+  lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+# levenshtein counts bytes here: letters beyond ASCII are written as characters that no word holds.
+_SINGLE_BYTES = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'{}")[:64]
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_VARIANTS = f"""WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+marked AS (SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM counted, crc),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM marked),
+vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_LATIN}', '{_SINGLE_BYTES}') AS plain
+  FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM vocabulary a JOIN vocabulary b
+  ON length(b.plain) BETWEEN length(a.plain) - 1 AND length(a.plain) + 1 AND a.plain <> b.plain AND levenshtein(a.plain, b.plain) = 1),
+best AS (SELECT word, CAST(count(*) AS BIGINT) AS n_near, arg_min(struct_pack(other := other, other_n := other_n), (-other_n, encode(other))) AS top
+  FROM near GROUP BY word),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.other_n >= 10 * v.n THEN top.other END AS form,
+  CASE WHEN top.other_n >= 10 * v.n THEN top.other_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+path(word, root) AS (SELECT word, word FROM formed
+  UNION ALL SELECT path.word, formed.form FROM path JOIN formed ON formed.word = path.root WHERE formed.form IS NOT NULL)
+SELECT f.word, f.form, path.root, f.n, f.n_near, f.form_n FROM formed f JOIN path USING (word)
+WHERE path.root IN (SELECT word FROM formed WHERE form IS NULL)"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash_near_dedup": _NEAR,
     "op3_embedding_near_dedup": _LINKS,
     "op8_substring_dedup": _REPEATS,
     "op10_onebit_ann": _NEAREST,
+    "op12_spelling_variants": _VARIANTS,
     "op13_line_dedup": _LINES,
 }

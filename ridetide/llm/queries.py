@@ -18,6 +18,7 @@ from ridetide.llm import (
     quality,
     repeats,
     sharding,
+    spelling,
 )
 from ridetide.llm.oracle import ORACLE
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": repeats.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_onebit_ann": onebit.op10_onebit_ann,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_line_dedup": linededup.op13_line_dedup,
 }
 

@@ -118,11 +118,55 @@ path(word, root) AS (SELECT word, word FROM formed
 SELECT f.word, f.form, path.root, f.n, f.n_near, f.form_n FROM formed f JOIN path USING (word)
 WHERE path.root IN (SELECT word FROM formed WHERE form IS NULL)"""
 
+# Insertions before a row lead from ``before`` to ``here``; ``put`` is what they add to the repaired text.
+_INSERTIONS = """(VALUES (0, 0, 0, ''), (0, 1, 2, '|user:'), (0, 2, 3, '|user:|assistant:'), (1, 0, 1, ''), (1, 1, 2, '|user:'),
+  (1, 2, 3, '|user:|assistant:'), (2, 0, 2, ''), (2, 1, 3, '|assistant:'), (2, 2, 2, '|assistant:|user:'), (3, 0, 3, ''),
+  (3, 1, 2, '|user:'), (3, 2, 3, '|user:|assistant:')) AS t(before, inserted, here, put)"""
+_BARE = "trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_REPAIRS = f"""WITH RECURSIVE crc AS ({_CRC_TABLE}),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS c FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+  CASE c WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN c = 3 THEN [1, 2] ELSE [1] END) AS copy FROM given WHERE c <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  {_BARE.format("text")} AS bare FROM damaged),
+faulty AS (SELECT conv_id, turn, role, text, i, role[1] AS initial, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate'
+  WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS initial_before FROM numbered),
+facts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+  count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) AS length,
+  count(*) FILTER (WHERE initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+ways AS (SELECT before, here, put, repeat('I', inserted) || edit AS word, edit,
+  3 * inserted + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END AS cost
+  FROM {_INSERTIONS}, (VALUES ('D'), ('R'), ('K')) AS e(edit)),
+moves AS (SELECT f.conv_id, f.i, w.before, w.word, w.cost + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END AS cost,
+  CASE WHEN edit = 'D' THEN here WHEN edit = 'R' THEN CASE here WHEN 2 THEN 3 ELSE 2 END WHEN initial = 's' THEN 1 WHEN initial = 'u' THEN 2 ELSE 3 END AS after,
+  replace(put, '|', chr(10)) || CASE edit WHEN 'K' THEN chr(10) || role || ':' || text
+    WHEN 'R' THEN chr(10) || CASE here WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || text ELSE '' END AS put
+  FROM faulty f, ways w WHERE edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (edit = 'R'
+    OR (initial = 's' AND here = 0) OR (initial = 'u' AND here <> 2) OR (initial = 'a' AND here = 2)))),
+path AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS out FROM facts
+  UNION ALL SELECT p.conv_id, p.i + 1, m.after, CAST(min(p.cost + m.cost) AS BIGINT), arg_min(p.audit || m.word, (p.cost + m.cost, p.audit || m.word)),
+    arg_min(p.out || m.put, (p.cost + m.cost, p.audit || m.word))
+  FROM path p JOIN moves m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1 AND m.before = p.state GROUP BY 1, 2, 3),
+ended AS (SELECT p.conv_id, p.cost + e.cost AS cost, audit || word AS audit, out || replace(put, '|', chr(10)) AS out
+  FROM path p JOIN facts ON facts.conv_id IS NOT DISTINCT FROM p.conv_id AND facts.length = p.i
+  JOIN (VALUES (0, 0, '', ''), (1, 6, 'II', '|user:|assistant:'), (2, 3, 'I', '|assistant:'), (3, 0, '', '')) AS e(state, cost, word, put) USING (state)),
+best AS (SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(out, (cost, audit)) AS out FROM ended GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(out[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash_near_dedup": _NEAR,
     "op3_embedding_near_dedup": _LINKS,
     "op8_substring_dedup": _REPEATS,
     "op10_onebit_ann": _NEAREST,
+    "op11_conversation_repair": _REPAIRS,
     "op12_spelling_variants": _VARIANTS,
     "op13_line_dedup": _LINES,
 }

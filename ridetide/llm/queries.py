@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridetide.llm import (
     classlm,
+    conversations,
     flatgraph,
     language,
     linededup,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": repeats.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_onebit_ann": onebit.op10_onebit_ann,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_line_dedup": linededup.op13_line_dedup,
 }

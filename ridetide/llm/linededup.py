@@ -164,7 +164,7 @@ def _judged(docs: DataFrame, batches: int, fan: int) -> DataFrame:
     text = F.array_join(F.transform(stays, lambda place: F.get("lines", place)), "\n")
     cut = (
         marked.where("marked")
-        .join(lost, ["doc_id", "text_key"], "left")
+        .join(lost.hint("merge"), ["doc_id", "text_key"], "left")
         .select(
             "given",
             "doc_id",

@@ -13,7 +13,7 @@ from ridetide.schemas import ZONE_PRICE_SNAPSHOT, ZONE_WINDOW_METRICS, column_na
 HISTORY_COLUMNS = column_names(ZONE_WINDOW_METRICS)
 SNAPSHOT_COLUMNS = column_names(ZONE_PRICE_SNAPSHOT)
 
-_SEQ_DIGITS, _BATCH_DIGITS, _TIE_DIGITS = 13, 9, 13
+_SEQ_DIGITS, _BATCH_DIGITS = 19, 9
 
 
 def last_by(rows: DataFrame, keys: tuple[str, ...], order: Column | str) -> DataFrame:
@@ -51,23 +51,29 @@ def _then(order: Column, digits: int, tie: Column) -> Column:
 
 
 def arrival() -> Column:
-    """Run, micro-batch and position of a log row as one number of 25 digits."""
+    """Run, micro-batch and position of a log row as one number of 38 digits, of them ten for the run.
+
+    No two versions of a window agree in it: a micro-batch holds a window once, unless its rows come from
+    several records, which have positions of their own.
+    """
     in_run = _then(F.col("run"), _BATCH_DIGITS, F.col("batch_id"))
-    return _then(in_run, _SEQ_DIGITS, F.col("seq")).cast("decimal(25,0)")
+    return _then(in_run, _SEQ_DIGITS, F.col("seq"))
 
 
 def last_versions(log: DataFrame) -> DataFrame:
     """Last version of each (zone, window_start), by arrival, in the columns of the log."""
-    events = F.col("demand") + F.col("supply")
-    return last_by(log, ("zone_id", "window_start"), _then(arrival(), _TIE_DIGITS, events)).select(*log.columns)
+    return last_by(log, ("zone_id", "window_start"), arrival()).select(*log.columns)
 
 
 def last_of_zones(versions: DataFrame, by_event_time: bool = False) -> DataFrame:
     """Of rows with one version per zone and window: the last arrival of each zone, the newest
     window among equal arrivals; or the newest window."""
     window = F.unix_millis("window_start")
-    order = window if by_event_time else _then(arrival(), _TIE_DIGITS, window)
-    return last_by(versions, ("zone_id",), order).select(*versions.columns)
+    if by_event_time:
+        return last_by(versions, ("zone_id",), window).select(*versions.columns)
+    # The newest window of each arrival, then the last arrival: both are hash aggregates.
+    of_arrival = last_by(versions.withColumn("__arrival", arrival()), ("zone_id", "__arrival"), window)
+    return last_by(of_arrival, ("zone_id",), "__arrival").select(*versions.columns)
 
 
 def history_of_log(log: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@ returns the resulting table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ridetide.operators.latest import last_by, snapshot_of_history
 from ridetide.operators.normalize import HEARTBEAT, RIDE, decode_price_updates, quarantine, to_table_types
@@ -12,7 +15,6 @@ from ridetide.operators.pricing import quotes
 from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
 from ridetide.plans import inputs
-from ridetide.schemas import NORMALIZED_EVENT
 from ridetide.session import shared_dir
 from ridetide.sources.streams import Files, publish, raw_batch, raw_stream
 from ridetide.streaming import job
@@ -42,17 +44,16 @@ def published_updates(
     return _last_updates(spark, sink)
 
 
-def _store(spark: SparkSession, log: UpdateLog, events: tuple[DataFrame, DataFrame], checkpoint: str) -> None:
+def _store(log: UpdateLog, events: tuple[DataFrame, DataFrame], checkpoint: str, run: int) -> None:
     stream = job.price_stream(*events, PARAMS)
-    run = log.claim_run(checkpoint)
     writer = store_updates(stream.updates, log, stream.output_mode, inputs.AS_OF_MS, run)
-    job.start(spark, writer, checkpoint).awaitTermination()
+    job.start(events[0].sparkSession, writer, checkpoint).awaitTermination()
 
 
 def _stored_log(spark: SparkSession, sf_dir: str) -> UpdateLog:
     folder = shared_dir(spark, "tables")
     log = UpdateLog(spark, f"{folder}/updates")
-    _store(spark, log, inputs.event_streams(spark, sf_dir), f"{folder}/checkpoint")
+    _store(log, inputs.event_streams(spark, sf_dir), f"{folder}/checkpoint", 1)
     return log
 
 
@@ -64,17 +65,15 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def log_of_two_checkpoints(spark: SparkSession, sf_dir: str, late_first: bool = False) -> UpdateLog:
-    """Both halves of the events in one log, each under a checkpoint of its own, folded in between.
+    """Both halves of the events in one log, each under a checkpoint and in a run of its own.
 
     With ``late_first`` the newer half comes first, so that updates of older windows arrive last.
     """
     folder = shared_dir(spark, "checkpoints")
     log = UpdateLog(spark, f"{folder}/updates")
-    first, second = reversed(_halves(spark, sf_dir)) if late_first else _halves(spark, sf_dir)
-    _store(spark, log, first, f"{folder}/first")
-    log.compact()
-    log.expire()
-    _store(spark, log, second, f"{folder}/second")
+    halves = _halves(spark, sf_dir)
+    for run, events in enumerate(reversed(halves) if late_first else halves):
+        _store(log, events, f"{folder}/checkpoint-{run}", run)
     return log
 
 
@@ -101,8 +100,7 @@ def _consumed(spark: SparkSession, sf_dir: str) -> tuple[UpdateLog, str]:
     log, feeds = UpdateLog(spark, f"{folder}/updates"), f"{folder}/feeds"
     raw = raw_stream(spark, Files(published.path))
     subscribed = inputs.subscriptions(spark, sf_dir)
-    run = log.claim_run(f"{folder}/tables/checkpoint")
-    _run(spark, consume(raw, log, inputs.AS_OF_MS, feeds, subscribed, run), f"{folder}/tables")
+    _run(spark, consume(raw, log, inputs.AS_OF_MS, feeds, subscribed), f"{folder}/tables")
     return log, feeds
 
 
@@ -111,10 +109,9 @@ def consumed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consumed_history_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``consumed_history``, read from the folded generation."""
+    """As ``consumed_history``, rewritten as a table partitioned by day."""
     log, _ = _consumed(spark, sf_dir)
-    log.compact()
-    return log.history()
+    return log.rewrite(shared_dir(spark, "history")).drop("day")
 
 
 def consumed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,20 +125,46 @@ SEQUENCE_PARAMS = PricingParams(
 )
 
 
+def play(
+    spark: SparkSession,
+    folder: str,
+    sliced: dict[str, DataFrame],
+    writer_of: Callable[..., DataStreamWriter],
+) -> StreamingQuery:
+    """Streams whose micro-batches are the slices of tables (column ``slice``), in order; the last query.
+
+    The tables are dealt to a folder per slice in one parallel job each. Then slice after slice is added
+    to the folders of the streams, and the query goes on from its checkpoint until it has read it: one
+    micro-batch, however many files it has. Only after the last slice it runs on without data.
+    """
+    for name, rows in sliced.items():
+        rows.write.partitionBy("slice").parquet(f"{folder}/sliced-{name}")
+    kinds = {name: rows.drop("slice").schema for name, rows in sliced.items()}
+    for number in range(inputs.SLICES):
+        for name, rows in sliced.items():
+            staged = spark.read.schema(rows.schema).parquet(f"{folder}/sliced-{name}")
+            staged.where(F.col("slice") == number).drop("slice").write.mode("append").parquet(f"{folder}/{name}")
+        streams = [spark.readStream.schema(kind).parquet(f"{folder}/{name}") for name, kind in kinds.items()]
+        last = str(number == inputs.SLICES - 1).lower()
+        settings = {"spark.sql.streaming.noDataMicroBatches.enabled": last}
+        query = job.start(spark, writer_of(*streams), f"{folder}/checkpoint", settings=settings)
+        query.awaitTermination()
+    return query
+
+
 def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int = 0) -> DataFrame:
     """Every update that a job emits over slices of the events, one per micro-batch, with the number of
-    the micro-batch. Slices are written one after the other, since a file stream goes by file time."""
+    the micro-batch."""
     folder = shared_dir(spark, f"sequence-{mode}")
-    sliced = inputs.sliced_events(spark, sf_dir, rides_lag)
-    kinds = (RIDE, HEARTBEAT)
-    for number in range(inputs.SLICES):
-        for kind in kinds:
-            rows = sliced.filter((F.col("slice") == number) & (F.col("kind") == kind)).drop("slice")
-            rows.coalesce(1).write.mode("append").parquet(f"{folder}/{kind}")
-    reader = spark.readStream.schema(NORMALIZED_EVENT).option("maxFilesPerTrigger", 1)
-    stream = job.price_stream(*[reader.parquet(f"{folder}/{k}") for k in kinds], SEQUENCE_PARAMS, mode, idle_policy)
+    events = inputs.sliced_events(spark, sf_dir, rides_lag)
+    sliced = {kind: events.where(F.col("kind") == kind) for kind in (RIDE, HEARTBEAT)}
     sink = Files(f"{folder}/price-updates")
-    _run(spark, publish(stream.updates, sink, stream.output_mode), folder)
+
+    def writer(rides: DataFrame, beats: DataFrame) -> DataStreamWriter:
+        stream = job.price_stream(rides, beats, SEQUENCE_PARAMS, mode, idle_policy)
+        return publish(stream.updates, sink, stream.output_mode, run=0)
+
+    play(spark, folder, sliced, writer)
     return decode_price_updates(raw_batch(spark, sink), carry=("seq",)).withColumnRenamed("seq", "batch")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -53,21 +55,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"ridetide-{name}-")
 
 
-def hadoop_path(spark: SparkSession, path: str) -> tuple:
-    """(path, file system) of the cluster's storage."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+_runs = itertools.count()
 
 
-def found_paths(spark: SparkSession, pattern: str) -> list:
-    path, files = hadoop_path(spark, pattern)
-    return [status.getPath() for status in files.globStatus(path) or []]
+def new_run() -> int:
+    """A run number greater than all that were taken before: the second of now, and never twice in a process."""
+    global _runs
+    run = max(int(time.time()), next(_runs))
+    _runs = itertools.count(run + 1)
+    return run
+
+
+def batch_folder(rows: DataFrame, run: int, batch_id: int) -> str:
+    """Where a streaming query stores a micro-batch: below its run and its own id, which is that of its
+    checkpoint. So no query finds the folder of another one complete, whatever its run."""
+    query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    return f"run={run}/query={query}/batch_id={batch_id}"
 
 
 def is_complete(spark: SparkSession, folder: str) -> bool:
     """True when a write to the folder has been committed."""
-    path, files = hadoop_path(spark, f"{folder}/_SUCCESS")
-    return files.exists(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def write_once(rows: DataFrame, folder: str, write: Callable[[DataFrameWriter, str], None]) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ridetide.functions.instants import instant
 from ridetide.operators.feeds import all_zones_feed, zone_feed
 from ridetide.operators.normalize import decode_price_updates, to_table_types
-from ridetide.session import write_once
+from ridetide.session import batch_folder, new_run, write_once
 from ridetide.streaming.store import UpdateLog
 
 
@@ -19,12 +19,13 @@ def log_rows(updates: DataFrame, as_of_ms: int | None = None) -> DataFrame:
 
 
 def store_updates(
-    updates: DataFrame, log: UpdateLog, output_mode: str, as_of_ms: int | None = None, run: int = 0
+    updates: DataFrame, log: UpdateLog, output_mode: str, as_of_ms: int | None = None, run: int | None = None
 ) -> DataStreamWriter:
     """Writer that stores the updates of a pricing job directly, without a broker between.
 
-    ``run`` is what ``log.claim_run`` gives for the checkpoint that the writer starts with.
+    Without a ``run`` every start is a new one, which comes after all before it.
     """
+    run = new_run() if run is None else run
 
     def write(batch: DataFrame, batch_id: int) -> None:
         log.append(log_rows(batch.withColumn("seq", F.lit(0).cast("bigint")), as_of_ms), batch_id, run)
@@ -38,17 +39,18 @@ def consume(
     as_of_ms: int | None = None,
     feed_path: str | None = None,
     subscriptions: DataFrame | None = None,
-    run: int = 0,
+    run: int | None = None,
 ) -> DataStreamWriter:
     """Writer that decodes raw price updates (``value``, ``seq``), stores them and writes feeds.
 
     An unusable payload fails the query; it goes on from the same micro-batch when restarted. A
-    repeated micro-batch leaves the log and feed folders alone that are complete. ``run`` is what
-    ``log.claim_run`` gives for the checkpoint that the writer starts with.
+    micro-batch that is repeated in the same ``run`` leaves the log and feed folders alone that are complete.
+    Without a ``run`` every start is a new one, which comes after all before it.
     """
+    run = new_run() if run is None else run
 
     def write_feeds(updates: DataFrame, batch_id: int) -> None:
-        part = f"run={run}/batch_id={batch_id}"
+        part = batch_folder(updates, run, batch_id)
         feed = all_zones_feed(updates, as_of_ms).select("value")
         write_once(feed, f"{feed_path}/all/{part}", DataFrameWriter.text)
         if subscriptions is not None:

@@ -165,8 +165,10 @@ def start(
     checkpoint: str,
     interval: str | None = None,
     name: str | None = None,
+    settings: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Start a writer. Without an interval it processes what is available and ends.
+    """Start a writer. Without an interval it processes what is available and ends. ``settings`` of the
+    session hold for this query, above those that the jobs need.
 
     State, offsets and commits live in ``checkpoint``, which must be a shared folder: a restarted
     query goes on from its last committed micro-batch, also after a lost driver or executor.
@@ -174,5 +176,5 @@ def start(
     if name:
         writer = writer.queryName(name)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    with session_conf(spark, STREAM_CONF):
+    with session_conf(spark, STREAM_CONF | (settings or {})):
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

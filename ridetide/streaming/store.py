@@ -1,27 +1,20 @@
 """Update log: the stored form of the history and snapshot tables.
 
-Every micro-batch of price updates becomes one folder, named by run and micro-batch: a repeated
-micro-batch finds its folder complete, and a job that starts again from a new checkpoint is a new
-run, which comes after all earlier ones. The two tables are views over the log: last version per
-key. Old folders are folded into generations, each in a fresh folder, that keep only the rows
-either view can still need.
+Every micro-batch of price updates is one folder of Parquet files, named by run, streaming query and
+micro-batch. The two tables are views over the log: last arrival per key. ``rewrite`` is a batch job
+that makes them a table partitioned by day.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from ridetide.operators.latest import history_of_log, last_of_zones, last_versions, snapshot_of_log
+from ridetide.operators.latest import HISTORY_COLUMNS, history_of_log, last_versions, snapshot_of_log
 from ridetide.schemas import UPDATE_LOG, column_names
-from ridetide.session import found_paths, hadoop_path, write_once
+from ridetide.session import batch_folder, write_once
 
-_FOLDERS = f"{UPDATE_LOG}, run BIGINT, batch_id BIGINT"
-_POSITIONS = "run BIGINT, upto BIGINT"
-RUNS = 1_000
-"""Runs that the order of arrival has digits for."""
+_FOLDERS = f"{UPDATE_LOG}, run BIGINT, query STRING, batch_id BIGINT"
 
 
 class UpdateLog:
@@ -29,123 +22,32 @@ class UpdateLog:
         self._spark = spark
         self._path = path.rstrip("/")
 
-    def claim_run(self, checkpoint: str) -> int:
-        """The run number of a checkpoint: taken at its first use, greater than all before, and
-        kept beside the checkpoint. Two jobs never get the same."""
-        kept = found_paths(self._spark, f"{checkpoint}/run=*")
-        if kept:
-            return _number(kept[0])
-        taken = found_paths(self._spark, f"{self._path}/runs/run=*")
-        run = max(map(_number, taken), default=0) + 1
-        while True:
-            if run >= RUNS:
-                raise ValueError(f"more than {RUNS} runs in one log")
-            path, files = hadoop_path(self._spark, f"{self._path}/runs/run={run}")
-            if files.createNewFile(path):
-                break
-            run += 1
-        path, files = hadoop_path(self._spark, f"{checkpoint}/run={run}")
-        files.mkdirs(path)
-        return run
+    def append(self, updates: DataFrame, batch_id: int, run: int) -> None:
+        """Store one micro-batch; storing it again in the same run changes nothing.
 
-    def append(self, updates: DataFrame, batch_id: int, run: int = 0) -> None:
-        """Store one micro-batch; storing it again changes nothing."""
+        ``run`` orders the starts of jobs: a later one has a greater number, of at most ten digits.
+        """
         rows = updates.select(*column_names(UPDATE_LOG))
-        write_once(rows, self._folder(run, batch_id), DataFrameWriter.parquet)
-
-    def batch(self, batch_id: int, run: int = 0) -> DataFrame:
-        """The stored rows of one micro-batch."""
-        return self._spark.read.schema(UPDATE_LOG).parquet(self._folder(run, batch_id))
+        write_once(rows, f"{self._path}/{batch_folder(updates, run, batch_id)}", DataFrameWriter.parquet)
 
     def rows(self) -> DataFrame:
-        """All versions that are still needed: the last generation and the batches after it."""
-        return self._after("windows")
+        """All stored rows with their run and micro-batch."""
+        return self._spark.read.schema(_FOLDERS).parquet(self._path)
 
     def history(self) -> DataFrame:
         return history_of_log(self.rows())
 
     def snapshot(self, by_event_time: bool = False) -> DataFrame:
-        """Reads two rows per zone of the last generation and the batches after it, no history."""
-        return snapshot_of_log(self._after("zones"), by_event_time)
+        return snapshot_of_log(self.rows(), by_event_time)
 
-    def compact(self) -> None:
-        """Fold all complete batches into a new generation.
+    def rewrite(self, folder: str) -> DataFrame:
+        """Write the last versions of all windows as a table in a fresh folder, and return it.
 
-        Keeps the last arrival of each (zone, window): the history needs no other, and the last
-        arrival of a zone is the last arrival of its window. Files are sorted by day, zone and
-        window and cut by range, so a hot zone spreads over many files and a history query skips
-        most of them by their statistics. Per zone, the last arrival and the newest window are kept
-        apart for the snapshot. The positions are written last and make the generation count.
+        Partitioned by day and cut by range of zone and window, so that a hot zone is many files and a
+        range query reads few of them.
         """
-        generation, folded = self._last_generation()
-        positions = {**folded, **self._complete()}
-        if positions == folded:
-            return
-        folder = f"{self._path}/folded/gen={generation + 1}"
-        upto = reduce(lambda a, b: a | b, (_at(run) & (F.col("batch_id") <= last) for run, last in positions.items()))
-        kept = last_versions(self.rows().filter(upto))
-        layout = (F.to_date("window_start"), F.col("zone_id"), F.col("window_start"))
-        kept.repartitionByRange(*layout).sortWithinPartitions(*layout).write.mode("overwrite").parquet(
-            f"{folder}/windows"
-        )
-        windows = self._read(f"{folder}/windows", _FOLDERS)
-        zones = last_of_zones(windows).unionByName(last_of_zones(windows, by_event_time=True))
-        zones.distinct().write.mode("overwrite").parquet(f"{folder}/zones")
-        marks = self._spark.createDataFrame(sorted(positions.items()), _POSITIONS)
-        marks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/positions")
-
-    def expire(self) -> None:
-        """Remove what the last generation has made superfluous: the batches in it and the
-        generations before it. Not while an older generation is still being read."""
-        generation, folded = self._last_generation()
-        old = [p for p in found_paths(self._spark, f"{self._path}/folded/gen=*") if _number(p) < generation]
-        for run, upto in folded.items():
-            batches = found_paths(self._spark, f"{self._path}/log/run={run}/batch_id=*")
-            old += [p for p in batches if _number(p) <= upto]
-        for path in old:
-            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _folder(self, run: int, batch_id: int) -> str:
-        return f"{self._path}/log/run={run}/batch_id={batch_id}"
-
-    def _after(self, part: str) -> DataFrame:
-        """A part of the last generation, and the batches after its positions. The filter on the
-        folder columns prunes the folded batches before any file is opened."""
-        generation, folded = self._last_generation()
-        recent = self._read(f"{self._path}/log", _FOLDERS)
-        if not folded:
-            return recent
-        new_run = ~F.col("run").isin(list(folded))
-        later = reduce(lambda a, b: a | b, (_at(run) & (F.col("batch_id") > upto) for run, upto in folded.items()), new_run)
-        return recent.filter(later).unionByName(self._read(f"{self._path}/folded/gen={generation}/{part}", _FOLDERS))
-
-    def _read(self, folder: str, schema: str) -> DataFrame:
-        if not found_paths(self._spark, folder):
-            return self._spark.createDataFrame([], schema)
-        return self._spark.read.schema(schema).parquet(folder)
-
-    def _complete(self) -> dict[int, int]:
-        """Last complete batch of each run, from the folder names."""
-        last: dict[int, int] = {}
-        for mark in found_paths(self._spark, f"{self._path}/log/run=*/batch_id=*/_SUCCESS"):
-            batch = mark.getParent()
-            run = _number(batch.getParent())
-            last[run] = max(last.get(run, -1), _number(batch))
-        return last
-
-    def _last_generation(self) -> tuple[int, dict[int, int]]:
-        """Number and positions (run -> last folded batch) of the newest complete generation."""
-        marks = found_paths(self._spark, f"{self._path}/folded/gen=*/positions/_SUCCESS")
-        generation = max((_number(mark.getParent().getParent()) for mark in marks), default=0)
-        if not generation:
-            return 0, {}
-        stored = self._spark.read.schema(_POSITIONS).parquet(f"{self._path}/folded/gen={generation}/positions")
-        return generation, {row["run"]: row["upto"] for row in stored.collect()}
-
-
-def _at(run: int) -> Column:
-    return F.col("run") == F.lit(run)
-
-
-def _number(path) -> int:
-    return int(path.getName().split("=")[1])
+        layout = (F.col("day"), F.col("zone_id"), F.col("window_start"))
+        last = last_versions(self.rows()).withColumn("day", F.to_date("window_start"))
+        by_range = last.repartitionByRange(*layout).sortWithinPartitions(*layout)
+        by_range.select(*HISTORY_COLUMNS, "day").write.partitionBy("day").parquet(folder)
+        return self._spark.read.schema(by_range.select(*HISTORY_COLUMNS, "day").schema).parquet(folder)

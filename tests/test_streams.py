@@ -19,7 +19,7 @@ from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
 from ridetide.plans import inputs
 from ridetide.schemas import PRICE_UPDATE
-from ridetide.session import CHECKPOINT_DIR, STREAM_CONF, session_conf, shared_dir
+from ridetide.session import CHECKPOINT_DIR, STREAM_CONF, new_run, session_conf, shared_dir
 from ridetide.sources.streams import PRICE_UPDATES, Broker, Files, debug_lines, debug_print, publish, raw_batch, raw_stream
 from ridetide.streaming import exact, job
 from ridetide.streaming.consumer import consume, log_rows, store_updates
@@ -293,52 +293,39 @@ def test_restart_replay_and_batch_equivalence(spark, sf_dir, tmp_path):
                 (tmp_path / name / f"{number}.json").write_text("\n".join(lines) + "\n")
         raw = [raw_stream(spark, Files(str(tmp_path / name))) for name in ("rides", "beats")]
         stream = job.price_stream_of_json(*raw, params)
-        query = job.start(spark, store_updates(stream.updates, log, stream.output_mode, 0), str(tmp_path / "ck"))
+        writer = store_updates(stream.updates, log, stream.output_mode, 0, run=1)
+        query = job.start(spark, writer, str(tmp_path / "ck"))
         query.awaitTermination()
         batch_ids.append(query.lastProgress["batchId"])
         middle.append(sorted(log.history().collect()))
     assert batch_ids == sorted(batch_ids) and batch_ids[0] < batch_ids[-1]
 
     stored = sorted(log.history().collect())
-    again = log.batch(0)
-    log.append(spark.createDataFrame(again.collect(), again.schema), 0)
     assert middle[-1] == stored != middle[0]
-    assert sorted(log.history().collect()) == stored
 
     events = inputs.events(spark, sf_dir)
     assert stored == sorted(to_table_types(price_updates(events, inputs.WINDOW_MS)).collect())
 
-    before = (stored, sorted(log.snapshot().collect()), sorted(log.snapshot(True).collect()))
     assert log.rows().count() >= len(stored)
-    log.compact()
-    log.compact()
-    assert (sorted(log.history().collect()), sorted(log.snapshot().collect()), sorted(log.snapshot(True).collect())) == before
-    assert log.rows().count() == len(stored)
-    log.expire()
-    assert not list((tmp_path / "updates" / "log").glob("run=*/batch_id=*"))
-    assert (sorted(log.history().collect()), sorted(log.snapshot().collect())) == before[:2]
+    table = log.rewrite(str(tmp_path / "table"))
+    assert sorted(table.drop("day").collect()) == stored
 
 
-def test_stored_history_is_pruned_by_the_range(spark, tmp_path):
+def test_rewritten_history_is_pruned_by_the_range(spark, tmp_path):
     log = UpdateLog(spark, str(tmp_path / "updates"))
-    wire = spark.createDataFrame([json.loads(update_line(1, w * 5000, 1)) for w in range(10)], PRICE_UPDATE)
-    log.append(log_rows(wire.withColumn("seq", F.lit(0).cast("bigint")), 0), 0)
-    log.compact()
-    found = history_range(log.history(), 10_000, 20_000, 1)
+    log.append(wire_rows(spark, [(1, w, 1) for w in range(10)]), 0, 1)
+    table = log.rewrite(str(tmp_path / "table"))
+    day = F.col("day") == F.lit("1970-01-01").cast("date")
+    found = history_range(table.where(day).drop("day"), 10_000, 20_000, 1)
     assert [r.window_start.second for r in found.collect()] == [15, 10]
     explain = spark._jvm.PythonSQLUtils.explainString
-    scans = [line for line in explain(found._jdf.queryExecution(), "formatted").splitlines() if "PushedFilters" in line]
-    assert scans
-    for scan in scans:
-        for pushed in ("EqualTo(zone_id,1)", "GreaterThanOrEqual(window_start,", "LessThan(window_start,"):
-            assert pushed in scan
-
-
-def test_empty_log(spark, tmp_path):
-    log = UpdateLog(spark, str(tmp_path / "none"))
-    log.compact()
-    log.expire()
-    assert log.history().count() == 0 and log.snapshot().count() == 0
+    scans = explain(found._jdf.queryExecution(), "formatted").splitlines()
+    assert any("PartitionFilters" in line and "day" in line for line in scans)
+    pushed = [line for line in scans if "PushedFilters" in line]
+    assert pushed
+    for scan in pushed:
+        for wanted in ("EqualTo(zone_id,1)", "GreaterThanOrEqual(window_start,", "LessThan(window_start,"):
+            assert wanted in scan
 
 
 def wire_rows(spark, rows, as_of_ms=0):
@@ -354,51 +341,50 @@ def contents(log):
     return stored, current, newest
 
 
-def test_a_new_checkpoint_is_a_new_run(spark, tmp_path):
+def test_a_later_run_counts_as_later(spark, tmp_path):
     """Micro-batches are numbered from 0 again: nothing is overwritten, hidden or ordered wrongly."""
     log = UpdateLog(spark, str(tmp_path / "log"))
-    first = log.claim_run(str(tmp_path / "a"))
-    assert log.claim_run(str(tmp_path / "a")) == first
-    log.append(wire_rows(spark, [(1, 0, 1), (2, 0, 1)]), 0, first)
-    log.append(wire_rows(spark, [(1, 1, 13)]), 1, first)
-    log.compact()
-    second = log.claim_run(str(tmp_path / "b"))
-    assert second > first
-    log.append(wire_rows(spark, [(1, 0, 99)]), 0, second)
+    log.append(wire_rows(spark, [(1, 0, 1), (2, 0, 1)]), 0, 1_999)
+    log.append(wire_rows(spark, [(1, 1, 13)]), 1, 1_999)
+    log.append(wire_rows(spark, [(1, 0, 99)]), 0, 9_999_999_999)
     wanted = ({(1, 0): 99, (1, 1): 13, (2, 0): 1}, {1: 99, 2: 1}, {1: 13, 2: 1})
     assert contents(log) == wanted
-    log.append(wire_rows(spark, [(2, 1, 7)]), 1, second)
+    log.append(wire_rows(spark, [(2, 1, 7)]), 1, 9_999_999_999)
     wanted[0][(2, 1)], wanted[1][2], wanted[2][2] = 7, 7, 7
-    for step in (log.compact, log.expire, log.compact):
-        step()
-        assert contents(log) == wanted
-    log.append(wire_rows(spark, [(1, 0, 5)]), 1, second)  # a repeated micro-batch
+    assert contents(log) == wanted
+    log.append(wire_rows(spark, [(1, 0, 5)]), 1, 9_999_999_999)  # a repeated micro-batch
     assert contents(log) == wanted
 
 
-def test_an_unfinished_generation_does_not_count(spark, tmp_path):
-    log = UpdateLog(spark, str(tmp_path / "log"))
-    log.append(wire_rows(spark, [(1, 0, 1)]), 0)
-    log.compact()
-    log.append(wire_rows(spark, [(1, 1, 2)]), 1)
-    before = contents(log)
-    log.compact()
-    for mark in (tmp_path / "log" / "folded" / "gen=2" / "positions").glob("*_SUCCESS*"):
-        mark.unlink()
-    assert contents(log) == before
-    log.compact()
-    assert contents(log) == before
-
-
-def test_views_are_hash_aggregates_and_the_snapshot_reads_no_history(spark, tmp_path):
+def test_runs_are_never_equal():
+    runs = [new_run() for _ in range(100)]
+    assert runs == sorted(set(runs)) and abs(runs[0] - time.time()) < 200
+
+
+def test_views_are_hash_aggregates(spark, tmp_path):
     log = UpdateLog(spark, str(tmp_path / "log"))
-    log.append(wire_rows(spark, [(1, w, w) for w in range(5)]), 0)
-    log.compact()
-    log.append(wire_rows(spark, [(1, 5, 5)]), 1)
+    log.append(wire_rows(spark, [(1, w, w) for w in range(5)]), 0, 1)
     for view in (log.history(), log.snapshot(), log.snapshot(True)):
-        assert "SortAggregate" not in view._jdf.queryExecution().executedPlan().toString()
-    opened = " ".join(log.snapshot().inputFiles())
-    assert "/zones/" in opened and "/windows/" not in opened
+        plan = view._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("run", [None, 4])
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path, run):
+    """Two checkpoints on the same folders, with the default run and with the same run given twice."""
+    sink, log = Files(str(tmp_path / "out")), UpdateLog(spark, str(tmp_path / "log"))
+    for part, zone_ms in enumerate((1000, 900_000)):
+        feed = Feed(spark, tmp_path / f"in-{part}")
+        feed.send([zone_ms], [(zone_ms, "AVAILABLE")])
+        stream = feed.stream(job.LIVE)
+        for name, writer in (
+            ("publish", publish(stream.updates, sink, stream.output_mode, run)),
+            ("store", store_updates(stream.updates, log, stream.output_mode, 0, run)),
+        ):
+            job.start(spark, writer, str(tmp_path / f"{name}-{part}")).awaitTermination()
+    starts = {json.loads(row.value)["window_start"] for row in raw_batch(spark, sink).collect()}
+    assert starts == {BASE, BASE + 900_000} and log.history().count() == 2
+    assert {row.run for row in log.rows().collect()} == {4} if run else log.rows().select("run").distinct().count() == 2
 
 
 def update_line(zone, start, demand):
@@ -439,17 +425,6 @@ def test_table_job_stores_feeds_and_fails_fast(spark, tmp_path):
     assert {(r.zone_id, r.demand) for r in log.snapshot().collect()} == {(1, 4), (2, 1)}
 
 
-def test_published_files_replace_a_repeated_batch(spark, tmp_path):
-    sink = Files(str(tmp_path / "out"))
-    feed = Feed(spark, tmp_path / "in")
-    feed.send([1000], [(1000, "AVAILABLE")])
-    stream = feed.stream(job.LIVE)
-    for attempt in ("a", "b"):
-        job.start(spark, publish(stream.updates, sink, stream.output_mode), str(tmp_path / attempt)).awaitTermination()
-    (row,) = raw_batch(spark, sink).collect()
-    assert json.loads(row.value)["demand"] == 1 and row.seq == 0
-
-
 def test_broker_options():
     source = Broker("b1:9092,b2:9092", PRICE_UPDATES, {"kafka.security.protocol": "SSL"})
     assert source.read_options() == {
@@ -481,7 +456,7 @@ def test_debug_print_prints_every_update(spark, tmp_path):
     command = [sys.executable, "-c", PRINTING, str(ROOT), str(tmp_path)]
     said = subprocess.run(command, capture_output=True, text=True, check=True, timeout=180)
     lines = [line for line in (said.stdout + said.stderr).splitlines() if "PRICE-UPDATE> {" in line]
-    assert len(lines) == len(set(lines)) == 30
+    assert len(lines) == len(set(lines)) == 30 and all(line.startswith("PRICE-UPDATE> {") and line.endswith("}") for line in lines)
     printed = debug_lines(price_updates(normalize(feed.batch("rides"), RIDE), 5000)).collect()
     assert min(r.value for r in printed).startswith('PRICE-UPDATE> {"zone_id":1,"window_start":1000000,')
 

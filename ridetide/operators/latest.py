@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridetide.functions.instants import instant
+from ridetide.functions.instants import instant, to_millis
+from ridetide.operators.asof import as_of
 from ridetide.schemas import ZONE_PRICE_SNAPSHOT, ZONE_WINDOW_METRICS, column_names
 
 HISTORY_COLUMNS = column_names(ZONE_WINDOW_METRICS)
@@ -88,3 +89,17 @@ def snapshot_of_log(log: DataFrame, by_event_time: bool = False) -> DataFrame:
     """
     latest = last_of_zones(last_versions(log), by_event_time)
     return latest.withColumnRenamed("received_at", "updated_at").select(*SNAPSHOT_COLUMNS)
+
+
+def with_seed(history: DataFrame, seed: DataFrame) -> DataFrame:
+    """Versions of the snapshot: every window from the moment it was computed, and the seed rows."""
+    computed = history.withColumnRenamed("ts_compute", "updated_at").select(*SNAPSHOT_COLUMNS)
+    return computed.unionByName(seed.select(*SNAPSHOT_COLUMNS))
+
+
+def snapshot_as_of(asked: DataFrame, versions: DataFrame, at: str, cell_ms: int) -> DataFrame:
+    """The snapshot row of each zone asked for, as it was at the moment ``at``; none if there was none yet."""
+    columns = [name for name in SNAPSHOT_COLUMNS if name != "zone_id"]
+    facts = {"row": (versions, to_millis(F.col("updated_at")), columns)}
+    found = as_of(asked, "zone_id", at, facts, cell_ms).where("row is not null")
+    return found.select(*asked.columns, *[F.col(f"row.{name}").alias(name) for name in columns])

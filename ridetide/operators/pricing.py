@@ -5,11 +5,12 @@ The request side is never shuffled: both lookup sides are bounded by the zone ra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridetide.functions.fare import FARE_TYPE, quoted_fare, reference_fare
-from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, instant
+from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis, instant, to_millis
+from ridetide.operators.asof import as_of
 from ridetide.operators.lookup import zone_row
 from ridetide.operators.validate import guard_zones, valid_quotes
 from ridetide.params import QUOTE_ZONES, READ_ZONES
@@ -86,19 +87,39 @@ def quotes(
     A zone without a snapshot is quoted at surge 1; a zone without a fare row at its fallback.
     Works on a streaming request frame too (stream-static joins).
     """
+    requested = valid_quotes(requests).withColumn("zone_id", F.col("origin_zone_id"))
+    return answered(_with_lookups(requested, snapshot, fares, QUOTE_ZONES), instant(as_of_ms), carry)
+
+
+def answered(requested: DataFrame, updated_at: Column, carry: tuple[str, ...]) -> DataFrame:
+    """Valid requests with their ``snap`` and ``fare`` rows, or nulls -> quotes."""
     surge = F.coalesce(F.col("snap.surge_multiplier"), F.lit("1").cast(SURGE_TYPE))
     reference = reference_fare(
         F.col("zone_id"), F.col("estimated_distance_km"), F.col("estimated_duration_min")
     )
+    priced = {**_snapshot_or_default(), "quoted_fare": quoted_fare(reference, surge), "updated_at": updated_at}
+    return requested.withColumns(priced).select(*carry, *RESPONSE_COLUMNS)
+
+
+PRICE_FIELDS = ("surge_multiplier", "demand", "supply", "ratio")
+FARE_FIELDS = ("base_fare", "distance_rate", "time_rate", "minimum_fare", "zone_type")
+
+# A minute: twelve windows of the default length.
+CELL_MS = 60_000
+
+
+def quotes_as_of(
+    requests: DataFrame, history: DataFrame, fares: DataFrame, cell_ms: int = CELL_MS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Quote of each valid request at its own time ``ts``: by the window that was the newest computed
+    and the fare row that was the newest stored at that moment.
+
+    ``history`` has a row per zone and window, known from ``ts_compute`` on; ``fares`` a row per zone and
+    change, known from ``updated_at`` on. Where nothing was known yet, the defaults of ``quotes`` hold.
+    """
     requested = valid_quotes(requests).withColumn("zone_id", F.col("origin_zone_id"))
-    return (
-        _with_lookups(requested, snapshot, fares, QUOTE_ZONES)
-        .withColumns(
-            {
-                **_snapshot_or_default(),
-                "quoted_fare": quoted_fare(reference, surge),
-                "updated_at": instant(as_of_ms),
-            }
-        )
-        .select(*carry, *RESPONSE_COLUMNS)
-    )
+    facts = {
+        "snap": (history, to_millis(F.col("ts_compute")), PRICE_FIELDS),
+        "fare": (fares, to_millis(F.col("updated_at")), FARE_FIELDS),
+    }
+    return answered(as_of(requested, "zone_id", "ts", facts, cell_ms), from_millis(F.col("ts")), carry)

@@ -53,6 +53,11 @@ def fleet_metrics(snapshot: DataFrame) -> DataFrame:
         F.coalesce(F.sum("supply"), F.lit(0)).cast("bigint").alias("total_supply"),
         *_distribution(snapshot),
     )
+    return metrics_of_totals(totals)
+
+
+def metrics_of_totals(totals: DataFrame) -> DataFrame:
+    """The statistics from counts, sums and extremes; ``__surge`` is the sum of surges."""
     demand, supply = F.col("total_demand").cast("double"), F.col("total_supply").cast("double")
     names = _bucket_names()
     return totals.select(

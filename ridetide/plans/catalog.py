@@ -17,7 +17,7 @@ from ridetide.functions.instants import to_millis
 from ridetide.functions.wire import zone_key
 from ridetide.operators import feeds, history, latest, normalize, pricing, stats, validate, windows
 from ridetide.operators.lookup import zone_row
-from ridetide.params import PricingParams
+from ridetide.params import READ_ZONES, PricingParams
 from ridetide.plans import inputs, streams
 from ridetide.session import shared_dir
 from ridetide.sources import tables
@@ -189,11 +189,17 @@ def zone_price_snapshot(spark, sf_dir):
 
 @query
 def snapshot_over_seed(spark, sf_dir):
-    """Seed rows, each replaced by the first price its zone gets."""
-    priced = F.col("zone_id") % 3 != 0  # the other zones have had no price yet
-    current, seed = _snapshot(spark, sf_dir).filter(priced), seed_snapshot(spark, inputs.FROM_MS)
-    rows = seed.withColumn("n", F.lit(0)).unionByName(current.withColumn("n", F.lit(1)))
-    return in_millis(latest.last_by(rows, ("zone_id",), "n").drop("n"))
+    """The snapshot at instants from a quarter of an hour on: seed rows until their zone gets a price."""
+    updates = windows.price_updates(inputs.events(spark, sf_dir), PricingParams().window_ms)
+    priced = latest.with_seed(normalize.to_table_types(updates), seed_snapshot(spark, inputs.FIRST_MS))
+    instant = F.lit(inputs.FIRST_MS) + F.lit(inputs.INSTANT_MS) * F.expr("shiftleft(1L, cast(id % 64 as int))")
+    asked = (
+        spark.range(64 * (READ_ZONES[1] + 1))
+        .where(f"id % 64 < {inputs.INSTANTS} and id >= 64")
+        .select(F.floor(F.col("id") / 64).cast("int").alias("zone_id"), instant.alias("as_of"))
+    )
+    rows = latest.snapshot_as_of(asked, priced, "as_of", inputs.DAY_MS)
+    return in_millis(rows)
 
 
 @query
@@ -308,9 +314,7 @@ def surge_only_zones(spark, sf_dir):
     return in_millis(history.surge_only(_snapshot(spark, sf_dir)))
 
 
-@query
-def fleet_metrics(spark, sf_dir):
-    metrics = stats.fleet_metrics(_snapshot(spark, sf_dir))
+def _flat_metrics(metrics: DataFrame) -> DataFrame:
     entries = F.transform(
         F.array_sort(F.map_entries("surge_distribution")),
         lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")),
@@ -318,6 +322,11 @@ def fleet_metrics(spark, sf_dir):
     return metrics.withColumn("surge_distribution", F.array_join(entries, ","))
 
 
+@query
+def fleet_metrics(spark, sf_dir):
+    return _flat_metrics(stats.fleet_metrics(_snapshot(spark, sf_dir)))
+
+
 @query
 def surge_histogram(spark, sf_dir):
     return stats.surge_histogram(_snapshot(spark, sf_dir))
@@ -417,6 +426,19 @@ def reference_fares(spark, sf_dir):
     return requests.join(fares, "zone_id", "left").select("request_id", fare.alias("reference_fare"))
 
 
+@query
+def quotes_as_of(spark, sf_dir):
+    """Each request priced by what was known at its own time."""
+    answered = pricing.quotes_as_of(
+        inputs.paced_requests(spark, sf_dir),
+        _history(spark, sf_dir),
+        inputs.fare_versions(spark),
+        inputs.DAY_MS,
+        carry=("request_id",),
+    )
+    return in_millis(answered)
+
+
 # Feeds
 
 
@@ -512,6 +534,36 @@ def stream_quotes(spark, sf_dir):
     return in_millis(streams.streamed_quotes(spark, sf_dir))
 
 
+@query
+def stream_quotes_live(spark, sf_dir):
+    """Requests and updates as two streams: the state of a zone is its current price."""
+    return in_millis(streams.quotes_live(spark, sf_dir))
+
+
+@query
+def stream_snapshot_seeded(spark, sf_dir):
+    """Seed rows as the first state, replaced zone by zone; read from the state after each slice."""
+    return in_millis(streams.seeded_snapshot(spark, sf_dir))
+
+
+@query
+def stream_fleet_metrics(spark, sf_dir):
+    """Statistics kept up to date by what each change takes back and adds."""
+    return _flat_metrics(streams.fleet_after_updates(spark, sf_dir))
+
+
+@query
+def stream_history_recent(spark, sf_dir):
+    """The newest windows of each zone as state, of which late firings replace some."""
+    return in_millis(streams.recent_windows(spark, sf_dir))
+
+
+@query
+def stream_open_windows(spark, sf_dir):
+    """What a stopped job still holds."""
+    return streams.open_windows(spark, sf_dir)
+
+
 @query
 def stream_exact_sequence(spark, sf_dir):
     """Every firing: on time, again for late events, not at all for events that are too late."""

@@ -5,12 +5,15 @@ Every mapping is a rule over all rows of its table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridetide import schemas
 from ridetide.functions.instants import instant, to_millis
 from ridetide.operators.normalize import AVAILABLE, HEARTBEAT, RIDE
+from ridetide.sources.fares import band_zones, build_fare_table
 
 # The events span 30 days, so windows of six hours.
 WINDOW_MS = 21_600_000
@@ -110,12 +113,48 @@ def events_between(spark: SparkSession, sf_dir: str, from_ms: int, to_ms: int) -
     return events_of(rows.filter((time >= low) & (time < high)))
 
 
+# Instants at which the snapshot over the seed rows is asked for: a quarter of an hour, doubled again and again.
+INSTANTS = 13
+INSTANT_MS = 900_000
+
 # The sequence queries read the events in slices of four days, one per micro-batch.
 SLICE_MS = 4 * DAY_MS
 FIRST_MS = 1_704_067_200_000
 SLICES = 10
 
 
+# The live queries read requests and updates in slices of a week.
+LIVE_SLICE_MS = 7 * DAY_MS
+LIVE_SLICES = 5
+
+
+def slice_of(ms: Column, late: Column) -> Column:
+    """The slice of a moment, or the next one where ``late``."""
+    due = F.floor((ms - F.lit(FIRST_MS)) / F.lit(LIVE_SLICE_MS)) + F.when(late, 1).otherwise(0)
+    return F.greatest(F.lit(0), F.least(due, F.lit(LIVE_SLICES - 1))).cast("int").alias("slice")
+
+
+def sliced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paced quote requests by the slice they arrive in: every eleventh one slice late."""
+    rows = paced_requests(spark, sf_dir)
+    return rows.select("*", slice_of(F.col("ts"), F.col("request_id") % 11 == 0))
+
+
+def sliced_updates(updates: DataFrame) -> DataFrame:
+    """Price updates by the slice they arrive in: some windows one slice late."""
+    late = (F.floor(F.col("window_start") / WINDOW_MS) + F.col("zone_id")) % 7 == 0
+    return updates.select("*", slice_of(F.col("ts_compute"), late))
+
+
+# Slices of the seeded snapshot: up to a quarter of an hour, then four times as long each.
+SEED_SLICES = 7
+
+
+def seed_slice(ms: Column) -> Column:
+    ends = [FIRST_MS + INSTANT_MS * 4**k for k in range(SEED_SLICES - 1)]
+    return sum([(ms > F.lit(end)).cast("int") for end in ends], F.lit(0)).alias("slice")
+
+
 def sliced_events(spark: SparkSession, sf_dir: str, rides_lag: int) -> DataFrame:
     """Normalised events with the ``slice`` they arrive in: that of their time, some one or three slices
     late, and rides ``rides_lag`` slices later."""
@@ -290,6 +329,29 @@ def quote_requests_of(orders: DataFrame) -> DataFrame:
     )
 
 
+# The orders' first day, 1992-01-01, falls on the events' first, and their time goes eighty times faster.
+ORDERS_MS, PACE = 694_224_000_000, 80
+
+
+def paced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote requests over the days of the events, with the moment of each."""
+    rows = quote_requests(spark, sf_dir)
+    after = F.expr(f"(ts - {ORDERS_MS}) div {PACE}")
+    # Orders have dates only: the request id spreads them over their quarter of an hour.
+    return rows.withColumn("ts", F.lit(FIRST_MS) + after + F.col("request_id") % 900_000)
+
+
+# When fares were set anew, with a draw of its own each time.
+FARE_CHANGES = (FIRST_MS, FROM_MS + 1, TO_MS)
+
+
+def fare_versions(spark: SparkSession) -> DataFrame:
+    """A fare row for every zone of a band and change."""
+    zones = band_zones(spark)
+    tables = [build_fare_table(zones, seed=n, created_ms=at) for n, at in enumerate(FARE_CHANGES, start=1)]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def quote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_requests_of(table(spark, sf_dir, "orders"))
 

@@ -279,13 +279,15 @@ kept AS (SELECT sl.slice, zone_id, window_start, CASE WHEN kind = 'RIDE' THEN 1
 SELECT CAST(batch AS BIGINT) AS batch, * EXCLUDE (batch) FROM ({_surged(_ratios(counts, W, "batch,"), "batch,")})"""
 
 
-def _fare_table() -> str:
+def _fares(seed: int) -> str:
+    """Columns of the fare row of ``zone_id`` as drawn with this seed."""
+
     def band(pick) -> str:
         cases = " ".join(f"WHEN zone_id BETWEEN {b[0]} AND {b[1]} THEN {pick(b)}" for b in BANDS)
         return f"CASE {cases} END"
 
     def rate(name: str) -> str:
-        key = f"'1:{name}:' || zone_id"
+        key = f"'{seed}:{name}:' || zone_id"
         share = f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
 
         def drawn(b) -> str:
@@ -297,9 +299,13 @@ def _fare_table() -> str:
 
     rates = ",\n  ".join(rate(name) for name in RATE_TYPES)
     kind = band(lambda b: f"'{b[2]}'")
+    return f"{rates}, {kind} AS zone_type"
+
+
+def _fare_table() -> str:
     return _with(
         "ev",
-        f"""SELECT zone_id, {rates}, {kind} AS zone_type, true AS active,
+        f"""SELECT zone_id, {_fares(1)}, true AS active,
   CAST((SELECT count(*) FROM ev WHERE ev.zone_id = band.zone_id) AS BIGINT) AS events
 FROM (SELECT CAST(z AS INTEGER) AS zone_id FROM range(1, 17) AS t(z)) AS band""",
     )
@@ -315,16 +321,14 @@ def _contract() -> str:
     return _with("ev", f"SELECT event_id, CASE WHEN kind = 'RIDE' THEN {ride} ELSE {beat} END AS violations FROM ev")
 
 
-_SEEDED = _with(
-    _SNAP,
-    f"""SELECT zone_id, surge_multiplier, demand, supply, ratio, window_start, window_end, updated_at FROM snap
-WHERE zone_id % 3 <> 0
-UNION ALL
-SELECT CAST(zone_id AS INTEGER), CAST(surge AS DECIMAL(4,2)), CAST(demand AS BIGINT), CAST(supply AS BIGINT),
-  CAST(ratio AS DECIMAL(24,4)), CAST({FROM - 60_000} AS BIGINT), CAST({FROM - 46_000} AS BIGINT), CAST({FROM} AS BIGINT)
-FROM (VALUES {_values(SEED_ROWS)}) AS seed(zone_id, surge, demand, supply, ratio)
-WHERE zone_id NOT IN (SELECT zone_id FROM snap WHERE zone_id % 3 <> 0)""",
-)
+_SEEDED = f"""WITH ev AS ({_CTES["ev"]}), upd AS ({_updates("ev", 5_000)}), hist AS ({_CTES["hist"]}),
+versions AS (SELECT zone_id, surge_multiplier, demand, supply, ratio, window_start, window_end, ts_compute AS updated_at FROM hist
+  UNION ALL SELECT CAST(zone_id AS INTEGER), CAST(surge AS DECIMAL(4,2)), CAST(demand AS BIGINT), CAST(supply AS BIGINT),
+  CAST(ratio AS DECIMAL(24,4)), CAST({inputs.FIRST_MS - 60_000} AS BIGINT), CAST({inputs.FIRST_MS - 46_000} AS BIGINT), CAST({inputs.FIRST_MS} AS BIGINT)
+  FROM (VALUES {_values(SEED_ROWS)}) AS seed(zone_id, surge, demand, supply, ratio)),
+asked AS (SELECT CAST(z AS INTEGER) AS zone_id, CAST({inputs.FIRST_MS} + {inputs.INSTANT_MS} * (1 << k) AS BIGINT) AS as_of
+  FROM range(1, 17) AS zones(z), range(0, {inputs.INSTANTS}) AS instants(k))
+SELECT a.zone_id, a.as_of, v.* EXCLUDE (zone_id) FROM asked a ASOF JOIN versions v ON v.zone_id = a.zone_id AND v.updated_at <= a.as_of"""
 
 _FLEET = _with(
     _SNAP,
@@ -338,6 +342,41 @@ _FLEET = _with(
 FROM snap""",
 )
 
+_VERSIONS = " UNION ALL ".join(
+    f"SELECT CAST(z AS INTEGER) AS zone_id, {_fares(n)}, CAST({at} AS BIGINT) AS known FROM (SELECT z, z AS zone_id FROM range(1, 17) AS t(z))"
+    for n, at in enumerate(inputs.FARE_CHANGES, start=1)
+)
+_PACED = f"""paced AS (SELECT * REPLACE ({inputs.FIRST_MS} + (ts - {inputs.ORDERS_MS}) // {inputs.PACE} + request_id % 900000 AS ts)
+  FROM judged WHERE reject_reason IS NULL),
+versions AS ({_VERSIONS})"""
+_QUOTES_AS_OF = _with(
+    "ev upd hist req judged",
+    f""", {_PACED}
+SELECT q.request_id, q.origin_zone_id AS zone_id, {_RESPONSE},
+  CAST(round({_QUOTE_REFERENCE} * coalesce(s.surge_multiplier, CAST(1 AS DECIMAL(4,2))), 2) AS DECIMAL(33,2)) AS quoted_fare,
+  CAST(q.ts AS BIGINT) AS updated_at
+FROM paced q ASOF LEFT JOIN hist s ON s.zone_id = q.origin_zone_id AND s.ts_compute <= q.ts
+ASOF LEFT JOIN versions f ON f.zone_id = q.origin_zone_id AND f.known <= q.ts""",
+)
+
+_SLICE = f"greatest(0, least(({{at}} - {inputs.FIRST_MS}) // {inputs.LIVE_SLICE_MS} + CASE WHEN {{late}} THEN 1 ELSE 0 END, {inputs.LIVE_SLICES - 1}))"
+_QUOTES_LIVE = _with(
+    "ev upd hist fares req judged",
+    f""", {_PACED},
+asked AS (SELECT *, {_SLICE.format(at="ts", late="request_id % 11 = 0")} AS slice FROM paced),
+known AS (SELECT *, {_SLICE.format(at="ts_compute", late=f"(window_start // {W} + zone_id) % 7 = 0")} AS slice FROM hist),
+seen AS (SELECT q.request_id, max(k.ts_compute) AS ts_compute FROM asked q JOIN known k ON k.zone_id = q.origin_zone_id
+  AND (k.slice < q.slice OR (k.slice = q.slice AND k.ts_compute <= q.ts)) GROUP BY 1)
+SELECT q.request_id, q.origin_zone_id AS zone_id, {_RESPONSE},
+  CAST(round({_QUOTE_REFERENCE} * coalesce(s.surge_multiplier, CAST(1 AS DECIMAL(4,2))), 2) AS DECIMAL(33,2)) AS quoted_fare,
+  CAST(q.ts AS BIGINT) AS updated_at
+FROM asked q LEFT JOIN seen USING (request_id) LEFT JOIN hist s ON s.zone_id = q.origin_zone_id AND s.ts_compute = seen.ts_compute
+LEFT JOIN fares f ON f.zone_id = q.origin_zone_id""",
+)
+
+_SEEDED_SLICES = f"""SELECT CAST(log2((as_of - {inputs.FIRST_MS}) // {inputs.INSTANT_MS}) / 2 AS INTEGER) AS slice, * EXCLUDE (as_of)
+FROM ({_SEEDED}) WHERE CAST(log2((as_of - {inputs.FIRST_MS}) // {inputs.INSTANT_MS}) AS INTEGER) % 2 = 0"""
+
 _HISTORY = _with(_HIST, "SELECT * FROM hist")
 
 ORACLE: dict[str, str] = {
@@ -443,6 +482,7 @@ FROM (SELECT * FROM hist ORDER BY ts_compute DESC, zone_id, window_start DESC LI
         "asked", "SELECT request_id, zone_id, 'zone_id not in 1..16' AS reject_reason FROM asked WHERE zone_id > 16"
     ),
     "quotes": _QUOTES,
+    "quotes_as_of": _QUOTES_AS_OF,
     "quotes_rejected": _with("req judged", "SELECT * FROM judged WHERE reject_reason IS NOT NULL"),
     "reference_fares": _with(
         "fares req judged",
@@ -462,6 +502,18 @@ FROM judged q LEFT JOIN fares f ON f.zone_id = q.origin_zone_id WHERE q.reject_r
     ),
     "stream_live_sequence": _sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2, strict=True),
     "stream_live_sequence_union": _sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2),
+    "stream_quotes_live": _QUOTES_LIVE,
+    "stream_snapshot_seeded": _SEEDED_SLICES,
+    "stream_fleet_metrics": _FLEET,
+    "stream_history_recent": f"""SELECT zone_id, window_start, window_end, demand, supply,
+  CAST(CAST(ratio AS VARCHAR) AS DECIMAL(24,4)) AS ratio, CAST(CAST(surge_multiplier AS VARCHAR) AS DECIMAL(4,2)) AS surge_multiplier, ts_compute
+FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_start DESC) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY zone_id, window_start ORDER BY batch DESC) AS age
+    FROM ({_sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2, strict=True)})) WHERE age = 1) WHERE n <= 100""",
+    "stream_open_windows": _with(
+        "ev upd closing",
+        "SELECT zone_id, window_start, window_end, demand, supply FROM upd, closing WHERE window_end > least(rides, beats) - 20000",
+    ),
     "stream_refused_counts": _with(
         "ev",
         """SELECT CASE kind WHEN 'RIDE' THEN 'rides' ELSE 'heartbeats' END AS stream, CAST(count(*) AS BIGINT) AS received,

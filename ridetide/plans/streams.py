@@ -4,10 +4,12 @@ returns the resulting table."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from ridetide.operators.latest import last_by, snapshot_of_history
 from ridetide.operators.normalize import HEARTBEAT, RIDE, decode_price_updates, quarantine, to_table_types
@@ -16,8 +18,9 @@ from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
 from ridetide.plans import inputs
 from ridetide.session import shared_dir
+from ridetide.sources.seeds import seed_snapshot
 from ridetide.sources.streams import Files, publish, raw_batch, raw_stream
-from ridetide.streaming import job
+from ridetide.streaming import job, live
 from ridetide.streaming.consumer import consume, store_updates
 from ridetide.streaming.store import UpdateLog
 
@@ -125,36 +128,48 @@ SEQUENCE_PARAMS = PricingParams(
 )
 
 
+# State that is keyed by the sixteen zones alone needs no more partitions.
+ZONE_PARTITIONS = 4
+
+
 def play(
     spark: SparkSession,
     folder: str,
     sliced: dict[str, DataFrame],
     writer_of: Callable[..., DataStreamWriter],
-) -> StreamingQuery:
+    slices: int = inputs.SLICES,
+    partitions: int | None = None,
+) -> list[int | None]:
     """Streams whose micro-batches are the slices of tables (column ``slice``), in order; the last query.
 
     The tables are dealt to a folder per slice in one parallel job each. Then slice after slice is added
     to the folders of the streams, and the query goes on from its checkpoint until it has read it: one
     micro-batch, however many files it has. Only after the last slice it runs on without data.
+
+    ``partitions`` of the state, where its keys are a few; else as many as the session says. Returns the number of the last micro-batch after each slice; slices without rows have none of their own.
     """
+    done: list[int | None] = []
     for name, rows in sliced.items():
         rows.write.partitionBy("slice").parquet(f"{folder}/sliced-{name}")
     kinds = {name: rows.drop("slice").schema for name, rows in sliced.items()}
-    for number in range(inputs.SLICES):
+    for number in range(slices):
         for name, rows in sliced.items():
             staged = spark.read.schema(rows.schema).parquet(f"{folder}/sliced-{name}")
             staged.where(F.col("slice") == number).drop("slice").write.mode("append").parquet(f"{folder}/{name}")
         streams = [spark.readStream.schema(kind).parquet(f"{folder}/{name}") for name, kind in kinds.items()]
-        last = str(number == inputs.SLICES - 1).lower()
+        last = str(number == slices - 1).lower()
         settings = {"spark.sql.streaming.noDataMicroBatches.enabled": last}
+        if partitions:
+            settings["spark.sql.shuffle.partitions"] = str(partitions)
         query = job.start(spark, writer_of(*streams), f"{folder}/checkpoint", settings=settings)
         query.awaitTermination()
-    return query
+        with_rows = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+        done.append(with_rows[-1] if with_rows else done[-1] if done else None)
+    return done
 
 
-def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int = 0) -> DataFrame:
-    """Every update that a job emits over slices of the events, one per micro-batch, with the number of
-    the micro-batch."""
+def _fired(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int) -> Files:
+    """The updates that a job publishes over slices of the events, one per micro-batch."""
     folder = shared_dir(spark, f"sequence-{mode}")
     events = inputs.sliced_events(spark, sf_dir, rides_lag)
     sliced = {kind: events.where(F.col("kind") == kind) for kind in (RIDE, HEARTBEAT)}
@@ -165,9 +180,98 @@ def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: st
         return publish(stream.updates, sink, stream.output_mode, run=0)
 
     play(spark, folder, sliced, writer)
+    return sink
+
+
+def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int = 0) -> DataFrame:
+    """Every update that a job emits over slices of the events, with the number of its micro-batch."""
+    sink = _fired(spark, sf_dir, mode, idle_policy, rides_lag)
     return decode_price_updates(raw_batch(spark, sink), carry=("seq",)).withColumnRenamed("seq", "batch")
 
 
+def recent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest windows of each zone, held as state, from updates of which many fire again late."""
+    sink = _fired(spark, sf_dir, job.LIVE, job.STRICT, 2)
+    folder = shared_dir(spark, "recent")
+    raw = raw_stream(spark, Files(sink.path, {"maxFilesPerTrigger": "25"}))
+    changes = live.recent_stream(decode_price_updates(raw, carry=("seq",)))
+    _run(spark, changes.writeStream.outputMode("update").format("noop"), folder)
+    return to_table_types(live.recent_table(spark, f"{folder}/checkpoint"))
+
+
+def _sliced_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.sliced_updates(price_updates(inputs.events(spark, sf_dir), inputs.WINDOW_MS))
+
+
+def quotes_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of a stream of requests by a stream of updates, both in slices and some of both late."""
+    folder = shared_dir(spark, "quotes-live")
+    sliced = {"requests": inputs.sliced_requests(spark, sf_dir), "updates": _sliced_updates(spark, sf_dir)}
+    path = f"{folder}/quotes"
+    kinds = []
+
+    def writer(requests: DataFrame, updates: DataFrame) -> DataStreamWriter:
+        quoted = live.live_quotes(requests, updates, inputs.sample_fares(spark))
+        kinds.append(quoted.schema)
+        # To the stateful step this is the update mode; the file sink takes what it emits.
+        return quoted.writeStream.outputMode("update").foreachBatch(
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        )
+
+    play(spark, folder, sliced, writer, inputs.LIVE_SLICES)
+    return spark.read.schema(kinds[-1]).parquet(path).select(*kinds[-1].names)
+
+
+def seeded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot after each slice, as the state of a stream that begins with the seed rows."""
+    folder = shared_dir(spark, "seeded")
+    updates = price_updates(inputs.events(spark, sf_dir), PricingParams().window_ms)
+    rows = updates.select(
+        "*", F.col("ts_compute").alias("updated_at"), F.lit(0).cast("bigint").alias("seq"), inputs.seed_slice(F.col("ts_compute"))
+    )
+    seed = seed_snapshot(spark, inputs.FIRST_MS)
+
+    def writer(updates: DataFrame) -> DataStreamWriter:
+        changes = live.snapshot_stream(updates, seed, by_event_time=True)
+        return changes.writeStream.outputMode("update").format("noop")
+
+    batches = play(spark, folder, {"updates": rows}, writer, inputs.SEED_SLICES, ZONE_PARTITIONS)
+    after = [
+        (seed if batch is None else live.snapshot_table(spark, f"{folder}/checkpoint", batch)).select(
+            F.lit(number).alias("slice"), "*"
+        )
+        for number, batch in enumerate(batches)
+    ]
+    return reduce(DataFrame.unionByName, after)
+
+
+def fleet_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last statistics of a stream that takes back and adds what every change of a zone means."""
+    folder = shared_dir(spark, "fleet")
+    rows = _sliced_updates(spark, sf_dir).withColumn("seq", F.col("slice").cast("bigint"))
+    kinds = []
+
+    def writer(updates: DataFrame) -> DataStreamWriter:
+        metrics = live.fleet_stream(updates)
+        kinds.append(metrics.schema)
+        return metrics.writeStream.outputMode("append").foreachBatch(
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/metrics/batch_id={number}")
+        )
+
+    play(spark, folder, {"updates": rows}, writer, inputs.LIVE_SLICES, ZONE_PARTITIONS)
+    stored = spark.read.schema(T.StructType([*kinds[-1], T.StructField("batch_id", T.LongType())])).parquet(f"{folder}/metrics")
+    last = stored.agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(F.broadcast(last), "batch_id").drop("batch_id")
+
+
+def open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that a stopped job has counted and not emitted yet, read from the state in its checkpoint."""
+    folder = shared_dir(spark, "open")
+    stream = job.price_stream(*inputs.event_streams(spark, sf_dir), PARAMS, job.FINAL)
+    _run(spark, stream.updates.writeStream.outputMode(stream.output_mode).format("noop"), folder)
+    return job.open_windows(spark, f"{folder}/checkpoint")
+
+
 def refused_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads received and refused by the pricing job, as its progress reports them."""
     folder = shared_dir(spark, "refused")

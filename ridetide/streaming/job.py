@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from ridetide.functions.instants import to_millis
 from ridetide.operators.normalize import HEARTBEAT, RIDE, normalize, quarantine, union_events, with_event_time
 from ridetide.operators.windows import to_price_updates, zone_demand_supply
 from ridetide.params import PricingParams
@@ -118,6 +119,25 @@ def price_stream_of_json(
     )
 
 
+def open_windows(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """(zone_id, window_start, window_end, demand, supply) of the windows whose counts a job of a built-in mode
+    holds, after its last or a given micro-batch; the job may run, be stopped or have failed."""
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", batch_id)
+    state = reader.load(checkpoint)
+    # By position: the planner names the counts, and both alike.
+    key = F.col("key").cast("struct<zone_id: int, window: struct<start: timestamp, end: timestamp>>")
+    counts = F.col("value").cast("struct<demand: bigint, supply: bigint>")
+    return state.select(
+        key["zone_id"].alias("zone_id"),
+        to_millis(key["window"]["start"]).alias("window_start"),
+        to_millis(key["window"]["end"]).alias("window_end"),
+        counts["demand"].alias("demand"),
+        counts["supply"].alias("supply"),
+    )
+
+
 def refused_payloads(ride_requests: DataFrame, driver_heartbeats: DataFrame) -> DataFrame:
     """(value, kind, reason) of the payloads that the job leaves out, for a quarantine of their own."""
     return union_events(

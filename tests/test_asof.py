@@ -1,0 +1,88 @@
+"""As-of lookups against a search through all versions."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ridetide.operators.asof import as_of
+from ridetide.operators.latest import snapshot_as_of
+from ridetide.plans import inputs
+from ridetide.plans.catalog import QUERIES
+from ridetide.sources.seeds import SEED_ROWS
+
+
+def brute_force(requests, versions):
+    out = []
+    for number, zone, at in requests:
+        known = [v[1:] for v in versions if v[0] == zone and None not in (zone, at, v[1]) and v[1] <= at]
+        out.append((number, max(known)[1] if known else None))
+    return sorted(out)
+
+
+def looked_up(spark, requests, versions, cell_ms):
+    asked = spark.createDataFrame(requests, "number int, zone_id int, ts long")
+    known = spark.createDataFrame(versions, "zone_id int, begins long, price int")
+    found = as_of(asked, "zone_id", "ts", {"fact": (known, F.col("begins"), ["price"])}, cell_ms)
+    assert found.columns == ["number", "zone_id", "ts", "fact"]
+    return sorted((row["number"], row["fact"] and row["fact"]["price"]) for row in found.collect())
+
+
+@pytest.mark.parametrize("cell_ms", [1, 7, 50, 10_000])
+def test_equals_a_search(spark, cell_ms):
+    """Sparse and dense versions, cells without any, before 1970, ties, nulls and unknown zones."""
+    pick = random.Random(cell_ms)
+    versions = [(pick.choice([1, 1, 1, 2, 3, None]), pick.choice([pick.randint(-200, 600), None]), n) for n in range(120)]
+    versions += [(2, 100, 900), (2, 100, 901), (4, 590, 1)]
+    times = lambda: pick.choice([pick.randint(-300, 700), 100, 99, None])
+    requests = [(n, pick.choice([1, 1, 2, 3, 4, 5, None]), times()) for n in range(300)]
+    assert looked_up(spark, requests, versions, cell_ms) == brute_force(requests, versions)
+
+
+def test_without_versions_or_requests(spark):
+    assert looked_up(spark, [(1, 1, 5)], [], 10) == [(1, None)]
+    assert looked_up(spark, [], [(1, 1, 1)], 10) == []
+
+
+def test_several_facts_with_changes_at_different_times(spark):
+    asked = spark.createDataFrame([(1, t) for t in range(0, 100, 7)], "zone_id int, ts long")
+    prices = spark.createDataFrame([(1, t, t) for t in range(3, 100, 10)], "zone_id int, begins long, price long")
+    fares = spark.createDataFrame([(1, 20, "a"), (1, 60, "b")], "zone_id int, begins long, fare string")
+    facts = {"p": (prices, F.col("begins"), ["price"]), "f": (fares, F.col("begins"), ["fare"])}
+    for row in as_of(asked, "zone_id", "ts", facts, 15).collect():
+        assert (row["p"] and row["p"]["price"]) == max((t for t in range(3, 100, 10) if t <= row["ts"]), default=None)
+        assert (row["f"] and row["f"]["fare"]) == ("b" if row["ts"] >= 60 else "a" if row["ts"] >= 20 else None)
+
+
+def test_no_task_holds_a_zone(spark, sf_dir):
+    """Requests are exchanged by zone and cell; what is exchanged by zone alone has been combined by cell."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        plan = QUERIES["quotes_as_of"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    lines = [line.strip(" +-:*()0123456789") for line in plan.splitlines()]
+    by_zone = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(__key#" in line and "__cell" not in line.split("],")[0].split("ENSURE")[0]]
+    assert by_zone
+    for i in by_zone:
+        below = lines[i + 1 : i + 4]
+        assert any("Aggregate(keys=[__key#" in line and "__cell#" in line for line in below), below
+    # The side of the requests: by zone and by the start of their cell.
+    assert any("hashpartitioning(zone_id#" in line and "__at#" in line for line in lines)
+
+
+def test_seed_rows_survive_until_their_zone_is_priced(spark, sf_dir):
+    rows = QUERIES["snapshot_over_seed"](spark, sf_dir).collect()
+    seeded = {row["as_of"]: {r["zone_id"] for r in rows if r["as_of"] == row["as_of"] and r["updated_at"] == inputs.FIRST_MS} for row in rows}
+    counts = [len(seeded[at]) for at in sorted(seeded)]
+    assert counts[0] > counts[-1] and counts == sorted(counts, reverse=True)
+    assert set.union(*seeded.values()) <= {zone for zone, *_ in SEED_ROWS}
+
+
+def test_snapshot_rows_without_a_version_are_left_out(spark):
+    columns = "zone_id int, surge_multiplier decimal(4,2), demand long, supply long, ratio decimal(24,4), window_start timestamp, window_end timestamp, updated_at timestamp"
+    asked = spark.createDataFrame([(1, 5)], "zone_id int, at long")
+    assert snapshot_as_of(asked, spark.createDataFrame([], columns), "at", 10).collect() == []

@@ -59,19 +59,52 @@ def normalize(
     return read.select(*carry, F.inline(kept))
 
 
-def quarantine(raw: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """The payloads that ``normalize`` leaves out, with all their columns and a reason."""
-    fields, raw_value, names = F.col(_FIELDS), F.col(value), REQUIRED_FIELDS[kind]
+def _reason(kind: str, raw_value: Column) -> Column:
+    """Why a payload is refused; null if it is usable."""
+    fields, names = F.col(_FIELDS), REQUIRED_FIELDS[kind]
     reason = F.when(~payload.is_object(fields, raw_value), F.lit("unparsable"))
     for name in names:
         reason = reason.when(~payload.has_field(fields, raw_value, name), F.lit(f"missing {name}"))
     ts_event = payload.as_long(fields, "ts_event", raw_value)
-    reason = reason.when(~_in_range(ts_event), F.lit("ts_event out of range"))
-    judged = _parsed(raw, names, value).select(*raw.columns, reason.alias("reason"))
+    return reason.when(~_in_range(ts_event), F.lit("ts_event out of range"))
+
+
+def quarantine(raw: DataFrame, kind: str, value: str = "value") -> DataFrame:
+    """The payloads that ``normalize`` leaves out, with all their columns and a reason."""
+    reason = _reason(kind, F.col(value))
+    judged = _parsed(raw, REQUIRED_FIELDS[kind], value).select(*raw.columns, reason.alias("reason"))
     refused = F.when(F.col("reason").isNotNull(), F.array(F.struct("reason")))
     return judged.select(*raw.columns, F.inline(refused))
 
 
+# Outcomes of a payload, and what ``judge`` gives for one.
+EVENT, REFUSED = "event", "refused"
+JUDGED = "zone_id INT, ts_event BIGINT, status STRING, value STRING, reason STRING, kind STRING, outcome STRING"
+
+
+def judge(raw: DataFrame, kind: str, value: str = "value") -> DataFrame:
+    """Every payload, parsed once: as an event, or with its text and the reason why it is none."""
+    fields, raw_value = F.col(_FIELDS), F.col(value)
+    status = payload.as_text(fields, "status") if kind == HEARTBEAT else F.lit(None).cast("string")
+    read = _parsed(raw, REQUIRED_FIELDS[kind], value).select(
+        raw_value.alias("text"),
+        payload.as_int(fields, "zone_id", raw_value).alias("zone_id"),
+        payload.as_long(fields, "ts_event", raw_value).alias("ts_event"),
+        status.alias("status"),
+        _reason(kind, raw_value).alias("reason"),
+    )
+    usable = F.col("reason").isNull()
+    row = F.struct(
+        *[F.when(usable, F.col(name)).alias(name) for name in ("zone_id", "ts_event", "status")],
+        F.when(~usable, F.col("text")).alias("value"),
+        "reason",
+        F.lit(kind).alias("kind"),
+        F.when(usable, EVENT).otherwise(REFUSED).alias("outcome"),
+    )
+    # By a generator: what reads a column of the result must not pull the parsing apart.
+    return read.select(F.inline(F.array(row)))
+
+
 def check_contract(
     raw: DataFrame, contract: dict[str, Rule], value: str = "value", check_format: bool = True
 ) -> DataFrame:

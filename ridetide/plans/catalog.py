@@ -590,3 +590,15 @@ def stream_refused_counts(spark, sf_dir):
 @query
 def stream_quarantine(spark, sf_dir):
     return streams.quarantined(spark, sf_dir)
+
+
+@query
+def stream_ingested_updates(spark, sf_dir):
+    """Prices from payloads that were parsed once, with the refused ones stored in the same run."""
+    return streams.ingested_updates(spark, sf_dir)
+
+
+@query
+def stream_late_events(spark, sf_dir):
+    """How many events came after their window had been given up."""
+    return streams.late_events(spark, sf_dir)

@@ -247,12 +247,12 @@ def _closed(watermark: str) -> str:
     )
 
 
-def _sequence(fires: str, kept: str, delay_ms: int, rides_lag: int = 0, strict: bool = False) -> str:
+def _sequence(fires: str, kept: str, delay_ms: int, rides_lag: int = 0, strict: bool = False, late: bool = False) -> str:
     """Updates by micro-batch. ``kept``: when a row still counts; ``fires``: when a window is emitted.
 
     The watermark of a micro-batch comes from the slices before it; after the last slice the stream
     runs one more without data. A built-in aggregate drops rows by the watermark of the micro-batch
-    before (``before``), the exact mode by its own (``w``). ``fresh``: rows of this micro-batch; ``first``: the first micro-batch
+    before (``before``), the exact mode by its own (``w``). ``late``: only the number of dropped events. ``fresh``: rows of this micro-batch; ``first``: the first micro-batch
     whose watermark has reached the window's end.
     """
     slices, day = inputs.SLICES, inputs.DAY_MS
@@ -276,7 +276,7 @@ marks AS (SELECT batch, w, coalesce(lag(w) OVER (ORDER BY batch), -1) AS before
 kept AS (SELECT sl.slice, zone_id, window_start, CASE WHEN kind = 'RIDE' THEN 1 ELSE 0 END AS demand,
   CASE WHEN kind = 'HEARTBEAT' AND status = 'AVAILABLE' THEN 1 ELSE 0 END AS supply
   FROM sl JOIN marks ON marks.batch = sl.slice WHERE {kept.format(end=f"window_start + {W}", lateness=day)})
-SELECT CAST(batch AS BIGINT) AS batch, * EXCLUDE (batch) FROM ({_surged(_ratios(counts, W, "batch,"), "batch,")})"""
+""" + ("SELECT (SELECT count(*) FROM sl) - (SELECT count(*) FROM kept) AS late" if late else f"""SELECT CAST(batch AS BIGINT) AS batch, * EXCLUDE (batch) FROM ({_surged(_ratios(counts, W, "batch,"), "batch,")})""")
 
 
 def _fares(seed: int) -> str:
@@ -500,6 +500,8 @@ FROM judged q LEFT JOIN fares f ON f.zone_id = q.origin_zone_id WHERE q.reject_r
     "stream_exact_sequence": _sequence(
         "window_end <= w AND (fresh > 0 OR window_end > before)", "{end} + {lateness} > w", inputs.DAY_MS
     ),
+    "stream_late_events": _sequence("true", "{end} + {lateness} > w", inputs.DAY_MS, late=True),
+    "stream_ingested_updates": _with("ev damaged_ev", _updates("damaged_ev", W)),
     "stream_live_sequence": _sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2, strict=True),
     "stream_live_sequence_union": _sequence("fresh > 0", "{end} > before", 2 * inputs.DAY_MS, 2),
     "stream_quotes_live": _QUOTES_LIVE,

@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ridetide.operators.latest import last_by, snapshot_of_history
-from ridetide.operators.normalize import HEARTBEAT, RIDE, decode_price_updates, quarantine, to_table_types
+from ridetide.operators.normalize import HEARTBEAT, RIDE, decode_price_updates, to_table_types
 from ridetide.operators.pricing import quotes
 from ridetide.operators.windows import price_updates
 from ridetide.params import PricingParams
@@ -22,6 +22,7 @@ from ridetide.sources.seeds import seed_snapshot
 from ridetide.sources.streams import Files, publish, raw_batch, raw_stream
 from ridetide.streaming import job, live
 from ridetide.streaming.consumer import consume, store_updates
+from ridetide.streaming.losses import LATE_METRIC, Losses
 from ridetide.streaming.store import UpdateLog
 
 PARAMS = PricingParams(window_ms=inputs.WINDOW_MS)
@@ -139,14 +140,15 @@ def play(
     writer_of: Callable[..., DataStreamWriter],
     slices: int = inputs.SLICES,
     partitions: int | None = None,
-) -> list[int | None]:
+) -> tuple[list[int | None], StreamingQuery]:
     """Streams whose micro-batches are the slices of tables (column ``slice``), in order; the last query.
 
     The tables are dealt to a folder per slice in one parallel job each. Then slice after slice is added
     to the folders of the streams, and the query goes on from its checkpoint until it has read it: one
     micro-batch, however many files it has. Only after the last slice it runs on without data.
 
-    ``partitions`` of the state, where its keys are a few; else as many as the session says. Returns the number of the last micro-batch after each slice; slices without rows have none of their own.
+    ``partitions`` of the state, where its keys are a few; else as many as the session says. Returns the number of the last micro-batch after each slice, as slices without rows have none of their own, and
+    the last query.
     """
     done: list[int | None] = []
     for name, rows in sliced.items():
@@ -165,10 +167,10 @@ def play(
         query.awaitTermination()
         with_rows = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
         done.append(with_rows[-1] if with_rows else done[-1] if done else None)
-    return done
+    return done, query
 
 
-def _fired(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int) -> Files:
+def _fired(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int) -> tuple[Files, StreamingQuery]:
     """The updates that a job publishes over slices of the events, one per micro-batch."""
     folder = shared_dir(spark, f"sequence-{mode}")
     events = inputs.sliced_events(spark, sf_dir, rides_lag)
@@ -179,19 +181,19 @@ def _fired(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_
         stream = job.price_stream(rides, beats, SEQUENCE_PARAMS, mode, idle_policy)
         return publish(stream.updates, sink, stream.output_mode, run=0)
 
-    play(spark, folder, sliced, writer)
-    return sink
+    _, query = play(spark, folder, sliced, writer)
+    return sink, query
 
 
 def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: str, rides_lag: int = 0) -> DataFrame:
     """Every update that a job emits over slices of the events, with the number of its micro-batch."""
-    sink = _fired(spark, sf_dir, mode, idle_policy, rides_lag)
+    sink, _ = _fired(spark, sf_dir, mode, idle_policy, rides_lag)
     return decode_price_updates(raw_batch(spark, sink), carry=("seq",)).withColumnRenamed("seq", "batch")
 
 
 def recent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest windows of each zone, held as state, from updates of which many fire again late."""
-    sink = _fired(spark, sf_dir, job.LIVE, job.STRICT, 2)
+    sink, _ = _fired(spark, sf_dir, job.LIVE, job.STRICT, 2)
     folder = shared_dir(spark, "recent")
     raw = raw_stream(spark, Files(sink.path, {"maxFilesPerTrigger": "25"}))
     changes = live.recent_stream(decode_price_updates(raw, carry=("seq",)))
@@ -235,7 +237,7 @@ def seeded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         changes = live.snapshot_stream(updates, seed, by_event_time=True)
         return changes.writeStream.outputMode("update").format("noop")
 
-    batches = play(spark, folder, {"updates": rows}, writer, inputs.SEED_SLICES, ZONE_PARTITIONS)
+    batches, _ = play(spark, folder, {"updates": rows}, writer, inputs.SEED_SLICES, ZONE_PARTITIONS)
     after = [
         (seed if batch is None else live.snapshot_table(spark, f"{folder}/checkpoint", batch)).select(
             F.lit(number).alias("slice"), "*"
@@ -272,34 +274,60 @@ def open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.open_windows(spark, f"{folder}/checkpoint")
 
 
+def _damaged(spark: SparkSession, sf_dir: str, folder: str) -> list[Files]:
+    """Files of payloads in all conditions, of both kinds."""
+    sources = [Files(f"{folder}/{kind}") for kind in (RIDE, HEARTBEAT)]
+    for source, payloads in zip(sources, inputs.damaged_payloads(spark, sf_dir), strict=True):
+        payloads.select("value").write.mode("overwrite").text(source.path)
+    return sources
+
+
 def refused_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads received and refused by the pricing job, as its progress reports them."""
+    """Payloads received and refused by the pricing job, added up over its micro-batches."""
     folder = shared_dir(spark, "refused")
-    raw = []
-    for kind, payloads in zip((RIDE, HEARTBEAT), inputs.damaged_payloads(spark, sf_dir), strict=True):
-        source = Files(f"{folder}/{kind}")
-        payloads.select("value").write.mode("overwrite").text(source.path)
-        raw.append(raw_stream(spark, source).select("value"))
+    raw = [raw_stream(spark, source).select("value") for source in _damaged(spark, sf_dir, folder)]
     stream = job.price_stream_of_json(*raw, PARAMS)
     sink = publish(stream.updates, Files(f"{folder}/price-updates"), stream.output_mode)
-    query = job.start(spark, sink, f"{folder}/checkpoint")
-    query.awaitTermination()
-    counts = [(name, *numbers) for name, numbers in job.refused_counts(query).items()]
+    with Losses(spark) as losses:
+        query = job.start(spark, sink, f"{folder}/checkpoint")
+        query.awaitTermination()
+        totals = losses.of(query)
+    counts = [(name, totals[name]["received"], totals[name]["refused"]) for name in (job.RIDES_METRIC, job.HEARTBEATS_METRIC)]
     return spark.createDataFrame(counts, "stream STRING, received BIGINT, refused BIGINT")
 
 
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that the exact mode drops over slices of the events, of which some come three slices late."""
+    with Losses(spark) as losses:
+        _, query = _fired(spark, sf_dir, job.EXACT, job.UNION, 0)
+        late = losses.of(query)[LATE_METRIC]["events"]
+    return spark.createDataFrame([(late,)], "late BIGINT")
+
+
+def _ingested(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Damaged payloads of both kinds, each parsed once, stored as events and as refused."""
+    folder = shared_dir(spark, name)
+    for kind, source in zip((RIDE, HEARTBEAT), _damaged(spark, sf_dir, folder), strict=True):
+        _run(spark, job.ingest(raw_stream(spark, source), kind, f"{folder}/ingested"), f"{folder}/{kind}-job")
+    return folder
+
+
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refused payloads of both raw streams, stored with their reason, counted by kind and reason."""
-    folder = shared_dir(spark, "quarantine")
-    refused = f"{folder}/refused"
-    for kind, raw in zip((RIDE, HEARTBEAT), inputs.damaged_payloads(spark, sf_dir), strict=True):
-        source = Files(f"{folder}/{kind}")
-        raw.select("value").write.mode("overwrite").text(source.path)
-        rows = quarantine(raw_stream(spark, source).select("value"), kind)
-        sink = rows.writeStream.format("parquet").option("path", f"{refused}/kind={kind}")
-        _run(spark, sink, f"{folder}/{kind}-job")
-    stored = spark.read.schema("value STRING, reason STRING, kind STRING").parquet(refused)
-    return stored.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("payloads"))
+    folder = _ingested(spark, sf_dir, "quarantine")
+    rows = [job.refused_of(spark, f"{folder}/ingested", kind) for kind in (RIDE, HEARTBEAT)]
+    stored = rows[0].unionByName(rows[1])
+    return stored.groupBy("kind", "reason").agg(F.count("value").alias("payloads"))
+
+
+def ingested_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of the events that the same run stored beside the refused payloads."""
+    folder = _ingested(spark, sf_dir, "ingested")
+    events = [job.events_of(spark, f"{folder}/ingested", kind) for kind in (RIDE, HEARTBEAT)]
+    stream = job.price_stream(*events, PARAMS)
+    sink = Files(f"{folder}/price-updates")
+    _run(spark, publish(stream.updates, sink, stream.output_mode), folder)
+    return _last_updates(spark, sink)
 
 
 def streamed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

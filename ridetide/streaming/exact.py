@@ -27,8 +27,9 @@ from ridetide.operators.windows import is_demand, is_supply
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _KEYS = ["zone_id", "window_start"]
-_PARTIAL = "zone_id INT, window_start BIGINT, demand BIGINT, supply BIGINT"
-_FIRED = "zone_id INT, window_start BIGINT, window_end BIGINT, demand BIGINT, supply BIGINT"
+_COUNTS = ["demand", "supply", "events"]
+_PARTIAL = "zone_id INT, window_start BIGINT, demand BIGINT, supply BIGINT, events BIGINT"
+_FIRED = "zone_id INT, window_start BIGINT, window_end BIGINT, demand BIGINT, supply BIGINT, late BIGINT"
 
 
 # A task adds up its events whenever it holds this many rows, and passes the sums on when they are
@@ -38,8 +39,8 @@ _HELD_ROWS = 200_000
 
 def _sums(tables: list[pa.Table]) -> pa.Table:
     rows = pa.concat_tables(tables, promote_options="default")
-    summed = rows.group_by(_KEYS).aggregate([("demand", "sum"), ("supply", "sum")])
-    return summed.select([*_KEYS, "demand_sum", "supply_sum"]).rename_columns(rows.schema.names)
+    summed = rows.group_by(_KEYS).aggregate([(name, "sum") for name in _COUNTS])
+    return summed.select([*_KEYS, *[f"{name}_sum" for name in _COUNTS]]).rename_columns(rows.schema.names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +76,8 @@ class _WindowFiring(StatefulProcessor):
         end = start + self._window_ms
         watermark = timerValues.getCurrentWatermarkInMs()
         if end + self._lateness_ms <= watermark:
+            late = sum(row.events for row in rows)
+            yield Row(zone_id=zone, window_start=start, window_end=end, demand=0, supply=0, late=late)
             return
         held = self._counts.get()
         demand, supply, fired = held or (0, 0, False)
@@ -87,7 +90,7 @@ class _WindowFiring(StatefulProcessor):
             # A timer runs once the watermark is greater than its time; one at a time.
             self._handle.registerTimer((end + self._lateness_ms if fire else end) - 1)
         if fire:
-            yield Row(zone_id=zone, window_start=start, window_end=end, demand=demand, supply=supply)
+            yield Row(zone_id=zone, window_start=start, window_end=end, demand=demand, supply=supply, late=0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self._counts.get()
@@ -102,14 +105,17 @@ class _WindowFiring(StatefulProcessor):
             self._counts.update((demand, supply, True))
             self._handle.registerTimer(end + self._lateness_ms - 1)
         if not fired:
-            yield Row(zone_id=zone, window_start=start, window_end=end, demand=demand, supply=supply)
+            yield Row(zone_id=zone, window_start=start, window_end=end, demand=demand, supply=supply, late=0)
 
     def close(self) -> None:
         pass
 
 
 def price_windows_exact(events: DataFrame, window_ms: int, lateness_ms: int) -> DataFrame:
-    """(zone_id, window_start, window_end, demand, supply) in firing order.
+    """(zone_id, window_start, window_end, demand, supply, late) in firing order.
+
+    A row with ``late`` above 0 is no firing: it says how many events of a micro-batch came after the window was
+    given up.
 
     ``events`` is a streaming frame whose watermark delay is the out-of-orderness alone. The
     session that starts the query needs ``ridetide.session.STREAM_CONF``. Use output mode update.
@@ -119,6 +125,7 @@ def price_windows_exact(events: DataFrame, window_ms: int, lateness_ms: int) ->
         window_start_ms(F.col("ts_event"), window_ms).alias("window_start"),
         is_demand().cast("bigint").alias("demand"),
         is_supply().cast("bigint").alias("supply"),
+        F.lit(1).cast("bigint").alias("events"),
     )
     return (
         flags.mapInArrow(_add_up, _PARTIAL)

@@ -11,11 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ridetide.functions.instants import to_millis
-from ridetide.operators.normalize import HEARTBEAT, RIDE, normalize, quarantine, union_events, with_event_time
+from ridetide.operators.normalize import (
+    EVENT,
+    HEARTBEAT,
+    JUDGED,
+    REFUSED,
+    RIDE,
+    judge,
+    normalize,
+    quarantine,
+    union_events,
+    with_event_time,
+)
 from ridetide.operators.windows import to_price_updates, zone_demand_supply
 from ridetide.params import PricingParams
+from ridetide.schemas import NORMALIZED_EVENT, column_names
 from ridetide.session import STREAM_CONF, session_conf
 from ridetide.streaming.exact import price_windows_exact
+from ridetide.streaming.losses import LATE_METRIC
 
 LIVE, FINAL, EXACT = "live", "final", "exact"
 STRICT, UNION, TICKS = "strict", "union", "ticks"
@@ -85,12 +98,14 @@ def price_stream(
 
     ``live``: a row whenever counts change, until the window is past its lateness; converges.
     ``final``: one row per window, when it is past its lateness.
-    ``exact``: on time, then one row per late micro-batch; see ``streaming/exact.py``.
+    ``exact``: on time, then one row per late micro-batch; see ``streaming/exact.py``. Events that come too late
+    are counted as the observed metric ``late``.
     """
     if mode == EXACT:
         events = watermarked_events(rides, heartbeats, params.out_of_orderness_ms, idle_policy)
         fired = price_windows_exact(events, params.window_ms, params.lateness_ms)
-        return PriceStream(to_price_updates(fired), "update")
+        told = fired.observe(LATE_METRIC, F.coalesce(F.sum("late"), F.lit(0)).alias("events"))
+        return PriceStream(to_price_updates(told.where("late = 0")), "update")
     if mode not in (LIVE, FINAL):
         raise ValueError(f"unknown mode: {mode}")
     events = watermarked_events(rides, heartbeats, params.retention_ms, idle_policy)
@@ -108,7 +123,8 @@ def price_stream_of_json(
     """As ``price_stream``, from raw payloads; unusable ones are left out.
 
     Each payload is parsed once. The progress of the query has the payloads received and refused
-    as observed metrics ``rides`` and ``heartbeats``; ``refused_payloads`` keeps them.
+    as observed metrics ``rides`` and ``heartbeats``, which ``losses.Losses`` adds up; ``refused_payloads`` and
+    ``ingest`` keep the payloads themselves.
     """
     return price_stream(
         normalize(ride_requests, RIDE, counted=RIDES_METRIC),
@@ -148,14 +164,27 @@ def refused_payloads(ride_requests: DataFrame, driver_heartbeats: DataFrame) ->
     )
 
 
-def refused_counts(query: StreamingQuery) -> dict[str, tuple[int, int]]:
-    """Metric -> (received, refused), over the progress that the query still holds."""
-    counts = {RIDES_METRIC: (0, 0), HEARTBEATS_METRIC: (0, 0)}
-    for progress in query.recentProgress:
-        for name, row in progress["observedMetrics"].items():
-            received, refused = counts[name]
-            counts[name] = received + row["received"], refused + row["refused"]
-    return counts
+def ingest(raw: DataFrame, kind: str, folder: str) -> DataStreamWriter:
+    """Writer that parses each payload of a stream once and stores it either as an event or as refused.
+
+    One table, partitioned by kind and outcome, written by the file sink, which stores every micro-batch
+    exactly once. ``events_of`` reads it on as a stream, ``refused_of`` as a table.
+    """
+    return (
+        judge(raw, kind).writeStream.partitionBy("kind", "outcome").format("parquet").option("path", f"{folder}/{kind}")
+    )
+
+
+def events_of(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """The normalised events that ``ingest`` stored, as a stream."""
+    rows = spark.readStream.schema(JUDGED).parquet(f"{folder}/{kind}")
+    return rows.where(F.col("outcome") == EVENT).select(*column_names(NORMALIZED_EVENT))
+
+
+def refused_of(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(value, kind, reason) of the payloads that ``ingest`` refused."""
+    rows = spark.read.schema(JUDGED).parquet(f"{folder}/{kind}")
+    return rows.where(F.col("outcome") == REFUSED).select("value", "kind", "reason")
 
 
 def supervise(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridetide.functions.fare import FARE_TYPE, quoted_fare, reference_fare
+from ridetide.functions.fare import FARE_TYPE, quoted_fare, with_reference_fare
 from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis, instant, to_millis
 from ridetide.operators.asof import as_of
 from ridetide.operators.lookup import zone_row
@@ -61,9 +61,9 @@ def zone_prices(
     """
     accepted, _ = guard_zones(requests, zones)
     unknown = F.lit(None).cast("double")
-    fare = quoted_fare(reference_fare(F.col("zone_id"), unknown, unknown), F.col("snap.surge_multiplier"))
+    fare = quoted_fare(F.col("reference_fare"), F.col("snap.surge_multiplier"))
     return (
-        _with_lookups(accepted, snapshot, fares, zones)
+        with_reference_fare(_with_lookups(accepted, snapshot, fares, zones), unknown, unknown)
         .withColumns(
             {
                 **_snapshot_or_default(),
@@ -94,11 +94,10 @@ def quotes(
 def answered(requested: DataFrame, updated_at: Column, carry: tuple[str, ...]) -> DataFrame:
     """Valid requests with their ``snap`` and ``fare`` rows, or nulls -> quotes."""
     surge = F.coalesce(F.col("snap.surge_multiplier"), F.lit("1").cast(SURGE_TYPE))
-    reference = reference_fare(
-        F.col("zone_id"), F.col("estimated_distance_km"), F.col("estimated_duration_min")
-    )
-    priced = {**_snapshot_or_default(), "quoted_fare": quoted_fare(reference, surge), "updated_at": updated_at}
-    return requested.withColumns(priced).select(*carry, *RESPONSE_COLUMNS)
+    fare = quoted_fare(F.col("reference_fare"), surge)
+    fared = with_reference_fare(requested, F.col("estimated_distance_km"), F.col("estimated_duration_min"))
+    priced = {**_snapshot_or_default(), "quoted_fare": fare, "updated_at": updated_at}
+    return fared.withColumns(priced).select(*carry, *RESPONSE_COLUMNS)
 
 
 PRICE_FIELDS = ("surge_multiplier", "demand", "supply", "ratio")

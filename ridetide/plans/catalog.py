@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridetide.functions import contracts, enums, wire
-from ridetide.functions.fare import reference_fare
+from ridetide.functions.fare import with_reference_fare
 from ridetide.functions.instants import to_millis
 from ridetide.functions.wire import zone_key
 from ridetide.operators import feeds, history, latest, normalize, pricing, stats, validate, windows
@@ -422,8 +422,9 @@ def reference_fares(spark, sf_dir):
         "origin_zone_id", "zone_id"
     )
     fares = zone_row(inputs.sample_fares(spark), (1, inputs.REQUEST_ZONES), "updated_at", "fare", "zone_id")
-    fare = reference_fare(F.col("zone_id"), F.col("estimated_distance_km"), F.col("estimated_duration_min"))
-    return requests.join(fares, "zone_id", "left").select("request_id", fare.alias("reference_fare"))
+    joined = requests.join(fares, "zone_id", "left")
+    fared = with_reference_fare(joined, F.col("estimated_distance_km"), F.col("estimated_duration_min"))
+    return fared.select("request_id", "reference_fare")
 
 
 @query

@@ -7,6 +7,8 @@ of the payload looked up.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,19 +61,21 @@ def as_text(fields: Column, name: str) -> Column:
 def as_int(fields: Column, name: str, value: Column) -> Column:
     """Whole number from a number or text, else 0; fractions are cut.
 
-    A whole number beyond 32 bits keeps its low 32 bits, a fractional one the nearest bound.
+    A whole number beyond 32 bits, of any length, keeps its low 32 bits, a fractional one the nearest bound.
     """
     text = fields[name]
     low_bits = (F.pmod(_whole(text), F.lit(2**32)) + F.lit(2**31)) % F.lit(2**32) - F.lit(2**31)
     return F.coalesce(
-        low_bits, _cut(text, INT_MIN, INT_MAX), _bare_true(text, name, value), F.lit(0)
+        low_bits, _low_bits(text, 32), _cut(text, INT_MIN, INT_MAX), _bare_true(text, name, value), F.lit(0)
     ).cast("int")
 
 
 def as_long(fields: Column, name: str, value: Column) -> Column:
     """As ``as_int`` with 64 bits."""
     text = fields[name]
-    return F.coalesce(_whole(text), _cut(text, LONG_MIN, LONG_MAX), _bare_true(text, name, value), F.lit(0))
+    return F.coalesce(
+        _whole(text), _low_bits(text, 64), _cut(text, LONG_MIN, LONG_MAX), _bare_true(text, name, value), F.lit(0)
+    )
 
 
 def as_double(fields: Column, name: str, value: Column) -> Column:
@@ -87,6 +91,32 @@ def _whole(text: Column) -> Column:
     return F.when(text.rlike(_WHOLE_SHAPE), text.try_cast("bigint"))
 
 
+_LONG_SHAPE = "^\\s*[+-]?[0-9]{19,}\\s*$"
+_GROUP = 9
+
+
+def _low_bits(text: Column, bits: int) -> Column:
+    """The low bits, as a signed number, of a whole number of any length: its digits are read from the left in
+    groups, and what stands before a group counts modulo 2**bits."""
+    wide = "decimal(38,0)"
+    modulus = F.lit(Decimal(2**bits)).cast(wide)
+    digits = F.regexp_extract(text, "([0-9]+)", 1)
+    groups = F.ceil(F.length(digits) / F.lit(_GROUP)).cast("int")
+    padded = F.lpad(digits, groups * _GROUP, "0")
+    parts = F.transform(
+        F.sequence(F.lit(0), groups - 1), lambda n: F.substring(padded, n * F.lit(_GROUP) + 1, F.lit(_GROUP)).cast(wide)
+    )
+
+    def add(before: Column, part: Column) -> Column:
+        return ((before.cast("decimal(20,0)") * F.lit(Decimal(10**_GROUP)) + part) % modulus).cast(wide)
+
+    size = F.aggregate(parts, F.lit(Decimal(0)).cast(wide), add)
+    signed = F.when(text.rlike("^\\s*-"), -size).otherwise(size)
+    half = F.lit(Decimal(2 ** (bits - 1))).cast(wide)
+    low = F.pmod((signed + half).cast(wide), modulus) - half
+    return F.when(text.rlike(_LONG_SHAPE), low.cast("bigint"))
+
+
 def _cut(text: Column, low: int, high: int) -> Column:
     real = F.when(text.rlike(_REAL_SHAPE), text.try_cast("double"))
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridetide.functions import payload
-from ridetide.functions.contracts import Rule, contract_violations, field_readings, parse_document
+from ridetide.functions.contracts import Contract, contract_violations, field_readings, parse_document
 from ridetide.functions.instants import RATIO_TYPE, SURGE_TYPE, from_millis, table_decimal
 from ridetide.schemas import PRICE_UPDATE_FIELDS
 
@@ -106,11 +106,11 @@ def judge(raw: DataFrame, kind: str, value: str = "value") -> DataFrame:
 
 
 def check_contract(
-    raw: DataFrame, contract: dict[str, Rule], value: str = "value", check_format: bool = True
+    raw: DataFrame, contract: Contract, value: str = "value", check_format: bool = True
 ) -> DataFrame:
     """Add ``violations ARRAY<STRING>``; opt-in, drops nothing."""
     document = F.col("__document")
-    parts = {name: field_readings(document, name, rule) for name, rule in contract.items()}
+    parts = {name: field_readings(document, name, rule) for name, rule in contract.fields.items()}
     read = raw.withColumn("__document", parse_document(F.col(value))).withColumns(
         {f"__{name}_{part}": column for name, columns in parts.items() for part, column in columns.items()}
     )

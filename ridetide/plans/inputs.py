@@ -214,7 +214,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def damaged_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Payloads in all conditions, by ``event_id % 7``: 0 whole, 1 cut off, 2 in an array,
-    3 without zone, 4 with an unreadable zone, 5 with a quoted fractional zone, 6 without time.
+    3 without zone, 4 with an unreadable zone, 5 with a quoted fractional zone, 6 without time. Of the whole
+    ones a third has a zone of 20 and a third one of 40 digits, whose low 32 bits are the zone.
     """
     case = F.col("event_id") % 7
 
@@ -225,8 +226,13 @@ def damaged_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         plain = F.to_json(_as_struct({**fields, "zone_id": F.when(case != 3, zone), "ts_event": time}))
         text = F.when(case == 4, "x").otherwise(F.concat(F.lit(" "), zone.cast("string"), F.lit(".9 ")))
         quoted = F.to_json(_as_struct({**fields, "zone_id": text}))
+        of_three = F.col("event_id") % 21
+        # Both are multiples of 2**32, and end in two zeros: the zone takes their place.
+        head = F.when(of_three == 7, str(2**32 * 25 * 10**8)[:-2]).when(of_three == 14, str(10**39)[:-2])
+        long = F.concat(F.lit('"zone_id":'), head, F.lpad(zone.cast("string"), 2, "0"))
         return (
-            F.when(case.isin(4, 5), quoted)
+            F.when(head.isNotNull(), F.replace(plain, F.concat(F.lit('"zone_id":'), zone.cast("string")), long))
+            .when(case.isin(4, 5), quoted)
             .when(case == 1, F.rtrim(plain, F.lit("}")))
             .when(case == 2, F.concat(F.lit("["), plain, F.lit("]")))
             .otherwise(plain)

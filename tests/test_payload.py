@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ridetide.functions import contracts, enums
+from ridetide.functions import contracts, enums, payload
 from ridetide.functions.wire import price_update_json, zone_key
 from ridetide.operators.normalize import (
     HEARTBEAT,
@@ -37,6 +37,13 @@ ZONES = {
     "false": 0,
     "4294967303": 7,
     "-4294967289": 7,
+    "18446744073709551623": 7,
+    "-18446744073709551609": 7,
+    '"18446744073709551623"': 7,
+    "9999999999999999999": (9999999999999999999 + 2**31) % 2**32 - 2**31,
+    str(10**39 + 7): 7,
+    str(-(10**39) - 7): -7,
+    str(10**45 + 2**31): -(2**31),
     "1e12": 2147483647,
     "-1e12": -2147483648,
 }
@@ -166,6 +173,66 @@ def test_contract_rules(spark):
     assert {r.value: r.violations for r in rows} == cases
 
 
+def test_long_numbers_keep_their_low_64_bits(spark):
+    times = [2**63, 2**64 + 5, -(2**64) - 5, 10**80 + 3, -(2**63) - 1, 12345678901234567890123]
+    values = [f'{{"zone_id":1,"ts_event":{time}}}' for time in times]
+    fields = payload.parse_object(F.col("value"), ("ts_event",))
+    got = raw(spark, values).select(payload.as_long(fields, "ts_event", F.col("value"))).collect()
+    assert [row[0] for row in got] == [(time + 2**63) % 2**64 - 2**63 for time in times]
+
+
+FOURTH = """{"title": "A refund", "type": "object", "properties": {
+  "refund_id": {"type": "string", "pattern": "^R[0-9]+", "minLength": 3, "maxLength": 5},
+  "cents": {"type": "integer", "exclusiveMinimum": 0, "maximum": 900, "multipleOf": 5},
+  "share": {"type": ["number", "null"], "minimum": 0, "exclusiveMaximum": 1},
+  "level": {"type": "integer", "enum": [1, 2, 5]},
+  "kind": {"const": "full", "type": "string"},
+  "open": {"type": "boolean"}, "notes": {"type": "array"}, "by": {"type": "object"}},
+  "required": ["refund_id", "cents"]}"""
+
+
+def test_a_contract_compiled_from_a_schema_text(spark):
+    good = {"refund_id": "R12", "cents": 5}
+    cases = {
+        json.dumps(good): [],
+        json.dumps({**good, "share": None, "level": 5, "kind": "full", "open": False, "notes": [1], "by": {}, "more": 1}): [],
+        json.dumps({**good, "refund_id": "xR12"}): ["refund_id:pattern"],
+        json.dumps({**good, "refund_id": "R1"}): ["refund_id:minLength"],
+        json.dumps({**good, "refund_id": "R12345"}): ["refund_id:maxLength"],
+        json.dumps({**good, "cents": 0}): ["cents:exclusiveMinimum"],
+        json.dumps({**good, "cents": 901}): ["cents:maximum"],
+        json.dumps({**good, "cents": 7}): ["cents:multipleOf"],
+        json.dumps({**good, "share": 1}): ["share:exclusiveMaximum"],
+        json.dumps({**good, "share": -0.5}): ["share:minimum"],
+        json.dumps({**good, "share": "1"}): ["share:type"],
+        json.dumps({**good, "level": 3}): ["level:enum"],
+        json.dumps({**good, "kind": "part"}): ["kind:enum"],
+        json.dumps({**good, "open": 1, "notes": {}, "by": []}): ["by:type", "notes:type", "open:type"],
+        "{}": ["cents:required", "refund_id:required"],
+    }
+    rows = check_contract(raw(spark, cases), contracts.compile_schema(FOURTH)).collect()
+    assert {r.value: r.violations for r in rows} == cases
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [
+        {"type": "array"},
+        {"type": "object", "patternProperties": {}},
+        {"type": "object", "required": ["a"]},
+        {"type": "object", "additionalProperties": {"type": "string"}},
+        {"type": "object", "properties": {"a": {}}},
+        {"type": "object", "properties": {"a": {"type": ["string", "number"]}}},
+        {"type": "object", "properties": {"a": {"type": "string", "minimum": 1}}},
+        {"type": "object", "properties": {"a": {"type": "integer", "enum": ["x"]}}},
+        {"type": "object", "properties": {"a": {"type": "string", "format": "date"}}},
+    ],
+)
+def test_what_cannot_be_checked_is_no_contract(schema):
+    with pytest.raises(ValueError):
+        contracts.compile_schema(schema)
+
+
 def test_price_contract_flags_surge_above_three(spark):
     updates = spark.createDataFrame([UPDATE], PRICE_UPDATE).select(price_update_json().alias("value"))
     assert check_contract(updates, contracts.PRICE_UPDATE).first().violations == ["surge_multiplier:maximum"]

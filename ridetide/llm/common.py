@@ -35,6 +35,23 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These column names, each with as many ``_`` after it as it takes to be none of the frame's own."""
+    taken = {name.lower() for name in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def read_texts(column: pa.Array) -> list[str | None]:
+    """Texts of a string column; bytes that are no UTF-8 are read as replacement characters."""
+    raw = column.cast(pa.large_binary()).to_pylist()
+    return [None if text is None else text.decode("utf-8", "replace") for text in raw]
+
+
 def text_key() -> Column:
     """A hash of the text, null as empty: with the doc_id it names a document."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -95,14 +112,16 @@ def sifted(df: DataFrame, bitmap: np.ndarray, marked: bool) -> DataFrame:
     these rows to shuffle.
     """
 
+    (name,) = fresh(df, "__place")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch["__place"].to_numpy()
+            place = batch[name].to_numpy()
             bits = bitmap[place >> 5] >> (place & 31).astype(np.uint32) & 1
-            yield batch.drop_columns(["__place"]).filter(pa.array((bits == 1) == marked))
+            yield batch.drop_columns([name]).filter(pa.array((bits == 1) == marked))
 
     ship_package(df.sparkSession)
-    return df.withColumn("__place", _place()).mapInArrow(run, df.schema)
+    return df.withColumn(name, _place()).mapInArrow(run, df.schema)
 
 
 @contextmanager

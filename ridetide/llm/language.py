@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import id_remainder, ship_package, small_batches, table
+from ridetide.llm.common import id_remainder, read_texts, ship_package, small_batches, table
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -66,7 +66,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.clear()
 
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for lang, text in zip(batch["lang"].to_pylist(), read_texts(batch["text"]), strict=True):
             own = grams(text)
             found.setdefault(lang, []).append(own)
             held += len(own)
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, profiles: Profiles, size: int = PROFILE) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, size)
         for batch in batches:
-            languages, scores = judged(batch["text"].to_pylist(), ranker)
+            languages, scores = judged(read_texts(batch["text"]), ranker)
             others = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays(
                 [*others.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
@@ -181,13 +181,18 @@ def identified(docs: DataFrame, modulus: int = 4, held_remainder: int = 2) -> Da
 
 def in_known_language(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """The documents whose language can be told, in the columns given: rejected are ``und`` and what is
-    far from every profile."""
+    far from every profile.
+
+    Null and empty texts, and texts without a letter, are rejected; with no ``lang`` to learn from, all are. Rows
+    are judged one by one, repeated ones and those without an id too, and kept with all their columns, whatever
+    their names. Bytes that are no UTF-8 are read as replacement characters and kept as they are. No documents give
+    no rows."""
     profiles = learn(docs.select("text", "lang"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, size)
         for batch in batches:
-            languages, scores = judged(batch["text"].to_pylist(), ranker)
+            languages, scores = judged(read_texts(batch["text"]), ranker)
             known = [lang != UNKNOWN and score >= 1 - FARTHEST for lang, score in zip(languages, scores, strict=True)]
             yield batch.filter(pa.array(known, pa.bool_()))
 

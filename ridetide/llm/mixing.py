@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridetide.llm.common import WORD, ranked, ship_package, table, text_key, written
@@ -245,8 +245,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     )
 
 
+def _key_of(text: Column) -> Column:
+    """As ``text_key``, of a text that lies elsewhere."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The documents as often as the mix takes them, in the columns given."""
+    """The documents as often as the mix takes them, in the columns given, whatever their names.
+
+    Rows of one id and text are told apart by their other columns, and if these agree too, which of them is
+    which is all the same; columns of maps tell nothing apart.
+    """
     amount = mix(docs, weights, share, seed)
     # Rows of one id and text are told apart by a number, which of them is which being all the same.
     key = ["doc_id", "text_key"]
@@ -256,15 +265,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("times"))).alias("__nth"),
         F.col("times").alias("__times"),
     ).where("__times > 0")
-    own = Window.partitionBy("doc_id", "__text_key").orderBy(*(c for c in ("source",) if c in docs.columns))
-    given = docs.withColumn("__text_key", text_key()).withColumn("__row", F.row_number().over(own))
-    same = (
-        given["doc_id"].cast("long").eqNullSafe(numbered["__doc_id"])
-        & (given["__text_key"] == numbered["__key"])
-        & (given["__row"] == numbered["__nth"])
-    )
-    taken = given.join(numbered, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times")))
-    return taken.select(*docs.columns)
+    given = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("given"))
+    others = [f"given.`{f.name}`" for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    told = given.withColumn("order", F.xxhash64(*[F.col(name) for name in others]))
+    keyed = told.withColumn("key", _key_of(F.col("given.text"))).withColumn("id", F.col("given.doc_id").cast("long"))
+    order = [F.col("given.source")] if "source" in docs.columns else []
+    own = Window.partitionBy("id", "key").orderBy(*order, "order")
+    rows = keyed.withColumn("row", F.row_number().over(own)).select("given", "id", "key", "row")
+    same = rows["id"].eqNullSafe(numbered["__doc_id"]) & (rows["key"] == numbered["__key"]) & (rows["row"] == numbered["__nth"])
+    taken = rows.join(numbered, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "__times")))
+    return taken.select("given.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridetide.llm import cutting
-from ridetide.llm.common import ranked, small_batches, table, written
+from ridetide.llm.common import ranked, read_texts, small_batches, table, written
 
 SEQUENCE = 1024
 END = 0
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER) ->
         encode = encoder(tokenizer).ids
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), read_texts(batch["text"]), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER) -> D
     doc_tokens, sequence_id, offset. The histogram of piece lengths, at most ``size`` rows, is solved
     on the driver; pieces are ranked within their length and meet the plan by a bounded broadcast.
 
-    Null text is empty text: one piece with the end id. Rows with a null or repeated doc_id are
+    Null text is empty text: one piece with the end id. Bytes that are no UTF-8 are replacement characters. Rows with a null or repeated doc_id are
     documents of their own. Other columns are not read. No documents give no rows.
     """
     cut = pieces(docs, size, tokenizer)

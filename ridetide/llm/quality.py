@@ -19,11 +19,8 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 WIDTH = 16
 GRAMS = (2, 3, 4)
-EPOCHS = 5
+EPOCHS = 15
 RATE = 0.5
-REPEATS = (1, 2, 3, 4, 5, 6)
-REPEAT_WEIGHT = 8.0
-"""A word that stood so many words before is a feature too, which counts as several."""
 THRESHOLD = 0.3
 
 
@@ -32,19 +29,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return (values ^ (values >> np.uint64(30))) >> np.uint64(64 - BUCKET_BITS)
 
 
-def repeat_feature(back: int) -> int:
-    """The bucket of the pattern "this word stood ``back`` words before"."""
-    return int(mixed(np.array([back * 1_000_003], dtype=np.uint64))[0])
-
-
-def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's words and character n-grams, as often as they occur, and how often words repeat.
+def features(raw: bytes) -> np.ndarray:
+    """Buckets of a text's words and character n-grams, as often as they occur.
 
     An n-gram lies in one word with the blanks around it; case and punctuation count.
     """
     words = raw.split()
     if not words:
-        return np.empty(0, dtype=np.int64), np.zeros(len(REPEATS))
+        return np.empty(0, dtype=np.int64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     codes = np.frombuffer((b" %b " % b" ".join(words)).decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
     blank, codes = codes == 32, codes.astype(np.uint64)
@@ -60,39 +52,15 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
             if 0 < k < n - 1:
                 inside &= ~blank[k : count + k]
         found.append(mixed(keys[inside]))
-    again = [(hashes[back:] == hashes[:-back]).sum() if len(hashes) > back else 0 for back in REPEATS]
-    return np.concatenate(found).astype(np.int64), np.array(again, dtype=np.float64)
-
-
-def document_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
-    found, again = features(raw)
-    if not len(found):
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    counts = np.bincount(found, minlength=BUCKETS).astype(np.float64)
-    np.add.at(counts, [repeat_feature(back) for back in REPEATS], REPEAT_WEIGHT * again)
-    ids = np.flatnonzero(counts)
-    return ids, (counts[ids] / counts.sum()).astype(np.float32)
-
-
-@dataclass
-class Model:
-    vectors: np.ndarray
-    output: np.ndarray
-    bias: np.ndarray
-
-    def contribution(self) -> np.ndarray:
-        """What each feature adds to the score before the softmax, times the number of features."""
-        return self.vectors @ (self.output[:, 1] - self.output[:, 0])
+    return np.concatenate(found).astype(np.int64)
 
 
 def document_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    found, again = features(raw)
+    found = features(raw)
     if not len(found):
         return np.empty(0, np.int64), np.empty(0, np.float32)
     counts = np.bincount(found, minlength=BUCKETS).astype(np.float64)
-    np.add.at(counts, [repeat_feature(back) for back in REPEATS], REPEAT_WEIGHT * again)
     ids = np.flatnonzero(counts)
     return ids, (counts[ids] / counts.sum()).astype(np.float32)
 
@@ -143,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """Learn from at most ``sample`` labels (doc_id, label 0 or 1), those of least hash of the id.
 
     Returns what each bucket adds to the log odds and their value for a text without words. The sample
-    is broadcast to the scan of the texts and learned from in one task; both are bounded by ``sample``.
+    is broadcast to the scan of the texts and learned from in one task; both are bounded by ``sample``, as of
+    repeated rows of a document the least text is learned from.
     """
     draw = F.xxhash64(F.lit(3), "doc_id")
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -160,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         values = np.append(model.contribution(), model.bias[1] - model.bias[0]).astype("<f8")
         yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], names=["values"])
 
-    given = texts.join(F.broadcast(chosen), "doc_id").select("draw", "label", "raw").repartition(1)
+    # Of rows with one doc_id one text, so that the rows are no more than the labels.
+    of_id = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "draw", "label").agg(F.min("raw").alias("raw"))
+    given = of_id.select("draw", "label", "raw").repartition(1)
     with small_batches(docs.sparkSession):
         learned = given.mapInArrow(run, "values binary").collect()
     values = np.frombuffer(learned[0]["values"], dtype="<f8") if learned else np.zeros(BUCKETS + 1)
@@ -168,10 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 
 def score(raw: bytes, values: np.ndarray, base: float) -> float:
-    found, again = features(raw)
-    weight = len(found) + REPEAT_WEIGHT * again.sum()
-    total = values[found].sum() + REPEAT_WEIGHT * (again * values[[repeat_feature(back) for back in REPEATS]]).sum()
-    odds = base + (total / weight if weight else 0.0)
+    found = features(raw)
+    odds = base + (values[found].mean() if len(found) else 0.0)
     return 1 / (1 + float(np.exp(-np.clip(odds, -30, 30))))
 
 

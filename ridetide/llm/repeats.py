@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridetide.llm.common import id_bitmap, sifted, small_batches, table, text_key, written
+from ridetide.llm.common import fresh, id_bitmap, sifted, small_batches, table, text_key, written
 
 WINDOW = 50
 PHRASE = 10
@@ -183,7 +183,7 @@ def cut_out(window: int):
                         [{"start": low, "end": high} for low, high in turns],
                         int(gone.sum()),
                         hashlib.sha256(b" ".join(kept)).hexdigest(),
-                        b" ".join(parts).decode(),
+                        b" ".join(parts).decode("utf-8", "replace"),
                     )
                 )
             spans, removed, digests, texts = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -323,22 +323,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages cut out of ``text``, in the columns given.
 
     Documents that lose nothing are unchanged; documents that lose every word are dropped. ``n_chars``,
-    where there is one, is counted anew for cut texts.
+    where there is one, is counted anew for cut texts, in which bytes that are no UTF-8 are replaced. Columns may
+    have any names.
     """
     _, cut = find(docs, window)
-    loss = cut.select(
-        F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__cut_key"), F.col("kept_text").alias("__kept")
-    )
+    cut_id, cut_key, key, kept = fresh(docs, "__cut_id", "__cut_key", "__key", "__kept")
+    loss = cut.select(F.col("doc_id").alias(cut_id), F.col("text_key").alias(cut_key), F.col("kept_text").alias(kept))
     bitmap = id_bitmap(cut)
-    given = sifted(docs, bitmap, True).withColumn("__key", text_key())
-    same = (given["doc_id"] == loss["__doc_id"]) & (given["__key"] == loss["__cut_key"])
+    given = sifted(docs, bitmap, True).withColumn(key, text_key())
+    same = (given["doc_id"] == loss[cut_id]) & (given[key] == loss[cut_key])
     joined = given.join(loss, same, "left")
-    left_over = F.coalesce(F.col("__kept") != "", F.lit(True))
-    out = joined.where(left_over).withColumn("text", F.coalesce("__kept", "text"))
+    left_over = F.coalesce(F.col(kept) != "", F.lit(True))
+    out = joined.where(left_over).withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        count = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))
+        count = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return sifted(docs, bitmap, False).unionAll(out.select(*docs.columns))
+    return sifted(docs, bitmap, False).unionAll(out.select(*[F.col(f"`{name}`") for name in docs.columns]))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
 from compare import difference
+from conftest import ROOT
 from ridetide.plans.catalog import QUERIES
 from ridetide.plans.oracle import ORACLE
 
@@ -35,5 +39,19 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
+@pytest.mark.parametrize("library", ["ahocorasick", "xxhash", "zstandard"])
+def test_entry_without_a_library_of_the_training_data_queries(library):
+    """The other queries are there, and a warning says what is missing."""
+    code = (
+        f"import sys, warnings; sys.modules[{library!r}] = None\n"
+        "with warnings.catch_warnings(record=True) as said:\n"
+        "    warnings.simplefilter('always')\n"
+        "    import __spark_entry__ as entry\n"
+        "assert entry.queries().keys() == entry.QUERIES.keys() and entry.oracle_sql()\n"
+        f"assert any({library!r} in str(w.message) for w in said) or not entry.LLM_QUERIES\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=60)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -488,10 +488,10 @@ def test_worker_code_needs_no_installed_package(tmp_path):
         "import sys, pyarrow as pa\n"
         "from pyspark import cloudpickle\n"
         f"add_up, _ = cloudpickle.loads(open({str(shipped)!r}, 'rb').read())\n"
-        "rows = pa.record_batch({'zone_id': [1, 1], 'window_start': [0, 0], 'demand': [1, 2], 'supply': [0, 1]})\n"
+        "rows = pa.record_batch({'zone_id': [1, 1], 'window_start': [0, 0], 'demand': [1, 2], 'supply': [0, 1], 'events': [1, 4]})\n"
         "(summed,) = add_up(iter([rows, rows]))\n"
         "assert 'ridetide' not in sys.modules and summed.to_pylist() == [\n"
-        "    {'zone_id': 1, 'window_start': 0, 'demand': 6, 'supply': 2}]\n"
+        "    {'zone_id': 1, 'window_start': 0, 'demand': 6, 'supply': 2, 'events': 10}]\n"
     )
     env = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, check=True, timeout=60)

@@ -1,15 +1,15 @@
-"""Substring dedup: recurring passages found by sampled phrases and located by Aho-Corasick automata."""
+"""Substring dedup: recurring passages confirmed by sampled phrases and located by Aho-Corasick automata."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridetide.llm.common import fresh, id_bitmap, sifted, small_batches, table, text_key, written
@@ -18,6 +18,13 @@ WINDOW = 50
 PHRASE = 10
 """Words of a sampled phrase. Every window holds WINDOW - PHRASE + 1 of them and samples the least hash."""
 
+BLOCK_WORDS = 500_000
+"""Words of the documents, on average, that are streamed through one automaton: it holds about a twentieth as many phrases."""
+CODE_POINTS = 0x10FFFF
+"""Words of phrases are code points to an automaton. Beyond this many, words share one: it then finds too many places."""
+
+PHRASE_ROW, COPY_ROW, DOCUMENT_ROW = range(3)
+
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -53,94 +60,117 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def sampled(phrases: np.ndarray, span: int) -> np.ndarray:
-    """The least hash of every ``span`` neighbours, each once: equal windows sample equal phrases."""
+    """Places of the least hash of every ``span`` neighbours, a hash once: equal windows sample equal phrases."""
     if len(phrases) < span:
-        return phrases[:0]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(phrases, span).min(axis=1))
-
-
-def signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64), pa.int64())
+        return np.empty(0, dtype=np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(phrases, span).argmin(axis=1)
+    places = np.unique(least + np.arange(len(least)))
+    return places[np.unique(phrases[places], return_index=True)[1]]
 
 
-def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+def lists(parts: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
     values = np.concatenate(parts) if parts else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
 def summarise(window: int, phrase: int):
-    """Per document: number of words, hash of the words, sampled phrases."""
+    """Per document: number of words, hash of the words, sampled phrases as hashes and as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, phrases = [], [], []
+            counts, digests, hashed, worded = [], [], [], []
             for raw in batch["raw"].to_pylist():
                 words = (raw or b"").split()
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 short = len(words) < window
                 hashes = np.empty(0, np.uint64) if short else _ROLLING[0](word_hashes(words), phrase)
-                phrases.append(sampled(hashes, window - phrase + 1).view(np.int64))
+                places = sampled(hashes, window - phrase + 1)
+                hashed.append(hashes[places].view(np.int64))
+                worded.append([b" ".join(words[at : at + phrase]) for at in places.tolist()])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
                     batch["text_key"],
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.string()),
-                    lists(phrases, pa.int64()),
+                    lists(hashed, pa.int64()),
+                    pa.array(worded, pa.list_(pa.binary())),
                 ],
-                names=["doc_id", "text_key", "n_words", "words_sha256", "phrases"],
+                names=["doc_id", "text_key", "n_words", "words_sha256", "phrases", "phrase_words"],
             )
 
     return run
 
 
-def occurrences(documents: list[list[bytes]], wanted: list[np.ndarray], phrase: int) -> list[np.ndarray]:
-    """Where any phrase of this shard of documents starts in each of them.
+class Shard:
+    """An Aho-Corasick automaton of some recurring phrases; each word of a phrase is one code point to it."""
 
-    The shard's recurring phrases are compiled into one automaton over word numbers, and every document
-    is streamed through it. Words that are in no phrase share the number 0.
-    """
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for words, hashes in zip(documents, wanted, strict=True):
-        found = np.isin(_ROLLING[0](word_hashes(words), phrase).view(np.int64), hashes)
-        for start in np.flatnonzero(found).tolist():
-            key = tuple(numbers.setdefault(word, len(numbers) + 1) for word in words[start : start + phrase])
-            automaton.add_word(key, 1)
-    if not len(automaton):
-        return [np.empty(0, np.int64) for _ in documents]
-    automaton.make_automaton()
-    places = []
-    for words in documents:
-        stream = tuple(map(numbers.get, words, [0] * len(words)))
-        places.append(np.array([end - phrase + 1 for end, _ in automaton.iter(stream)], dtype=np.int64))
-    return places
+    def __init__(self, phrases: Iterable[bytes], phrase: int):
+        self.phrase = phrase
+        self.letters: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for text in phrases:
+            letters = [self.letters.setdefault(w, chr(1 + len(self.letters) % CODE_POINTS)) for w in text.split()]
+            self.automaton.add_word("".join(letters), 1)
+        if self.letters:
+            self.automaton.make_automaton()
+
+    def occurrences(self, words: list[bytes]) -> np.ndarray:
+        """Where a phrase of the shard starts. Words that are in no phrase share the letter 0."""
+        if not self.letters:
+            return np.empty(0, dtype=np.int64)
+        get = self.letters.get
+        stream = "".join([get(word, "\0") for word in words])
+        return np.array([end for end, _ in self.automaton.iter(stream)], dtype=np.int64) - (self.phrase - 1)
 
 
 def locate(window: int, phrase: int):
-    """Per document: the windows that hold a recurring phrase, as starts and 128-bit hashes."""
+    """Per document: the windows that hold a recurring phrase, as starts and 128-bit hashes.
+
+    Rows come by block: its phrases, its copies, its documents. The phrases are compiled when the first other
+    row of the block comes; then each document of the block is streamed through the automaton.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: int | None = None
+        phrases: list[bytes] = []
+        copies: set[tuple[int, int]] = set()
+        shard: Shard | None = None
         for batch in batches:
-            documents = [raw.split() for raw in batch["raw"].to_pylist()]
-            wanted = [np.array(p, dtype=np.int64) for p in batch["phrases"].to_pylist()]
-            starts, first, second = [], [], []
-            for words, places in zip(documents, occurrences(documents, wanted, phrase), strict=True):
+            found = []
+            columns = (batch[name].to_pylist() for name in ("block", "kind", "doc_id", "text_key", "raw"))
+            for number, kind, doc_id, key, raw in zip(*columns, strict=True):
+                if number != block:
+                    block, phrases, copies, shard = number, [], set(), None
+                if kind == PHRASE_ROW:
+                    phrases.append(raw)
+                    continue
+                if kind == COPY_ROW:
+                    copies.add((doc_id, key))
+                    continue
+                if shard is None:
+                    shard, phrases = Shard(phrases, phrase), []
+                if raw is None or (doc_id, key) in copies:
+                    continue
+                words = raw.split()
                 windows = len(words) - window + 1
+                places = shard.occurrences(words) if windows > 0 else ()
+                if not len(places):
+                    continue
                 edge = np.zeros(windows + 1, dtype=np.int64)
                 np.add.at(edge, np.clip(places + phrase - window, 0, windows), 1)
                 np.add.at(edge, np.clip(places + 1, 0, windows), -1)
                 here = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 hashes = word_hashes(words)
-                starts.append(here.astype(np.int32))
-                first.append(_ROLLING[0](hashes, window)[here].view(np.int64))
-                second.append(_ROLLING[1](hashes, window)[here].view(np.int64))
+                sums = (_ROLLING[n](hashes, window)[here].view(np.int64) for n in range(2))
+                found.append((doc_id, key, here.astype(np.int32), *sums))
+            doc_ids, keys, starts, first, second = zip(*found, strict=True) if found else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"],
-                    batch["text_key"],
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(keys, pa.int64()),
                     lists(starts, pa.int32()),
                     lists(first, pa.int64()),
                     lists(second, pa.int64()),
@@ -213,8 +243,9 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
     1. Each window samples the phrase of least hash in it, so equal windows sample equal phrases; a
        phrase recurs if it is sampled in documents of different ids. Documents whose words are all equal
        to a smaller one's are copies and lose every word.
-    2. Documents with recurring phrases are dealt in shards; one automaton per shard locates all
-       occurrences of its phrases.
+    2. Documents are dealt in blocks. The recurring phrases that a block's documents sampled are a shard of the
+       phrase table, compiled to one automaton, and every document of the block but the copies is streamed
+       through it. It finds all phrases that can matter there: a window that recurs samples one of them.
     3. The windows around these places are compared by 128-bit hash; the smallest doc_id keeps one.
     What is counted is written before it is joined: the joins then read two plain exchanges, and a text,
     phrase or window that a third of all documents hold is split among tasks.
@@ -226,7 +257,8 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
     with small_batches(spark):
         summary = written(
             raw.mapInArrow(
-                summarise(window, phrase), f"{id_columns}, n_words long, words_sha256 string, phrases array<long>"
+                summarise(window, phrase),
+                f"{id_columns}, n_words long, words_sha256 string, phrases array<long>, phrase_words array<binary>",
             ),
             "summary",
         )
@@ -241,9 +273,10 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             judged.join(repeated, "words_sha256").where("doc_id > first_id").select("doc_id", "text_key", "n_words"),
             "copies",
         ).distinct()
-        phrases = judged.join(copies, ["doc_id", "text_key"], "left_anti").select(
-            "doc_id", "text_key", F.explode("phrases").alias("phrase")
+        sampled_by = judged.join(copies, ["doc_id", "text_key"], "left_anti").select(
+            "doc_id", "text_key", F.explode(F.arrays_zip("phrases", "phrase_words")).alias("p")
         )
+        phrases = sampled_by.select("doc_id", "text_key", F.col("p.phrases").alias("phrase"))
         recurring = written(
             phrases.groupBy("phrase")
             .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -251,13 +284,32 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             .select("phrase"),
             "recurring",
         )
-        hits = written(
-            phrases.join(recurring, "phrase").groupBy("doc_id", "text_key").agg(F.collect_set("phrase").alias("phrases")),
-            "hits",
+        blocks = 1 + (summary.agg(F.sum("n_words")).first()[0] or 0) // BLOCK_WORDS
+        block = F.pmod(F.xxhash64(F.lit(13), "doc_id", "text_key"), F.lit(blocks)).alias("block")
+
+        def rows(df: DataFrame, kind: int, doc_id: Column, key: Column, content: Column) -> DataFrame:
+            return df.select(
+                "block", F.lit(kind).alias("kind"), doc_id.alias("doc_id"), key.alias("text_key"), content.alias("raw")
+            )
+
+        none = F.lit(None).cast("long")
+        shards = written(
+            sampled_by.select(block, F.col("p.phrases").alias("phrase"), F.col("p.phrase_words").alias("words"))
+            .join(recurring, "phrase")
+            .select("block", "words")
+            .distinct(),
+            "shards",
+        )
+        own_id, own_key = F.col("doc_id"), F.col("text_key")
+        streamed = (
+            rows(shards, PHRASE_ROW, none, none, F.col("words"))
+            .unionAll(rows(copies.select("*", block), COPY_ROW, own_id, own_key, F.lit(None).cast("binary")))
+            .unionAll(rows(raw.where("doc_id IS NOT NULL").select("*", block), DOCUMENT_ROW, own_id, own_key, F.col("raw")))
+            .repartition("block")
+            .sortWithinPartitions("block", "kind")
         )
-        suspects = written(sifted(raw, id_bitmap(hits), True).join(hits, ["doc_id", "text_key"]), "suspects")
         located = written(
-            suspects.mapInArrow(
+            streamed.mapInArrow(
                 locate(window, phrase), f"{id_columns}, starts array<int>, first array<long>, second array<long>"
             ),
             "located",
@@ -272,14 +324,15 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             .select("first", "second", "low"),
             "owners",
         )
-        covered = (
+        covered = written(
             windows.join(owners, ["first", "second"])
             .where("doc_id > low")
             .groupBy("doc_id", "text_key")
-            .agg(F.collect_set("starts").alias("starts"))
+            .agg(F.collect_set("starts").alias("starts")),
+            "covered",
         )
         removed = written(
-            suspects.select("doc_id", "text_key", "raw")
+            sifted(raw, id_bitmap(covered), True)
             .join(covered, ["doc_id", "text_key"])
             .mapInArrow(
                 cut_out(window),
@@ -299,7 +352,7 @@ def find(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> tuple[D
             F.lit("").alias("kept_text"),
         )
     )
-    return summary.drop("phrases"), cut
+    return summary.drop("phrases", "phrase_words"), cut
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from ridetide.llm import repeats
 from ridetide.llm.common import table
-from ridetide.llm.repeats import digests, find, without_repeats
+from ridetide.llm.repeats import Shard, digests, find, without_repeats
 
 
 def brute(texts: dict[int, str | None], window: int) -> dict[int, tuple[int, int, str]]:
@@ -71,3 +72,27 @@ def test_texts_and_spans(spark):
     assert (kept[1]["n_chars"], kept[2]["n_chars"]) == (3, len("  one\ntwo three  four"))
     spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in find(docs)[1].collect()}
     assert spans == {2: [(2, 62)], 3: [(0, 60)]}
+
+
+def test_automaton_finds_every_occurrence():
+    rng = random.Random(5)
+    words = [rng.choice([b"a", b"b", b"\xff\xfe", b"d"]) for _ in range(3000)]
+    phrases = {b" ".join(words[at : at + 6]) for at in rng.sample(range(2990), 40)}
+    found = Shard(phrases, 6).occurrences(words).tolist()
+    assert found == [at for at in range(len(words) - 5) if b" ".join(words[at : at + 6]) in phrases]
+    assert len(found) > 40
+    assert Shard([], 6).occurrences(words).tolist() == []
+
+
+def test_blocks_of_few_words(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_WORDS", 300)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    texts = {}
+    for doc_id in range(60):
+        low = rng.randrange(60)
+        own = [f"w{rng.randrange(200)}" for _ in range(rng.randrange(40))]
+        texts[doc_id] = " ".join(own + passage[low : low + rng.randrange(45, 61)] + own[:5])
+    texts |= {70: texts[3], 71: texts[3], 72: None, 73: "short"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert result(digests(docs)) == brute(texts, 50)

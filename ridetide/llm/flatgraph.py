@@ -350,7 +350,8 @@ def split(members: DataFrame, overlap: int) -> DataFrame:
 def graph_links(
     classes: DataFrame, least: float, overlap: int, beam: int, degree: int = DEGREE, pool: int = POOL
 ) -> tuple[DataFrame, DataFrame]:
-    """(node, links) of every class, its own copies not counted, and edges (a, b) that join components."""
+    """(node, links, nearest) of every class, and edges (a, b) that join components. Its own copies are not
+    counted in links; nearest is the greatest cosine of its edges in the graph."""
     shards = split(classes, overlap)
     placed = classes.join(shards, "node")
     edges = written(
@@ -412,11 +413,13 @@ def graph_links(
             known.select(F.col("b").alias("node"), F.col("ca").alias("links"))
         )
         hooks = hooks.unionAll(known.select("a", "b"))
-    return written(counts.groupBy("node").agg(F.sum("links").alias("links")), "links"), hooks
+    nearest = edges.groupBy("node").agg(F.max("cosine").alias("nearest"))
+    links = counts.groupBy("node").agg(F.sum("links").alias("links")).join(nearest, "node", "left")
+    return written(links, "links"), hooks
 
 
 def exact_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """What ``graph_links`` returns, by comparing all classes of a place, block by block."""
+    """(node, links), and edges that join components, by comparing all classes of a place, block by block."""
     count = F.ceil(F.count(F.lit(1)) * F.lit(2) / F.lit(SHARD)).cast("long").alias("blocks")
     cells = (
         classes.join(classes.groupBy("place").agg(count), "place")
@@ -454,12 +457,23 @@ def exact_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
 
 
 def audited(classes: DataFrame, links: DataFrame, least: float, sample: int = AUDIT) -> float:
-    """Found links against all there are, by comparing samples with every class: the lesser share of a
-    sample of all classes and of a sample of those with links, which may be few among all."""
-    drawn = classes.join(links, "node", "left").select(
-        "node", "place", "vector", F.coalesce("links", F.lit(0)).alias("found"), F.xxhash64(F.lit(41), "node").alias("draw")
+    """The mean share of a class's links that was found, by comparing samples with every class: the lesser one
+    of a sample of all classes and of a sample of those that may have links, which may be few among all.
+
+    These are the classes with a link and, where ``links`` tells the ``nearest`` edge in the graph, those with
+    an edge down to ``SLACK`` below ``least``, so that classes that lost all their links are drawn too. Every
+    class with links counts alike, however many copies it has.
+    """
+    linked_to = links if "nearest" in links.columns else links.withColumn("nearest", F.lit(None).cast("double"))
+    drawn = classes.join(linked_to, "node", "left").select(
+        "node",
+        "place",
+        "vector",
+        F.coalesce("links", F.lit(0)).alias("found"),
+        F.coalesce(F.col("nearest") >= least - SLACK, F.lit(False)).alias("near"),
+        F.xxhash64(F.lit(41), "node").alias("draw"),
     )
-    samples = [rows.orderBy("draw").limit(sample).toArrow() for rows in (drawn, drawn.where("found > 0"))]
+    samples = [rows.orderBy("draw").limit(sample).toArrow() for rows in (drawn, drawn.where("near or found > 0"))]
     chosen = {row["node"]: row for rows in samples for row in rows.to_pylist()}
     nodes, places = list(chosen), np.array([row["place"] for row in chosen.values()])
     vectors = [np.array(row["vector"]) for row in chosen.values()]
@@ -485,8 +499,9 @@ def audited(classes: DataFrame, links: DataFrame, least: float, sample: int = AU
     truth = {row["node"]: row["n"] for row in partial.groupBy("node").agg(F.sum("true_links").alias("n")).collect()}
     shares = []
     for rows in samples:
-        there = sum(truth[node] for node in rows["node"].to_pylist())
-        shares.append(sum(rows["found"].to_pylist()) / there if there else 1.0)
+        asked = zip(rows["node"].to_pylist(), rows["found"].to_pylist(), strict=True)
+        own = [min(found / truth[node], 1.0) for node, found in asked if truth.get(node)]
+        shares.append(sum(own) / len(own) if own else 1.0)
     return min(shares)
 
 

@@ -139,3 +139,16 @@ def test_audit_looks_at_classes_with_links(spark):
     classes = spark.createDataFrame(rows, "node long, place long, vector array<double>, copies long")
     links = spark.createDataFrame([(3000, 1), (3001, 1)], "node long, links long")
     assert flatgraph.audited(classes, links, 0.93, 20) == 0.5
+
+
+def test_audit_counts_classes_not_copies(spark):
+    """Of 60 linked pairs only one, with a million copies, is found; the graph has an edge for the others."""
+    rng = np.random.default_rng(12)
+    middles = rng.standard_normal((60, 32))
+    vectors = np.repeat(middles, 2, axis=0) + 0.01 * rng.standard_normal((120, 32))
+    others = rng.standard_normal((1500, 32))
+    rows = [(i, 1, v.tolist(), 1_000_000 if i < 2 else 1) for i, v in enumerate([*vectors, *others])]
+    classes = spark.createDataFrame(rows, "node long, place long, vector array<double>, copies long")
+    found = [(0, 1_000_000, 1.0), (1, 1_000_000, 1.0), *((i, 0, 0.99) for i in range(2, 120))]
+    links = spark.createDataFrame(found, "node long, links long, nearest double")
+    assert flatgraph.audited(classes, links, 0.93) < 0.1

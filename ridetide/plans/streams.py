@@ -28,8 +28,10 @@ from ridetide.streaming.store import UpdateLog
 PARAMS = PricingParams(window_ms=inputs.WINDOW_MS)
 
 
-def _run(spark: SparkSession, writer, folder: str) -> None:
-    job.start(spark, writer, f"{folder}/checkpoint").awaitTermination()
+def _run(spark: SparkSession, writer, folder: str, partitions: int | None = None) -> None:
+    """Run a writer to its end, with so many partitions of the state, else as many as the session says."""
+    settings = {"spark.sql.shuffle.partitions": str(partitions)} if partitions else None
+    job.start(spark, writer, f"{folder}/checkpoint", settings=settings).awaitTermination()
 
 
 def _last_updates(spark: SparkSession, published: Files) -> DataFrame:
@@ -132,6 +134,9 @@ SEQUENCE_PARAMS = PricingParams(
 # State that is keyed by the sixteen zones alone needs no more partitions.
 ZONE_PARTITIONS = 4
 
+# Micro-batches in which the recent windows read what was published.
+RECENT_BATCHES = 4
+
 
 def play(
     spark: SparkSession,
@@ -192,12 +197,17 @@ def firing_sequence(spark: SparkSession, sf_dir: str, mode: str, idle_policy: st
 
 
 def recent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest windows of each zone, held as state, from updates of which many fire again late."""
+    """The newest windows of each zone, held as state, from updates of which many fire again late.
+
+    There are as many files as micro-batches and partitions before. They are read in a fixed number of
+    micro-batches, since each one costs the same however little it brings.
+    """
     sink, _ = _fired(spark, sf_dir, job.LIVE, job.STRICT, 2)
     folder = shared_dir(spark, "recent")
-    raw = raw_stream(spark, Files(sink.path, {"maxFilesPerTrigger": "25"}))
+    files = len(raw_batch(spark, sink).inputFiles())
+    raw = raw_stream(spark, Files(sink.path, {"maxFilesPerTrigger": str(max(1, -(-files // RECENT_BATCHES)))}))
     changes = live.recent_stream(decode_price_updates(raw, carry=("seq",)))
-    _run(spark, changes.writeStream.outputMode("update").format("noop"), folder)
+    _run(spark, changes.writeStream.outputMode("update").format("noop"), folder, ZONE_PARTITIONS)
     return to_table_types(live.recent_table(spark, f"{folder}/checkpoint"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ridetide.operators.latest import snapshot_of_history
 from ridetide.operators.normalize import to_table_types
 from ridetide.operators.stats import fleet_metrics
-from ridetide.plans import inputs
+from ridetide.plans import inputs, streams
 from ridetide.schemas import PRICE_UPDATE
 from ridetide.sources.seeds import seed_snapshot
 from ridetide.streaming import job, live
@@ -82,6 +83,21 @@ def test_recent_windows_are_bounded_and_replaced_in_place(spark, tmp_path):
     assert sorted((row.zone_id, row.demand) for row in out) == [(1, 33), (2, 10)]
 
 
+def test_published_files_are_read_in_few_micro_batches(spark, sf_dir, tmp_path, monkeypatch):
+    """Their number follows neither the files nor the partitions of the job that wrote them."""
+    monkeypatch.setattr(streams, "shared_dir", lambda _, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        streams.recent_windows(spark, sf_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    commits = [name for name in os.listdir(f"{tmp_path}/recent/checkpoint/commits") if name.isdigit()]
+    assert 2 <= len(commits) <= streams.RECENT_BATCHES
+    state = [name for name in os.listdir(f"{tmp_path}/recent/checkpoint/state/0") if name.isdigit()]
+    assert len(state) == streams.ZONE_PARTITIONS
+
+
 def test_statistics_follow_every_change(spark, tmp_path):
     """After each micro-batch they equal those of a snapshot of all updates so far."""
     pick = random.Random(5)

@@ -9,6 +9,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,37 @@ def state_table(spark: SparkSession, checkpoint: str, variable: str, batch_id: i
     return reader.load(checkpoint)
 
 
+def newest_of_tasks(updates: DataFrame, order: tuple[str, ...], most: int = 1) -> DataFrame:
+    """Of the rows that a task has of a zone, those that a step may keep: the ``most`` greatest values of the
+    first column of ``order``, each in the row that is greatest in the others.
+
+    A zone may get a third of all rows, and a step takes its zones row by row in Python: so what reaches it is
+    bounded by zones and tasks. ``order`` are whole numbers; nulls are least.
+    """
+
+    def newest(rows: pa.Table) -> pa.Table:
+        zone = rows["zone_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        keys = [pc.fill_null(rows[name], np.iinfo(np.int64).min).to_numpy() for name in order]
+        by_age = np.lexsort((*reversed(keys), zone))[::-1]
+        zone, first = zone[by_age], keys[0][by_age]
+        new_zone = np.r_[True, zone[1:] != zone[:-1]]
+        new = new_zone | np.r_[True, first[1:] != first[:-1]]
+        nth = np.cumsum(new)
+        before = (nth - 1)[new_zone][np.cumsum(new_zone) - 1]
+        return rows.take(by_age[new & (nth - before <= most)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                held = newest(rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return updates.mapInArrow(run, updates.schema)
+
+
 # The snapshot
 
 
@@ -66,7 +100,8 @@ class _LatestRow(StatefulProcessor):
             # The position in the stream is the last field.
             return (row[start],) if self._by_event_time else (row[-1], row[start])
 
-        newest = max((tuple(row[name] for name in self._fields) for row in rows), key=order)
+        arrived = (tuple(row[name] for name in self._fields) for row in rows)
+        newest = max(arrived, key=lambda row: (*order(row), row[-1]))
         held = self._row.get()
         if self._by_event_time and held is not None and order(tuple(held)) > order(newest):
             return
@@ -85,7 +120,7 @@ def snapshot_stream(updates: DataFrame, seed: DataFrame, by_event_time: bool = F
     """Changes of the snapshot that begins with the seed rows, in wire types. Use output mode update.
 
     ``updates`` are wire updates with ``updated_at``, in milliseconds, and ``seq``. The last arrival wins, or the
-    newest window. Of one micro-batch a zone gives one change.
+    newest window, of one window the last. Of one micro-batch a zone gives one change.
     """
     wire = seed.select(
         "zone_id",
@@ -96,7 +131,9 @@ def snapshot_stream(updates: DataFrame, seed: DataFrame, by_event_time: bool = F
         F.lit(-1).cast("bigint").alias("seq"),
     )
     processor = _LatestRow(_SNAPSHOT_FIELDS, _SNAPSHOT, by_event_time)
-    return updates.groupBy("zone_id").transformWithState(
+    order = ("window_start", "seq") if by_event_time else ("seq", "window_start")
+    arrived = newest_of_tasks(updates.select("zone_id", *_SNAPSHOT_FIELDS), order)
+    return arrived.groupBy("zone_id").transformWithState(
         processor, f"zone_id INT, {_SNAPSHOT}", "update", "none", wire.groupBy("zone_id")
     )
 
@@ -257,7 +294,8 @@ def recent_stream(updates: DataFrame, most: int = RECENT_WINDOWS) -> DataFrame:
     """
     processor = _RecentWindows(_WINDOW_FIELDS, _WINDOW, most)
     out = f"zone_id INT, window_start BIGINT, {_WINDOW}"
-    return updates.groupBy("zone_id").transformWithState(processor, out, "update", "none")
+    arrived = newest_of_tasks(updates.select("zone_id", "window_start", *_WINDOW_FIELDS), ("window_start", "seq"), most)
+    return arrived.groupBy("zone_id").transformWithState(processor, out, "update", "none")
 
 
 def recent_table(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -349,8 +387,9 @@ def fleet_stream(updates: DataFrame) -> DataFrame:
     per changed zone. Use output mode append.
     """
     cents = F.round(table_decimal(F.col("surge_multiplier"), SURGE_TYPE) * 100).cast("bigint")
+    values = updates.select("zone_id", "window_start", "seq", cents.alias("cents"), "demand", "supply")
     changes = (
-        updates.select("zone_id", "window_start", "seq", cents.alias("cents"), "demand", "supply")
+        newest_of_tasks(values, ("window_start", "seq", "cents", "demand", "supply"))
         .groupBy("zone_id")
         .transformWithState(
             _ZoneChanges(), "fleet INT, zones BIGINT, cents BIGINT, demand BIGINT, supply BIGINT", "append", "none"

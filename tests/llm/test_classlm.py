@@ -182,3 +182,80 @@ def test_neighbours_are_whole_however_often_a_task_passes_them_on():
         slots, counts = np.frombuffer(row["slots"], np.uint16), np.frombuffer(row["counts"], np.uint32)
         assert (sums[row["key"] - 7, slots] == counts).all() and sums[row["key"] - 7].sum() == counts.sum()
     assert not sums[2].any()
+
+
+def test_gains_of_many_words_are_those_of_each():
+    rng = np.random.default_rng(2)
+    classes, units = 5, 60
+    follows = rng.integers(0, 4, (units, units)) * (rng.random((units, units)) < 0.2)
+    assigned = np.r_[0, rng.integers(1, classes, units - 1)]
+    member = np.eye(classes, dtype=np.int64)[assigned]
+    joint, right, left = member.T @ follows @ member, follows @ member, follows.T @ member
+    # As many before as behind each, as in a text that ends where it began.
+    own = np.diagonal(follows)
+    each = np.arange(1, units)
+    right[each, assigned[1:]] -= own[1:]
+    left[each, assigned[1:]] -= own[1:]
+    got = classlm.all_gains(joint.astype(float), assigned[1:], right[1:], left[1:], own[1:])
+    for word in each:
+        rest, old = joint.copy(), assigned[word]
+        rest[old] -= right[word]
+        rest[:, old] -= left[word]
+        rest[old, old] -= own[word]
+        wanted = classlm.gains(rest, right[word], left[word], own[word], left[word].sum() + own[word])
+        difference = right[word].sum() - left[word].sum()
+        if not difference:
+            assert got[word - 1] == pytest.approx(wanted, abs=1e-6)
+        else:
+            others = [c for c in range(classes) if c != old]
+            assert got[word - 1][others] == pytest.approx(wanted[others], abs=1e-6)
+
+
+def test_every_training_word_is_exchanged_itself(spark):
+    """Also rare words of one suffix get several classes, and every block has the same ones, and whole counts."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").repartition(3)
+    given = docs.select("doc_id", F.lit(True).alias("train"), F.col("text").cast("binary").alias("raw"))
+    blocks = spark.createDataFrame(given.mapInArrow(classlm.encode, classlm.BLOCK_SCHEMA).toArrow())
+    tokens = blocks.agg(F.sum("learned")).first()[0]
+    with classlm.small_batches(spark, 1):
+        rows, suffix_class, joint, totals = classlm.cluster(blocks, tokens, 8, 1)
+        names = {row["block"]: row["words"] for row in blocks.collect()}
+        class_of: dict = {}
+        for row in rows.collect():
+            found, counts = classlm.block_classes(row.asDict(recursive=True), suffix_class)
+            for word, c, n in zip(names[row["block"]], found[1:], counts[1:], strict=True):
+                assert class_of.setdefault(bytes(word), (c, n)) == (c, n)
+    plain = Counter(w for row in docs.collect() for w in (row["text"] or "").encode().lower().split())
+    assert len(names) == 3 and {w: n for w, (_, n) in class_of.items()} == plain
+    assert totals[:8].sum() == len(plain) and joint.sum() == tokens
+    rare = [w for w, n in plain.items() if n < 3]
+    moved = sum(class_of[w][0] != suffix_class[classlm.suffix(w)] for w in rare)
+    assert moved > len(rare) / 4
+
+
+def test_more_sweeps_never_lower_the_likelihood(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    score = lambda sweeps: classlm.scored(docs, classes=8, sweeps=sweeps).where("not held_out").agg(F.sum("score")).first()[0]
+    once, often = score(1), score(4)
+    assert often > once
+
+
+def test_a_bucket_is_whole_however_often_it_is_merged(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    classes_of, keys = np.array([0, 1, 2, 1, 2, 1]), np.arange(5, dtype=np.uint64) + 7
+    found = []
+    for merge in (1, 10**6):
+        monkeypatch.setattr(classlm, "MERGE", merge)
+        rng = np.random.default_rng(3)
+        bucket = classlm.Bucket(3)
+        for block in range(6):
+            sums = classlm.Neighbours(3)
+            sums.add(np.append(rng.integers(1, 6, 40), 0), classes_of, keys, np.ones(5, dtype=bool))
+            rows = sums.batch().append_column("number", pa.array(np.arange(1, 6, dtype=np.int32)))
+            rows = rows.append_column("old", pa.array(classes_of[1:].astype(np.uint8)))
+            bucket.add(block, classlm.packed(rows.slice(block % 3)))
+        bucket.merge()
+        found.append((bucket.keys.tolist(), bucket.old.tolist(), bucket.flat.tolist(), bucket.counts.tolist()))
+    assert found[0] == found[1] and len(found[0][0]) == 5

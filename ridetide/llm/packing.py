@@ -28,6 +28,14 @@ PIECES = ", ".join(f"{column} long" for column in PIECE_COLUMNS)
 LATIN = re.compile(r"[\x00-ɏ‐-‧€]*").fullmatch
 LONG_TEXT = 1_000_000
 LONG_RUN = re.compile(r"[^\W\d_]{2000}|\d{2000}|\s{2000}|[^\w\s]{2000}").search
+HALF = 1000
+HALF_RUN = re.compile(r"[^\W\d_]{1000}|\d{1000}|\s{1000}|[^\w\s]{1000}").match
+
+
+def has_long_run(text: str) -> bool:
+    """Whether ``LONG_RUN`` finds a run. One of 2,000 covers a whole block of 1,000 that begins at a multiple of
+    1,000, and most blocks end their run after a few letters."""
+    return any(HALF_RUN(text, at) for at in range(0, len(text) - HALF + 1, HALF)) and LONG_RUN(text) is not None
 
 
 class Encoder:
@@ -52,7 +60,7 @@ class Encoder:
         )
 
     def ids(self, text: str) -> np.ndarray:
-        plain = len(text) < LONG_TEXT and (text.isascii() or LATIN(text)) and not LONG_RUN(text)
+        plain = len(text) < LONG_TEXT and (text.isascii() or LATIN(text)) and not has_long_run(text)
         if plain and not any(token in text for token in self.special):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from ridetide.llm import cutting
 from ridetide.llm.common import table
-from ridetide.llm.packing import Encoder, pack
+from ridetide.llm.packing import LONG_RUN, Encoder, has_long_run, pack
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +81,18 @@ def test_fast_ids_equal(plain):
         assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_are_found_wherever_they_begin():
+    rng = random.Random(3)
+    found = 0
+    for _ in range(400):
+        length = rng.choice([999, 1000, 1999, 2000, 2001, 2999, 5000])
+        run = rng.choice(["é", "7", " ", "!", "a_", "x1"]) * length
+        text = "ab 1! " * rng.randrange(400) + run[:length] + "1 .b" * rng.randrange(400)
+        assert has_long_run(text) == (LONG_RUN(text) is not None)
+        found += has_long_run(text)
+    assert 50 < found < 350 and not has_long_run("") and has_long_run("x" * 2000) and not has_long_run("x" * 1999)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_up_the_histogram(seed):
     rng = np.random.default_rng(seed)

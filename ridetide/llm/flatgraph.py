@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ ALPHA = 1.2
 BEAM = 24
 SLACK = 0.12
 """Nodes down to COSINE - SLACK are expanded too, to cross gaps between near ones."""
+PART = 256
+"""A shard's nodes are searched and compared so many at a time: what one step holds does not follow the links."""
 AUDIT = 200
 RECALL = 0.99
 ATTEMPTS = 3
@@ -100,7 +103,7 @@ def built(degree: int = DEGREE, pool: int = POOL):
         a, b = np.r_[row, to], np.r_[to, row]
         pairs = np.unique(a * len(nodes) + b)
         a, b = pairs // len(nodes), pairs % len(nodes)
-        return pa.table({"node": nodes[a], "neighbour": nodes[b], "cosine": similar[a, b].astype(np.float64)})
+        return pa.table({"node": nodes[a], "neighbour": nodes[b], "cosine": similar[a, b]})
 
     return run
 
@@ -114,6 +117,7 @@ class ShardGraph:
         order = np.argsort(rows, kind="stable")
         self.to = neighbours[order]
         self.starts = np.searchsorted(rows[order], np.arange(len(vectors) + 1))
+        self.matrix: np.ndarray | None = None
 
     def fan_out(self, queries: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All neighbours of each (query, node)."""
@@ -130,8 +134,33 @@ class ShardGraph:
             out[part] = np.einsum("ij,ij->i", self.vectors[queries[part]], self.vectors[nodes[part]])
         return out
 
-    def range_search(self, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node, cosine) of what every member reaches from the medoid.
+    def adjacent(self) -> np.ndarray:
+        """The edges as a matrix."""
+        if self.matrix is None:
+            n = len(self.vectors)
+            self.matrix = np.zeros((n, n), dtype=np.float32)
+            self.matrix[np.repeat(np.arange(n), np.diff(self.starts)), self.to] = 1
+        return self.matrix
+
+    def fresh(self, met: np.ndarray, visited: np.ndarray) -> np.ndarray:
+        """Neighbours of (query, node) keys that were not visited; they are from now on."""
+        n = len(self.vectors)
+        queries, nodes = met // n, met % n
+        if (self.starts[nodes + 1] - self.starts[nodes]).sum() * 4 > n * n:
+            # So many edges that a product of matrices is less work, and of bounded size.
+            first = int(queries[0])
+            mask = np.zeros((int(queries[-1]) - first + 1, n), dtype=np.float32)
+            mask[queries - first, nodes] = 1
+            keys = first * n + np.flatnonzero(mask @ self.adjacent())
+        else:
+            queries, found = self.fan_out(queries, nodes)
+            keys = np.unique(queries * n + found)
+        keys = keys[~visited[keys]]
+        visited[keys] = True
+        return keys
+
+    def reached(self, least: float, beam: int = BEAM) -> np.ndarray:
+        """Which nodes every member reaches from the medoid, as a matrix (query, node).
 
         Greedy: the best ``beam`` nodes seen are kept and expanded until a query has met itself, the
         nearest there is, or has nothing left to expand. Then its range grows: every node of at least
@@ -146,48 +175,56 @@ class ShardGraph:
         value = np.full((n, beam), -np.inf)
         best[:, 0], seen[:, medoid] = medoid, True
         value[:, 0] = self.cosine(everyone, np.full(n, medoid))
-        active = everyone[everyone != medoid]
-        while len(active):
-            own, cosines = best[active], value[active]
-            closed = (own < 0) | expanded[active[:, None], np.maximum(own, 0)]
-            open_value = np.where(closed, -np.inf, cosines)
-            pick = open_value.argmax(axis=1)
-            going = open_value[np.arange(len(active)), pick] > -np.inf
-            active, nodes = active[going], own[going, pick[going]]
-            if not len(active):
-                break
-            expanded[active, nodes] = True
-            queries, found = self.fan_out(active, nodes)
-            new = ~seen[queries, found]
-            queries, found = queries[new], found[new]
-            seen[queries, found] = True
-            cosine = self.cosine(queries, found)
-            # Each query's new nodes join its beam; the best stay.
-            place = np.searchsorted(active, queries)
-            nth = np.arange(len(queries)) - np.searchsorted(queries, queries)
-            width = int(nth.max()) + 1 if len(nth) else 1
-            more, more_value = np.full((len(active), width), -1), np.full((len(active), width), -np.inf)
-            more[place, nth], more_value[place, nth] = found, cosine
-            all_nodes = np.concatenate([best[active], more], axis=1)
-            all_values = np.concatenate([value[active], more_value], axis=1)
-            top = np.argpartition(-all_values, beam - 1, axis=1)[:, :beam]
-            best[active], value[active] = np.take_along_axis(all_nodes, top, 1), np.take_along_axis(all_values, top, 1)
-            active = active[~seen[active, active]]
+        for at in range(0, n, PART):
+            active = everyone[at : at + PART]
+            active = active[active != medoid]
+            while len(active):
+                own, cosines = best[active], value[active]
+                closed = (own < 0) | expanded[active[:, None], np.maximum(own, 0)]
+                open_value = np.where(closed, -np.inf, cosines)
+                pick = open_value.argmax(axis=1)
+                going = open_value[np.arange(len(active)), pick] > -np.inf
+                active, nodes = active[going], own[going, pick[going]]
+                if not len(active):
+                    break
+                expanded[active, nodes] = True
+                queries, found = self.fan_out(active, nodes)
+                new = ~seen[queries, found]
+                queries, found = queries[new], found[new]
+                seen[queries, found] = True
+                cosine = self.cosine(queries, found)
+                # Each query's new nodes join its beam; the best stay.
+                place = np.searchsorted(active, queries)
+                nth = np.arange(len(queries)) - np.searchsorted(queries, queries)
+                width = int(nth.max()) + 1 if len(nth) else 1
+                more, more_value = np.full((len(active), width), -1), np.full((len(active), width), -np.inf)
+                more[place, nth], more_value[place, nth] = found, cosine
+                all_nodes = np.concatenate([best[active], more], axis=1)
+                all_values = np.concatenate([value[active], more_value], axis=1)
+                top = np.argpartition(-all_values, beam - 1, axis=1)[:, :beam]
+                best[active] = np.take_along_axis(all_nodes, top, 1)
+                value[active] = np.take_along_axis(all_values, top, 1)
+                active = active[~seen[active, active]]
         queries, slots = np.nonzero(value >= least)
         met = np.unique(np.r_[queries * n + best[queries, slots], everyone * (n + 1)])
-        visited = seen.reshape(-1)
-        visited[:] = False
+        visited, within = seen.reshape(-1), expanded.reshape(-1)
+        visited[:], within[:] = False, False
         visited[met] = True
-        reached = [met]
         while len(met):
-            queries, found = self.fan_out(met // n, met % n)
-            keys = np.unique(queries * n + found)
-            keys = keys[~visited[keys]]
-            visited[keys] = True
-            met = keys[self.cosine(keys // n, keys % n) >= least]
-            reached.append(met)
-        keys = np.unique(np.concatenate(reached))
-        return keys // n, keys % n, self.cosine(keys // n, keys % n)
+            within[met] = True
+            ends = np.searchsorted(met, np.arange(PART // 4, n, PART // 4) * n)
+            nearer = [np.empty(0, np.int64)]
+            for part in np.split(met, ends):
+                if len(part):
+                    keys = self.fresh(part, visited)
+                    nearer.append(keys[self.cosine(keys // n, keys % n) >= least])
+            met = np.concatenate(nearer)
+        return expanded
+
+    def range_search(self, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, cosine) of what every member reaches."""
+        queries, nodes = np.nonzero(self.reached(least, beam))
+        return queries, nodes, self.cosine(queries, nodes)
 
 
 def linked(vectors: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -213,11 +250,41 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots when these links are added."""
+    a, b = root[a], root[b]
+    apart = a != b
+    return local_roots(len(root), a[apart], b[apart])[root] if apart.any() else root
+
+
+def marks(lists: pa.Array, below: int | None = None) -> np.ndarray:
+    """The entries of each list, those under ``below`` only, as bits: of entries that several lists have."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    if below is not None:
+        flat, rows = flat[flat < below], rows[flat < below]
+    _, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    several = counts[codes] > 1
+    out = np.zeros((len(lists), int((counts > 1).sum())), dtype=bool)
+    out[rows[several], number[codes[several]]] = True
+    return np.packbits(out, axis=1)
+
+
+def in_common(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), dtype=bool)
+    for at in range(0, len(a), 200_000):
+        part = slice(at, at + 200_000)
+        out[part] = (bits[a[part]] & bits[b[part]]).any(axis=1)
+    return out
+
+
 def search_shard(least: float, slack: float, beam: int):
-    """One shard: links found, as counts of equal vectors, hooks to join components, and exits.
+    """One shard: links found, as counts of equal vectors, hooks to join components, and who has to meet.
 
-    A pair that meets in several shards is counted in the first of them. Exits are (member, outside node)
-    where an edge of the union graph leaves the shard near a node that the member has reached.
+    A pair that meets in several shards is counted in the first of them. Where an edge of the union graph
+    leaves the shard near a node that a member has reached, and its angle allows a link, the member and the
+    outside node have to meet: (shard, node) each, not a row for every pair of them.
     """
 
     def run(shard: pa.Table) -> pa.Table:
@@ -228,53 +295,119 @@ def search_shard(least: float, slack: float, beam: int):
         edges = shard["edges"].combine_chunks()
         rows = np.repeat(np.arange(n), np.diff(edges.offsets.to_numpy()))
         flat = edges.flatten()
-        to, edge_cosine = flat.field("neighbour").to_numpy(), flat.field("cosine").to_numpy()
+        to, edge_cosine = flat.field("neighbour").to_numpy(), flat.field("cosine").to_numpy().astype(np.float64)
         at = np.searchsorted(nodes, to).clip(max=n - 1)
         inside = nodes[at] == to
         graph = ShardGraph(plain, rows[inside], at[inside])
-        queries, found, cosine = graph.range_search(least - slack, beam)
-
-        other = (queries < found) & (cosine >= least - 1e-6)
-        a, b = queries[other], found[other]
-        true = linked(plain, a, b, least)
-        a, b = a[true], b[true]
-        # A pair may be found from either side only.
-        back = (queries > found) & (cosine >= least - 1e-6)
-        c, d = found[back], queries[back]
-        true = linked(plain, c, d, least)
-        pairs = np.unique(np.r_[a, c[true]] * n + np.r_[b, d[true]])
-        a, b = pairs // n, pairs % n
-        shards = [set(own) for own in shard["shards"].to_pylist()]
-        first = {}
-        owned = np.ones(len(a), dtype=bool)
-        kinds = np.array([first.setdefault(tuple(sorted(own)), len(first)) for own in shards])
-        sets = [set(own) for own in first]
-        mine = np.array([[min(x & y) == here for y in sets] for x in sets]) if sets else np.ones((1, 1), bool)
-        owned = mine[kinds[a], kinds[b]]
-        links = np.zeros(n, dtype=np.int64)
-        np.add.at(links, a[owned], copies[b[owned]])
-        np.add.at(links, b[owned], copies[a[owned]])
-        root = local_roots(n, a, b)
+        reached = graph.reached(least - slack, beam)
 
         # An edge that leaves the shard can lead to a link only if its angle allows it.
         leaving = np.flatnonzero(~inside)
         order = leaving[np.argsort(rows[leaving], kind="stable")]
         starts = np.searchsorted(rows[order], np.arange(n + 1))
-        lengths = starts[found + 1] - starts[found]
-        shift = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        edge = order[np.arange(int(lengths.sum())) - shift + np.repeat(starts[found], lengths)]
-        angle = np.arccos(np.clip(np.repeat(cosine, lengths), -1, 1))
-        turn = np.arccos(np.clip(edge_cosine[edge], -1, 1))
-        possible = np.abs(turn - angle) <= math.acos(least) + 1e-6
-        out = np.unique(np.stack([nodes[np.repeat(queries, lengths)[possible]], to[edge[possible]]], axis=1), axis=0)
+        wide = math.acos(least) + 1e-6
+        # In one order of nodes, and of angles at a node.
+        low = lambda node, angle: node * 4.0 + np.maximum(angle - wide, 0)
+        high = lambda node, angle: node * 4.0 + np.minimum(angle + wide, math.pi)
+        any_between = lambda keys, a, b: np.searchsorted(keys, b, "right") > np.searchsorted(keys, a)
+        near = np.zeros((n, n), dtype=bool)
+        meeting = [np.empty(0, np.int64)]
+        for at in range(0, n, PART):
+            found, queries = np.nonzero(reached[:, at : at + PART].T)
+            found += at
+            cosine = graph.cosine(queries, found)
+            close = (queries != found) & (cosine >= least - 1e-6)
+            # A pair may be found from either side only.
+            near[np.minimum(queries, found)[close], np.maximum(queries, found)[close]] = True
+            edge = order[starts[at] : starts[min(at + PART, n)]]
+            if len(edge):
+                angle, turn = np.arccos(np.clip(cosine, -1, 1)), np.arccos(np.clip(edge_cosine[edge], -1, 1))
+                angles, turns = np.sort(found * 4.0 + angle), np.sort(rows[edge] * 4.0 + turn)
+                out = any_between(angles, low(rows[edge], turn), high(rows[edge], turn))
+                own = any_between(turns, low(found, angle), high(found, angle))
+                meeting += [np.unique(to[edge[out]]), nodes[np.unique(queries[own])]]
+        del reached
+        meeting = np.unique(np.concatenate(meeting))
+
+        earlier = marks(shard["shards"], here)
+        links, root = np.zeros(n, dtype=np.int64), np.arange(n)
+        for at in range(0, n, PART):
+            a, b = np.nonzero(near[at : at + PART])
+            a += at
+            true = linked(plain, a, b, least)
+            a, b = a[true], b[true]
+            owned = ~in_common(earlier, a, b)
+            np.add.at(links, a[owned], copies[b[owned]])
+            np.add.at(links, b[owned], copies[a[owned]])
+            root = joined(root, a, b)
+        return pa.table(
+            {
+                "exit": np.r_[np.zeros(n, np.int32), np.ones(len(meeting), np.int32)],
+                "node": np.r_[nodes, np.full(len(meeting), here)],
+                "other": np.r_[nodes[root], meeting],
+                "links": np.r_[links, np.zeros(len(meeting), np.int64)],
+            }
+        )
+
+    return run
+
 
-        kind = np.r_[np.zeros(n, np.int32), np.ones(len(out), np.int32)]
+def search_across(least: float):
+    """One meeting of nodes: links between those that no shard holds both of, compared block by block.
+
+    kind 0: links, and hooks to join components; a pair that meets in several places is counted in the first of
+    them. kind 1: ends of links that a member of this shard has, whose neighbours in the graph are to come too.
+    kind 2: ends of other links, and a shard of one end, where they are to meet.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("node")
+        here = cell["cell"][0].as_py()
+        nodes, copies, plain = cell["node"].to_numpy(), cell["copies"].to_numpy(), matrix(cell["vector"])
+        n, directions = len(nodes), unit(plain)
+        together, earlier = marks(cell["shards"]), marks(cell["cells"], here)
+        lists = cell["shards"].combine_chunks()
+        member = np.zeros(n, dtype=bool)
+        member[np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())[lists.flatten().to_numpy() == here]] = True
+        # The first shard of each node, and which of them it and the others are in already.
+        homes, home = np.unique(pc.list_element(lists, 0).to_numpy(), return_inverse=True)
+        lists = cell["cells"].combine_chunks()
+        met, row = lists.flatten().to_numpy(), np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+        at = np.searchsorted(homes, met).clip(max=len(homes) - 1)
+        there = np.zeros((n, len(homes)), dtype=bool)
+        there[row[homes[at] == met], at[homes[at] == met]] = True
+        links, root, ends = np.zeros(n, dtype=np.int64), np.arange(n), np.zeros(n, dtype=bool)
+        absent = [np.empty(0, np.int64)]
+        size = max(1, 1_000_000 // n)
+        for at in range(0, n, size):
+            a, b = np.nonzero(directions[at : at + size] @ directions[at:].T >= least - 1e-6)
+            a, b = a[a < b] + at, b[a < b] + at
+            apart = ~in_common(together, a, b)
+            a, b = a[apart], b[apart]
+            # What an earlier meeting counts is looked at only where it could bring someone new.
+            owned, own = ~in_common(earlier, a, b), member[a] | member[b]
+            asked = owned | np.where(own, ~(ends[a] & ends[b]), ~(there[a, home[a]] & there[b, home[a]]))
+            a, b, owned, own = a[asked], b[asked], owned[asked], own[asked]
+            true = linked(plain, a, b, least)
+            a, b, owned, own = a[true], b[true], owned[true], own[true]
+            np.add.at(links, a[owned], copies[b[owned]])
+            np.add.at(links, b[owned], copies[a[owned]])
+            root = joined(root, a, b)
+            ends[a[own]], ends[b[own]] = True, True
+            for x in (a[~own], b[~own]):
+                place = home[a[~own]]
+                absent.append(np.unique((place * n + x)[~there[x, place]]))
+        absent = np.unique(np.concatenate(absent))
+        told = np.flatnonzero((links > 0) | (root != np.arange(n)))
+        ends = np.flatnonzero(ends)
+        counts = [len(told), len(ends), len(absent)]
         return pa.table(
             {
-                "exit": kind,
-                "node": np.r_[nodes, out[:, 0]],
-                "other": np.r_[nodes[root], out[:, 1]],
-                "links": np.r_[links, np.zeros(len(out), np.int64)],
+                "kind": np.repeat(np.arange(3, dtype=np.int32), counts),
+                "cell": np.r_[np.full(len(told) + len(ends), here), homes[absent // n]],
+                "node": nodes[np.r_[told, ends, absent % n]],
+                "other": np.r_[nodes[root[told]], np.zeros(len(ends) + len(absent), np.int64)],
+                "links": np.r_[links[told], np.zeros(len(ends) + len(absent), np.int64)],
             }
         )
 
@@ -357,14 +490,14 @@ def graph_links(
     edges = written(
         placed.select("shard", "node", "vector")
         .groupBy("shard")
-        .applyInArrow(built(degree, pool), "node long, neighbour long, cosine double")
+        .applyInArrow(built(degree, pool), "node long, neighbour long, cosine float")
         .groupBy("node", "neighbour")
         .agg(F.max("cosine").alias("cosine")),
         "adjacency",
     )
     adjacency = edges.groupBy("node").agg(F.collect_list(F.struct("neighbour", "cosine")).alias("edges"))
     lists = shards.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    empty = F.array().cast("array<struct<neighbour:bigint,cosine:double>>")
+    empty = F.array().cast("array<struct<neighbour:bigint,cosine:float>>")
     members = written(
         classes.join(lists, "node")
         .join(adjacency, "node", "left")
@@ -379,40 +512,27 @@ def graph_links(
     )
     hooks = found.where("exit = 0 and node != other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     counts = found.where("exit = 0").select("node", "links")
-    part = {"node": "", "vector": "v", "shards": "s", "copies": "c"}
-    side = lambda s: members.select(*(F.col(name).alias(f"{short}{s}") for name, short in part.items()))
-    ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    candidates = found.where("exit = 1").select(*ends).distinct()
-    known = None
-    while True:
-        dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-        norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda t, x: t + x))
-        fresh = candidates if known is None else candidates.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    meetings = found.where("exit = 1").select(F.col("node").alias("cell"), F.col("other").alias("node"))
+    place = members.select("node", "copies", "vector", "shards")
+    near = edges.where(F.col("cosine") >= least - SLACK).select("node", "neighbour")
+    across = None
+    while across is None or not new.isEmpty():
+        meetings = meetings if across is None else meetings.unionAll(new)
+        cells = meetings.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
         across = written(
-            fresh.where("a != b")
-            .join(side("a"), "a")
-            .join(side("b"), "b")
-            .where(~F.arrays_overlap("sa", "sb"))
-            .where(dot / (norm("va") * norm("vb")) >= least)
-            .select("a", "b", "ca", "cb"),
+            place.join(cells, "node")
+            .withColumn("cell", F.explode("cells"))
+            .groupBy("cell")
+            .applyInArrow(search_across(least), "kind int, cell long, node long, other long, links long"),
             "across",
         )
-        if across.isEmpty():
-            break
-        known = across if known is None else known.unionAll(across)
         # What the union graph joins to either end may be near the other.
-        near = edges.where(F.col("cosine") >= least - SLACK).select("node", "neighbour")
-        step = lambda here, there: (
-            across.select(F.col(here).alias("node"), F.col(there).alias("other"))
-            .join(near, "node")
-            .select(F.least("neighbour", "other").alias("a"), F.greatest("neighbour", "other").alias("b"))
-        )
-        candidates = step("a", "b").unionAll(step("b", "a")).distinct()
-    if known is not None:
-        counts = counts.unionAll(known.select(F.col("a").alias("node"), F.col("cb").alias("links"))).unionAll(
-            known.select(F.col("b").alias("node"), F.col("ca").alias("links"))
-        )
-        hooks = hooks.unionAll(known.select("a", "b"))
+        beside = across.where("kind = 1").join(near, "node").select("cell", F.col("neighbour").alias("node"))
+        asked = across.where("kind = 2").select("cell", "node").unionAll(beside).distinct()
+        new = written(asked.join(meetings, ["cell", "node"], "left_anti"), "meetings")
+    counts = counts.unionAll(across.where("kind = 0").select("node", "links"))
+    own_hooks = across.where("kind = 0 and node != other")
+    hooks = hooks.unionAll(own_hooks.select(F.col("node").alias("a"), F.col("other").alias("b")))
     nearest = edges.groupBy("node").agg(F.max("cosine").alias("nearest"))
     links = counts.groupBy("node").agg(F.sum("links").alias("links")).join(nearest, "node", "left")
     return written(links, "links"), hooks

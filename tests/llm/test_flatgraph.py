@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -152,3 +154,41 @@ def test_audit_counts_classes_not_copies(spark):
     found = [(0, 1_000_000, 1.0), (1, 1_000_000, 1.0), *((i, 0, 0.99) for i in range(2, 120))]
     links = spark.createDataFrame(found, "node long, links long, nearest double")
     assert flatgraph.audited(classes, links, 0.93) < 0.1
+
+
+def test_dense_cluster_over_many_shards_in_bounded_memory(spark, monkeypatch):
+    """Every vector links every other one, in shards of a seventh of them: nothing is listed pair by pair."""
+    monkeypatch.setattr(flatgraph, "SHARD", 60)
+    rng = np.random.default_rng(14)
+    middle = rng.standard_normal(32)
+    rows = [(i, (middle + 0.1 * rng.standard_normal(32)).tolist(), 1) for i in range(420)]
+    rows += [(1000 + i, rng.standard_normal(32).tolist(), 1) for i in range(100)] + [(2000, rows[3][1], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert result(flatgraph.near_duplicates(frame)) == brute(rows)
+
+
+def test_search_of_a_dense_shard_is_bounded():
+    """900 vectors, all linked, with edges to 900 outside: what is held and told follows the vectors, not the pairs."""
+    rng = np.random.default_rng(15)
+    n, vectors = 900, rng.standard_normal(64) + 0.1 * rng.standard_normal((1800, 64))
+    direction = flatgraph.unit(vectors)
+    similar = (direction @ direction.T).astype(np.float32)
+    to = np.argsort(rng.random((n, 2 * n)), axis=1)[:, :80]
+    edges = [[{"neighbour": int(k), "cosine": float(similar[i, k])} for k in own if k != i] for i, own in enumerate(to)]
+    shard = pa.table(
+        {
+            "shard": pa.array([7] * n, pa.int64()),
+            "node": np.arange(n),
+            "copies": np.ones(n, np.int64),
+            "vector": vectors[:n].tolist(),
+            "shards": pa.array([[7, 9]] * n, pa.list_(pa.int64())),
+            "edges": pa.array(edges, pa.list_(pa.struct([("neighbour", pa.int64()), ("cosine", pa.float32())]))),
+        }
+    )
+    tracemalloc.start()
+    found = flatgraph.search_shard(0.93, 0.12, 24)(shard)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    told = found.to_pandas()
+    assert (told[told.exit == 0].links == n - 1).all() and (told[told.exit == 0].other == 0).all()
+    assert found.num_rows <= n + 2 * n and most < 150e6
